@@ -1,6 +1,6 @@
 """All queries of the engine by name, with the SQL that says the same where SQL can."""
 
-from .plans import read_queries  # noqa: F401
+from .plans import analytic_queries, read_queries, text_queries  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

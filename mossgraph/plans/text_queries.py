@@ -1,0 +1,222 @@
+"""Normalisers, similarities, addresses and hashes over the tables with text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import addresses, text
+from ..operators import graph, reconcile
+from .model import Model
+from .registry import query
+
+UNI = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+STOP = "(" + ", ".join(f"'{w}'" for w in text.CLAIM_STOP_WORDS) + ")"
+
+
+@query(f"SELECT item_id, {UNI.format('text')} AS norm FROM benchmark")
+def fn01_unicode_words(m: Model) -> DataFrame:
+    return m.benchmark.select("item_id", text.unicode_words(F.col("text")).alias("norm"))
+
+
+@query(r"SELECT conv_id, turn, role, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS norm FROM conversations")
+def fn02_ascii_words(m: Model) -> DataFrame:
+    return m.conversations.select("conv_id", "turn", "role", F.md5(text.ascii_words(F.col("text")).cast("binary")).alias("norm"))
+
+
+@query(rf"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(lower(p_name || ' for the ' || p_brand || '/x.1-'), '[^a-z0-9@._/\-\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda t: regexp_replace(t, '^[._/\-]+|[._/\-]+$', '', 'g')), lambda t: len(t) > 2 AND t NOT IN {STOP}))), ',') AS terms FROM part""")
+def fn03_anchor_terms(m: Model) -> DataFrame:
+    terms = text.anchor_terms(F.concat(F.col("p_name"), F.lit(" for the "), F.col("p_brand"), F.lit("/x.1-")))
+    return m.part.select("p_partkey", F.array_join(F.array_sort(terms), ",").alias("terms"))
+
+
+@query(rf"""SELECT p_partkey, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_type || ' of ' || p_brand || '-a'), '[^a-z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda t: len(t) > 1 AND t NOT IN {STOP}), ',') AS tokens FROM part""")
+def fn05_scope_tokens(m: Model) -> DataFrame:
+    return m.part.select("p_partkey", F.array_join(text.scope_tokens(F.concat(F.col("p_type"), F.lit(" of "), F.col("p_brand"), F.lit("-a"))), ",").alias("tokens"))
+
+
+PAIR = """p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, list_distinct(string_split(lower(a.p_name || ' ' || a.p_type), ' ')) AS x, list_distinct(string_split(lower(b.p_name || ' ' || b.p_brand), ' ')) AS y
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"""
+
+
+def _pairs(m: Model) -> DataFrame:
+    a = m.part.select(F.col("p_partkey").alias("a"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("x"))
+    b = m.part.select((F.col("p_partkey") - 1).alias("a"), F.col("p_partkey").alias("b"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_brand")), " ")).alias("y"))
+    return a.join(b, "a")
+
+
+@query(f"WITH {PAIR} SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 6) AS score FROM p")
+def fn08_jaccard(m: Model) -> DataFrame:
+    return _pairs(m).select("a", "b", F.round(text.jaccard(F.col("x"), F.col("y"), 1.0), 6).alias("score"))
+
+
+@query(f"WITH {PAIR} SELECT a, b, round(len(list_intersect(x, y)) / least(len(x), len(y))::DOUBLE, 6) AS score FROM p")
+def fn10_overlap(m: Model) -> DataFrame:
+    return _pairs(m).select("a", "b", F.round(text.overlap(F.col("x"), F.col("y")), 6).alias("score"))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def fn11_cosine(m: Model) -> DataFrame:
+    a, b = m.embeddings.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), m.embeddings.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    return a.join(b, "a").select("a", "b", F.round(text.cosine(F.col("x"), F.col("y")), 5).alias("score"))
+
+
+@query(r"""SELECT s_suppkey, array_to_string(list_sort(list_distinct(list_transform(list_concat(list_concat(regexp_extract_all(t, '(?i)@[a-z0-9][\w.-]*/[a-z0-9][\w.-]*'), regexp_extract_all(t, '(?i)\bv?\d+(?:\.\d+)*(?:-[\w.]+)?\b')), regexp_extract_all(t, '\b\d{4}-\d{2}-\d{2}\b')), lambda x: lower(x)))), ',') AS anchors
+FROM (SELECT s_suppkey, '@Org/pkg.' || s_suppkey || ' V' || (s_suppkey % 7) || '.2 since 2024-01-1' || (s_suppkey % 9) || ' ' || s_name AS t FROM supplier)""")
+def fn12_anchors(m: Model) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    t = F.concat(F.lit("@Org/pkg."), key, F.lit(" V"), (F.col("s_suppkey") % 7).cast("string"), F.lit(".2 since 2024-01-1"), (F.col("s_suppkey") % 9).cast("string"), F.lit(" "), F.col("s_name"))
+    return m.supplier.select("s_suppkey", F.array_join(F.array_sort(text.anchors(t)), ",").alias("anchors"))
+
+
+@query(rf"SELECT a.p_partkey, regexp_matches(a.p_name || ' is not removed', '{text.DENIAL}') AND regexp_matches(b.p_type || CASE WHEN b.p_partkey % 2 = 0 THEN ' adds' ELSE ' x' END, '{text.ASSERTION}') OR regexp_matches(b.p_type || CASE WHEN b.p_partkey % 2 = 0 THEN ' adds' ELSE ' x' END, '{text.DENIAL}') AND regexp_matches(a.p_name || ' is not removed', '{text.ASSERTION}') AS signal FROM part a JOIN part b ON a.p_partkey = b.p_partkey".replace("can't", "can''t"))
+def fn14_contradiction_signal(m: Model) -> DataFrame:
+    right = F.concat(F.col("p_type"), F.when(F.col("p_partkey") % 2 == 0, F.lit(" adds")).otherwise(F.lit(" x")))
+    return m.part.select("p_partkey", text.contradiction_signal(F.concat(F.col("p_name"), F.lit(" is not removed")), right).alias("signal"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'certain' WHEN o_totalprice > 100000 THEN 'likely' ELSE 'uncertain' END AS hedge, CAST(ceil(o_totalprice / 4) AS BIGINT) AS estimate, CAST(least(1000 * pow(2, o_orderkey % 8), 30000) AS BIGINT) AS backoff FROM orders")
+def fn42_estimates(m: Model) -> DataFrame:
+    hedge = F.when(F.col("o_totalprice") > 200000, F.lit("certain")).when(F.col("o_totalprice") > 100000, F.lit("likely")).otherwise(F.lit("uncertain"))
+    backoff = F.least(F.lit(1000.0) * F.pow(F.lit(2.0), F.col("o_orderkey") % 8), F.lit(30000.0)).cast("long")
+    return m.orders.select("o_orderkey", hedge.alias("hedge"), F.ceil(F.col("o_totalprice") / 4).cast("long").alias("estimate"), backoff.alias("backoff"))
+
+
+@query("SELECT event_id, sha256(props) AS payload_hash FROM events")
+def fn19_payload_hash(m: Model) -> DataFrame:
+    return m.events.select("event_id", F.sha2(F.col("props").cast("binary"), 256).alias("payload_hash"))
+
+
+@query("""WITH RECURSIVE h AS (SELECT n_nationkey, n_name, 1 AS i, CAST(5381 AS BIGINT) AS v FROM nation UNION ALL SELECT n_nationkey, n_name, i + 1, (v * 33 + ascii(substr(n_name, i, 1))) % 4294967296 FROM h WHERE i <= len(n_name))
+SELECT n_nationkey, 'djb2:' || lower(to_hex(v)) AS hash FROM h WHERE i = len(n_name) + 1""")
+def fn18_djb2(m: Model) -> DataFrame:
+    return m.nation.select("n_nationkey", text.djb2(F.col("n_name")).alias("hash"))
+
+
+HOST = r"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^(?i)https?://([^/?#]+)', 1)), '^[^@]*@', ''), ':[0-9]+$', ''), '^www\.', '')"
+
+
+@query(f"SELECT page_id, {HOST} AS host FROM pages")
+def fn22_host(m: Model) -> DataFrame:
+    return m.pages.select("page_id", addresses.host_of(F.col("url")).alias("host"))
+
+
+TRACK = "(" + ", ".join(f"'{w}'" for w in addresses.TRACKING) + ")"
+
+
+@query(rf"""WITH x AS (SELECT page_id, trim(url) AS url, lower(regexp_extract(url, '^(?i)(https?)://', 1)) AS scheme, lower(regexp_extract(url, '^(?i)https?://([^/?#]+)', 1)) AS host,
+ regexp_extract(url, '^(?i)https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
+y AS (SELECT *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda p: p <> '' AND regexp_replace(p, '=.*$', '') NOT IN {TRACK})), '&') AS qq FROM x)
+SELECT page_id, CASE WHEN host = '' THEN url ELSE scheme || '://' || host || CASE WHEN qq = '' THEN CASE WHEN path = '/' THEN '' ELSE path END ELSE CASE WHEN path = '' THEN '/' ELSE path END || '?' || qq END END AS canonical FROM y""")
+def fn20_canonical_url(m: Model) -> DataFrame:
+    return m.pages.select("page_id", addresses.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query(rf"SELECT page_id, strlen(url) <= 8192 AND regexp_matches(url, '^(?i)https?://[^/?#@]+') AND NOT regexp_matches({HOST}, '^([0-9.]+|localhost|.*\.localhost)$') AS ok FROM pages")
+def flt11_fetchable(m: Model) -> DataFrame:
+    return m.pages.select("page_id", addresses.fetchable(F.col("url")).alias("ok"))
+
+
+@query(f"""SELECT page_id, CASE WHEN {HOST} = 'wikipedia.org' OR {HOST} LIKE '%.wikipedia.org' THEN 'encyclopedia' WHEN {HOST} IN ('npmjs.com', 'pypi.org', 'crates.io', 'rubygems.org') THEN 'package_registry'
+ WHEN page_id % 4 = 0 THEN 'news' WHEN page_id % 4 = 1 THEN 'official_spec' WHEN page_id % 4 = 2 THEN 'forum_social' ELSE 'third_party_analysis' END AS authority_class FROM pages WHERE {HOST} <> 'github.com'""")
+def fn23_authority(m: Model) -> DataFrame:
+    kind = F.when(F.col("page_id") % 4 == 0, F.lit("news")).when(F.col("page_id") % 4 == 1, F.lit("official_docs")).when(F.col("page_id") % 4 == 2, F.lit("reddit")).otherwise(F.lit("academic"))
+    return m.pages.where(addresses.host_of(F.col("url")) != "github.com").select("page_id", addresses.authority_of(F.col("url"), kind).alias("authority_class"))
+
+
+@query(f"""SELECT canonical, page_id FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY page_id % 2, page_id) AS n FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS canonical FROM pages)) WHERE n = 1""")
+def ag20_dedup_sources(m: Model) -> DataFrame:
+    rows = m.pages.select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("canonical"))
+    return rows.groupBy("canonical").agg(F.min_by("page_id", F.struct((F.col("page_id") % 2), F.col("page_id"))).alias("page_id"))
+
+
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_size > b.p_size AS newer FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+def fn29_newer_version(m: Model) -> DataFrame:
+    a = m.part.select(F.col("p_partkey").alias("a"), F.concat(F.lit("v1."), F.col("p_size").cast("string")).alias("x"))
+    b = m.part.select((F.col("p_partkey") - 1).alias("a"), F.col("p_partkey").alias("b"), F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".0")).alias("y"))
+    return a.join(b, "a").select("a", "b", text.newer_version(F.col("x"), F.col("y")).alias("newer"))
+
+
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_brand <> b.p_brand THEN false ELSE abs(a.p_retailprice - b.p_retailprice) / greatest(abs(a.p_retailprice), abs(b.p_retailprice), 1) <= 0.1 END AS agree
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+def fn28_numbers_agree(m: Model) -> DataFrame:
+    a = m.part.select(F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("v"), F.col("p_brand").alias("u"))
+    b = m.part.select((F.col("p_partkey") - 1).alias("a"), F.col("p_partkey").alias("b"), F.col("p_retailprice").alias("w"), F.col("p_brand").alias("x"))
+    return a.join(b, "a").select("a", "b", text.numbers_agree(F.col("v"), F.col("u"), F.col("w"), F.col("x")).alias("agree"))
+
+
+SETS = r"""s AS (SELECT conv_id * 100 + turn AS id, role AS block, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda t: t <> '')) AS t FROM conversations WHERE text IS NOT NULL)"""
+
+
+def _findings(m: Model) -> DataFrame:
+    rows = m.conversations.where("text is not null")
+    return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("block"), text.plain_tokens(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("tokens"))
+
+
+@query(f"""WITH {SETS} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) AS score FROM s a JOIN s b ON a.block = b.block AND a.id < b.id AND len(a.t) > 0 AND len(b.t) > 0
+WHERE round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) >= 0.58""")
+def jn11_similar_pairs(m: Model) -> DataFrame:
+    return graph.similar_pairs(_findings(m), 0.58, ["block"])
+
+
+@query(f"""WITH RECURSIVE {SETS}, e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.block = b.block AND a.id % 2 = b.id % 2 AND a.id <> b.id AND len(a.t) > 0 AND len(b.t) > 0
+WHERE round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) >= 0.8), r AS (SELECT id AS a, id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS id, min(b) AS cluster FROM r GROUP BY a""")
+def al05_finding_clusters(m: Model) -> DataFrame:
+    return graph.linked_findings(_findings(m).withColumn("positive", F.col("id") % 2 == 0), ["block"], 0.8).select("id", "cluster")
+
+
+ASSERTIONS = r"""x AS (SELECT p_partkey AS id, p_brand AS family_id, p_name AS subject, p_type AS predicate, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_type END AS object,
+ CASE p_partkey % 7 WHEN 0 THEN 'negative' WHEN 1 THEN 'conditional' ELSE 'positive' END AS polarity, CASE p_partkey % 2 WHEN 0 THEN 'certain' ELSE 'likely' END AS hedge,
+ CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS value, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'kg' END AS unit FROM part)"""
+
+
+def _assertions(m: Model) -> DataFrame:
+    k = F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    return m.part.select(
+        k.alias("id"), F.col("p_brand").alias("family_id"), F.col("p_name").alias("subject"), F.col("p_type").alias("predicate"), F.when(k % 3 == 0, F.concat_ws(" ", "p_name", "p_type")).alias("object"),
+        F.when(k % 7 == 0, F.lit("negative")).when(k % 7 == 1, F.lit("conditional")).otherwise(F.lit("positive")).alias("polarity"), F.when(k % 2 == 0, F.lit("certain")).otherwise(F.lit("likely")).alias("hedge"),
+        F.when(k % 4 != 0, F.col("p_size").cast("double")).alias("value"), F.when(k % 4 != 0, F.lit("kg")).alias("unit"), none.alias("event_date"), none.alias("version"), none.alias("entity_id"),
+    )
+
+
+W = r"list_distinct(list_filter(string_split({0}, ' '), lambda t: t <> ''))"
+RECON = rf"""WITH {ASSERTIONS}, n AS (SELECT *, {UNI.format('subject')} AS ns, {UNI.format('predicate')} AS np, {UNI.format("coalesce(object, '')")} AS nobj,
+ {UNI.format("subject || ' ' || predicate || ' ' || coalesce(object, '')")} AS nt FROM x),
+p AS (SELECT o.id AS oid, c.id AS cid, o.polarity AS op, c.polarity AS cp, o.hedge AS oh, c.hedge AS ch, o.nobj AS oo, c.nobj AS co, o.nt AS ot, o.ns = c.ns AND o.np = c.np AS head,
+ coalesce(CAST(o.value AS STRING) || '_' || o.unit, '') = coalesce(CAST(c.value AS STRING) || '_' || c.unit, '') AS eqq,
+ CASE WHEN o.value IS NULL OR c.value IS NULL THEN NULL ELSE abs(o.value - c.value) / greatest(abs(o.value), abs(c.value), 1) <= 0.1 END AS num,
+ len(list_intersect({W.format('o.nt')}, {W.format('c.nt')})) / len(list_distinct(list_concat({W.format('o.nt')}, {W.format('c.nt')})))::DOUBLE AS jac,
+ CASE WHEN o.nobj = '' OR c.nobj = '' THEN 1.0 ELSE len(list_intersect({W.format('o.nobj')}, {W.format('c.nobj')})) / len(list_distinct(list_concat({W.format('o.nobj')}, {W.format('c.nobj')})))::DOUBLE END AS ojac
+ FROM n o JOIN n c ON o.family_id = c.family_id WHERE o.id % 10 = 0 AND c.id % 10 IN (1, 2)),
+s AS (SELECT *, head AND eqq AND oo = co AS keyed, head AND ojac >= 0.3 AS scoped FROM p),
+t AS (SELECT *, round(CASE WHEN keyed AND op = cp AND coalesce(num, true) THEN 1.0 ELSE greatest(0, least(1, jac * 0.7 + CASE WHEN num IS NULL THEN 0.5 WHEN num THEN 1.0 ELSE 0.0 END * 0.15 + CASE WHEN op = cp THEN 0.1 ELSE 0 END + CASE WHEN oh = ch THEN 0.05 ELSE 0 END)) END::DOUBLE, 6) AS score FROM s),
+"""
+
+
+@query(RECON + "z AS (SELECT 1) SELECT oid AS observation_id, cid AS claim_id, score FROM t")
+def al01_pair_scores(m: Model) -> DataFrame:
+    rows = _assertions(m)
+    scored = reconcile.scored_pairs(rows.where("id % 10 = 0"), rows.where("id % 10 in (1, 2)"))
+    return scored.select(F.col("o_id").alias("observation_id"), F.col("c_id").alias("claim_id"), "score")
+
+
+@query(RECON + r"""r AS (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY score DESC, cid) AS place, lead(score) OVER (PARTITION BY oid ORDER BY score DESC, cid) AS second FROM t),
+b AS (SELECT *, CASE WHEN scoped AND op <> cp AND op <> 'conditional' AND cp <> 'conditional' THEN 'contradiction' WHEN scoped AND NOT coalesce(num, true) THEN 'contradiction'
+ WHEN (op = 'conditional' OR (oh <> ch AND ch = 'certain') OR regexp_matches(ot, '(?i)\b(only|unless|when|if|provided|limited to|under)\b')) AND (scoped OR keyed) THEN 'qualification'
+ WHEN head AND len(oo) > len(co) AND contains(oo, co) THEN 'elaboration'
+ WHEN keyed OR (score >= 0.92 AND scoped) THEN CASE WHEN NOT keyed AND coalesce(score - second < 0.10, false) THEN 'near_duplicate' ELSE 'same_claim' END WHEN score >= 0.78 THEN 'near_duplicate' ELSE 'new_claim' END AS k FROM r WHERE place = 1)
+SELECT o.p_partkey AS observation_id, coalesce(k, 'new_claim') AS classification, coalesce(score, 0.0) AS score,
+ CASE WHEN keyed THEN 'canonical_key_exact' WHEN score >= 0.92 AND scoped THEN 'entity_aware_v3' ELSE 'lexical_rules_v2' END AS method,
+ CASE WHEN coalesce(k, 'new_claim') <> 'new_claim' THEN cid END AS matched_claim_id, CASE WHEN k = 'same_claim' THEN CAST(cid AS STRING) ELSE 'claim_' || CAST(o.p_partkey AS STRING) END AS canonical_claim_id
+FROM (SELECT p_partkey FROM part WHERE p_partkey % 10 = 0) o LEFT JOIN b ON b.oid = o.p_partkey""")
+def al03_reconcile_batch(m: Model) -> DataFrame:
+    rows = _assertions(m)
+    return reconcile.plan_batch(rows.where("id % 10 = 0"), rows.where("id % 10 in (1, 2)"))
+
+
+@query(rf"""WITH {ASSERTIONS}, k AS (SELECT *, {UNI.format('subject')} || '|' || {UNI.format('predicate')} || '|' || {UNI.format("coalesce(object, '')")} AS key FROM x)
+SELECT CAST(id AS STRING) AS observation_id, 'claim_' || CAST(first_value(id) OVER (PARTITION BY family_id, key ORDER BY id) AS STRING) AS canonical_claim_id, id = first_value(id) OVER (PARTITION BY family_id, key ORDER BY id) AS created FROM k""")
+def str09_reconcile_in_order(m: Model) -> DataFrame:
+    return reconcile.plan_in_order(_assertions(m), "id")
