@@ -78,7 +78,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
-  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
 ), members AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 shared AS (
