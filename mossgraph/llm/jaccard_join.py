@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .storage import parallelism, written
+from .storage import parallelism, set_aside, written
 from .words import U, chain, slices, word_hashes
 
 #: Counters of the frequency sketch: one byte each, whatever the input, in so many blocks.
@@ -242,7 +242,7 @@ def link_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     if not repeated.isEmpty():  # ids with several texts tie their classes together
         edges = same if links is None else same.union(links)
         found = connected_components(edges)
-        labels = found.select("_id" if "_id" in found.columns else F.col("id").alias("_id"), F.col("component").alias("component_id"))
+        labels = found.select(F.col("id").alias("_id"), F.col("component").alias("component_id"))
         out = table.join(labels, "_id", "left")
     else:
         keyed = table.join(classes.select("class", "n", F.col("_id").alias("first")), ["class", "n"], "left").join(roots, "first", "left")
@@ -252,5 +252,6 @@ def link_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
 
 def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with only the row of the smallest id of each group; rows with a null id or an empty set all stay."""
+    docs, back = set_aside(docs, {"_gone"})
     groups = link_groups(docs, width, num, den, id_col, text_col).where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(groups, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(groups, docs[id_col] == F.col("_gone"), "left_anti").withColumnsRenamed(back)

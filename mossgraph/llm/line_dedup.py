@@ -9,7 +9,7 @@ earliest of its interval, by id and line, is deleted; what overlapping runs dele
 
 So each line that is deleted is, with its neighbours, part of a run of ``min_words`` words or more that occurs earlier, and
 one copy always stays.  Lines without a word are never deleted and do not part a run.  Null texts stay null, empty texts
-empty.  Rows that repeat an id with another text are documents of their own, ordered by a digest of the text; rows that are
+empty; columns called n_lines or n_removed are replaced.  Rows that repeat an id with another text are documents of their own, ordered by a digest of the text; rows that are
 repeated whole are one document and get the same result.  A null id comes first.  Other columns stay as they are.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality_rules import SPACE, SPACES
-from .storage import written
+from .storage import set_aside, written
 
 DOC = ["_k", "_h"]
 LEAST = -(1 << 63)
@@ -85,6 +85,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` without later copies of repeated runs of lines, with ``n_lines`` and ``n_removed``; all rows stay."""
+    docs, back = set_aside(docs, {"_k", "_h", "_gk", "_gh", "_gone", "_lines", "_stay", "_new"})
     gone = written(repeated_lines(docs, min_words, id_col, text_col)).withColumnRenamed("_k", "_gk").withColumnRenamed("_h", "_gh")
     keyed = docs.withColumns({"_k": F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), "_h": F.xxhash64(text_col)})
     both = keyed.join(gone, (F.col("_k") == F.col("_gk")) & (F.col("_h") == F.col("_gh")), "left")
@@ -95,5 +96,5 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n")) + 1)
     out = lines.withColumns({"n_lines": n_lines.cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "_new": text})
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    columns = [F.col("_new").alias(c) if c == text_col else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in kept]
+    columns = [F.col("_new").alias(c) if c == text_col else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(f"`{c}`").alias(back.get(c, c)) for c in kept]
     return out.select(*columns, "n_lines", "n_removed")

@@ -8,7 +8,7 @@ is one small aggregation: counts by statistic, bin and label.
 Fitting uses about ``max_labelled`` labelled rows at most, taken by hash of the id; everything else covers all rows.  Null
 and empty texts have no words and fail the base conditions.  Without labels of both kinds there are no rules, and the base
 conditions alone decide.  Null ids are never labelled.  Rows are independent, so repeated rows get equal verdicts; several
-labels of an id are all used.  Other columns of ``docs`` stay as they are.
+labels of an id are all used.  Columns of ``docs`` that begin with ``_q_`` are replaced; others stay as they are.
 """
 
 from __future__ import annotations

@@ -27,3 +27,9 @@ def written(frame: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def set_aside(frame: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``frame`` with columns called like ``names`` renamed, and how to call them again."""
+    back = {f"own {c}": c for c in frame.columns if c in names}
+    return frame.select([frame[f"`{c}`"].alias(f"own {c}") if c in names else frame[f"`{c}`"] for c in frame.columns]), back
