@@ -1,7 +1,7 @@
 """Conversations as one text each, with a loss mask, checked by reading them back.
 
-A turn is rendered as ``### role: text </turn>`` and a newline.  The control strings are ``###`` and ``</turn>``; one that
-follows a backslash is content.  Each rendered turn is parsed by a deterministic parser and compared with its source; while
+A turn is rendered as ``### role: text </turn>`` and a newline.  The control strings are runs of three or more ``#`` and
+``</turn>``; one that follows a backslash is content.  Each rendered turn is parsed by a deterministic parser and compared with its source; while
 they differ, one more backslash is put before every control string of the text (with the backslashes that it has), which
 the parser takes away again.  Turns are rendered and read in a stream, sorted within partitions, so a conversation of any
 length needs no more memory than its longest turn.
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .storage import parallelism
 
-CONTROL = re.compile(r"\\*(?:###|</turn>)")
-ESCAPED = re.compile(r"\\(\\*(?:###|</turn>))")
+CONTROL = re.compile(r"\\*(?:#{3,}|</turn>)")
+ESCAPED = re.compile(r"\\(\\*(?:#{3,}|</turn>))")
 OPEN = re.compile(r"### ([A-Za-z0-9_%-]*): ")
-LIVE = re.compile(r"(?<!\\)(?:###|</turn>)")
+LIVE = re.compile(r"(?<![\\#])#{3,}|(?<!\\)</turn>")
 CLOSE = " </turn>\n"
 
 

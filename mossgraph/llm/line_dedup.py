@@ -96,5 +96,5 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n")) + 1)
     out = lines.withColumns({"n_lines": n_lines.cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "_new": text})
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    columns = [F.col("_new").alias(c) if c == text_col else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(f"`{c}`").alias(back.get(c, c)) for c in kept]
+    columns = [F.col("_new").alias(c) if c == text_col else F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length("_new").cast(docs.schema[c].dataType)).alias(c) if c == length_col else F.col(f"`{c}`").alias(back.get(c, c)) for c in kept]
     return out.select(*columns, "n_lines", "n_removed")

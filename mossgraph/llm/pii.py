@@ -174,17 +174,20 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def mask_personal_data(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced by bracketed kinds; all other columns and all rows stay."""
+    """``docs`` with personal data in ``text_col`` replaced by bracketed kinds, and ``length_col`` where a text
+    changed; all other columns and all rows stay."""
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
         for batch in batches:
             arrays = dict(zip(names, batch.columns, strict=True))
-            texts = [masked(t, finder(t)) if t else t for t in arrays[text_col].to_pylist()]
+            before = arrays[text_col].to_pylist()
+            texts = [masked(t, finder(t)) if t else t for t in before]
             arrays[text_col] = pa.array(texts, pa.string())
             if length_col in arrays:
-                arrays[length_col] = pa.array([None if t is None else len(t) for t in texts], arrays[length_col].type)
+                sizes = zip(before, texts, arrays[length_col].to_pylist(), strict=True)
+                arrays[length_col] = pa.array([n if t == b else len(t) for b, t, n in sizes], arrays[length_col].type)
             yield pa.RecordBatch.from_arrays(list(arrays.values()), names)
 
     return docs.mapInArrow(run, schema)
