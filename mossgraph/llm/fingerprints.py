@@ -1,6 +1,6 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-A text is cut into paragraph parts: lines, cut further at sentence ends and after 96 characters, so that one-line texts have
+A text is cut into paragraph parts: lines, cut further at sentence ends and after 40 characters, so that one-line texts have
 parts too; the parts joined are the text.  Each part is hashed to LANES signed 16-bit numbers; a fingerprint is their sum
 over all parts, lane by lane, modulo 2**32.  So it does not depend on the order of parts, equal texts have equal
 fingerprints, and a part is inserted or deleted by adding or subtracting its own vector.  As the entries of a part's vector
@@ -23,8 +23,8 @@ from .storage import parallelism
 
 LANES = 64
 MODULUS = 1 << 32
-#: A part: up to 96 characters of a line with the marks that end them, or marks alone.
-PART = r"[^\n.!?]{1,96}[\n.!?]*|[\n.!?]+"
+#: A part: up to 40 characters of a line with the marks that end them, or marks alone.
+PART = r"[^\n.!?]{1,40}[\n.!?]*|[\n.!?]+"
 #: Documents in a range of ids, about; ranges at most.
 RANGE_ROWS, RANGES = 4000, 1 << 14
 

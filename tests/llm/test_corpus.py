@@ -103,7 +103,8 @@ def test_fingerprints(spark, docs, rows, empty):
         by_text[text].add(r.fingerprint)
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert all(len(v) == 1 for v in by_text.values()) and len(set.union(*by_text.values())) == len(by_text)
-    assert sum(r.near_edited > r.near_next for r in got) >= 0.8 * len(got)
+    unlike = [r for r in got if r.n_chars >= 150 and r.near_next < 0.5]
+    assert len(unlike) > 30 and all(r.near_edited > r.near_next for r in unlike)
     assert fingerprints.edited_likeness(empty).count() == 0
 
 
