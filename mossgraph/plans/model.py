@@ -30,6 +30,17 @@ VIEWS: dict[str, str] = {
         CASE event_type WHEN 'view' THEN 'RUN_PROGRESS' WHEN 'signup' THEN 'RUN_QUEUED' WHEN 'click' THEN 'RUN_RUNNING' WHEN 'purchase' THEN 'RUN_COMPLETED' ELSE 'RUN_FAILED' END AS event_type,
         value, props FROM events""",
 }
+VIEWS["klog"] = """SELECT o_orderkey * 10 AS seq, 'r' || CAST(o_custkey % 50 AS STRING) AS run_id, 'CLAIM_OBSERVED' AS event_type, '{"claimId":"c' || CAST(o_orderkey % 700 AS STRING) || '","familyId":"f' || CAST(o_custkey % 20 AS STRING)
+  || '","subject":"s' || CAST(o_orderkey AS STRING) || '","observedAt":"' || CAST(CAST(o_orderdate AS DATE) AS STRING) || '"}' AS payload FROM orders WHERE o_orderkey < 1500
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'r' || CAST(min(l_suppkey) % 50 AS STRING), 'EVIDENCE_LINKED', '{"id":"e' || CAST(l_orderkey % 900 AS STRING) || '-' || CAST(l_linenumber AS STRING) || '","claimId":"c' || CAST(l_orderkey % 700 AS STRING)
+  || '","stance":"' || CASE min(l_returnflag) WHEN 'A' THEN 'supports' WHEN 'R' THEN 'opposes' ELSE 'context' END || '"}' FROM lineitem WHERE l_orderkey < 1500 GROUP BY l_orderkey, l_linenumber
+UNION ALL SELECT o_orderkey * 10 + 8, 'r1', 'CLAIM_MERGED', '{"claimId":"c' || CAST(o_orderkey AS STRING) || '","intoClaimId":"c' || CAST(o_orderkey + 1 AS STRING) || '"}' FROM orders WHERE o_orderkey < 690 AND o_orderkey % 97 IN (5, 6, 7, 40)
+UNION ALL SELECT o_orderkey * 10 + 9, 'r' || CAST(o_custkey % 50 AS STRING), 'CLAIM_EXPIRED', '{"claimId":"c' || CAST(o_orderkey % 700 AS STRING) || '","expiredAt":"2024-01-0' || CAST(o_orderkey % 9 + 1 AS STRING) || '"}' FROM orders WHERE o_orderkey < 1500 AND o_orderkey % 31 = 3
+UNION ALL SELECT 2000000 + event_id, 'r' || CAST(user_id % 50 AS STRING), CASE event_type WHEN 'view' THEN 'SOURCE_OBSERVED' WHEN 'click' THEN 'SOURCE_READ' WHEN 'error' THEN 'SOURCE_RETRACTED' WHEN 'signup' THEN 'EDGE_ADDED' ELSE 'EDGE_REMOVED' END,
+  CASE event_type WHEN 'view' THEN '{"sourceId":"s' || CAST(user_id % 40 AS STRING) || '","url":"https://d' || CAST(event_id % 7 AS STRING) || '.example/' || CAST(event_id AS STRING) || '","domain":"d' || CAST(event_id % 7 AS STRING) || '.example",' || CASE WHEN event_id % 3 = 0 THEN '"authorityClass":"news",' ELSE '' END || '"observedAt":"t' || CAST(2000000 + event_id AS STRING) || '"}'
+    WHEN 'click' THEN '{"sourceId":"s' || CAST(user_id % 40 AS STRING) || '","contentHash":"h' || CAST(event_id AS STRING) || '"}' WHEN 'error' THEN '{"sourceId":"s' || CAST(user_id % 40 + CASE WHEN user_id % 5 = 0 THEN 0 ELSE 1000 END AS STRING) || '"}'
+    WHEN 'signup' THEN '{"id":"g' || CAST(event_id % 300 AS STRING) || '","fromClaimId":"c' || CAST(event_id % 11 AS STRING) || '","toClaimId":"c' || CAST(event_id % 13 AS STRING) || '","relation":"supports"}' ELSE '{"edgeId":"g' || CAST(event_id % 300 AS STRING) || '"}' END FROM events WHERE event_id < 5000
+UNION ALL SELECT 9000000 + n_nationkey, 'r0', 'RUN_ROLLED_BACK', '{"run_id":"r' || CAST(n_nationkey * 3 AS STRING) || '"}' FROM nation WHERE n_nationkey < 8"""
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -51,7 +62,8 @@ class Model:
         for table in TABLES:
             if f"FROM {table}" in sql or f"JOIN {table}" in sql:
                 used[table] = self.table(table)
-                sql = sql.replace(f"FROM {table}", f"FROM {{{table}}}").replace(f"JOIN {table} ON", f"JOIN {{{table}}} ON")
+                sql = sql.replace(f"FROM {table}", f"FROM [{table}]").replace(f"JOIN {table} ON", f"JOIN [{table}] ON")
+        sql = sql.replace("{", "{{").replace("}", "}}").replace("[", "{").replace("]", "}")
         return self.spark.sql(sql, **used)
 
 
