@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mossgraph.llm import jaccard_join, line_dedup, packing, pii, quality_rules
 from mossgraph.llm.storage import written
@@ -14,7 +13,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned rules keep."""
     rules = quality_rules.learn_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judged(docs, rules).where(F.col(f"{quality_rules.PREFIX}kept")).select(*COLUMNS)
+    return quality_rules.kept_rows(docs.select(*COLUMNS), rules)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -37,6 +37,10 @@ SKETCH = 1 << 22
 BLOCKS = 64
 #: Blocks of an index list longer than this are worked by pivots first, for so many rounds at most.
 LONG, ROUNDS = 512, 2
+#: So many of a set's indexed shingles travel with each of its entries.
+HEAD = 16
+#: Buckets of ids, so many whatever the input: texts of other buckets are left out before any shuffle.
+BUCKETS = 1 << 20
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
@@ -152,7 +156,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             found = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["_id", "set"])
 
-    return docs.join(ids, "_id", "left_semi").mapInArrow(run, "_id long, set binary")
+    bucket = F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)).cast("int")
+    near = docs.withColumn("_b", bucket).join(F.broadcast(ids.select(bucket.alias("_b")).distinct()), "_b", "left_semi").select("_id", "_text")  # BUCKETS rows at most
+    return near.join(ids, "_id", "left_semi").mapInArrow(run, "_id long, set binary")
 
 
 def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
@@ -174,8 +180,9 @@ def link_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     lists = entries.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
     blocks = entries.join(lists, "s").withColumn("band", band).select("_id", "n", "s", "band", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("block"))
     long_enough = blocks.groupBy("s", "block").agg(F.count("*").alias("c")).where("c > 1")
-    index = written(blocks.join(long_enough, ["s", "block"]))
-    fits = "den * least(n, m) >= num * greatest(n, m)".replace("den", str(den)).replace("num", str(num))
+    own = F.array_sort(F.collect_list("s").over(Window.partitionBy("_id", "n", "block")))
+    index = blocks.join(long_enough, ["s", "block"]).withColumn("own", own)
+    index = written(index.select("_id", "n", "s", "band", "block", "c", F.size("own").alias("k"), F.slice("own", 1, HEAD).alias("head"), F.expr("get(own, array_position(own, s) - 2)").alias("former")))
 
     links = None
     tried = None
@@ -208,21 +215,18 @@ def link_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     rest = work.join(open_blocks, ["s", "block"])
     tally = rest.groupBy("s", "block", "group").agg(F.count("*").alias("k"))
     main = tally.groupBy("s", "block").agg(F.max(F.struct("k", "group")).alias("top")).select("s", "block", F.col("top.group").alias("main"))
-    marked = (
-        rest.join(main, ["s", "block"]).join(classes.select("_id", "n", "prefix"), ["_id", "n"])
-        .select("_id", "n", "s", "band", "block", "group", "prefix", (F.col("group") == F.col("main")).alias("inner"))
-    )
+    marked = rest.join(main, ["s", "block"]).select("_id", "n", "s", "band", "block", "group", "k", "head", "former", (F.col("group") == F.col("main")).alias("inner"))
     outer = marked.where("not inner")
-    other = marked.select(F.col("_id").alias("id2"), F.col("n").alias("m"), "s", F.col("band").alias("band2"), "block", F.col("group").alias("group2"), F.col("prefix").alias("prefix2"), F.col("inner").alias("inner2"))
+    other = marked.select("s", "block", *[F.col(c).alias(f"{c}2") for c in ("_id", "n", "band", "group", "k", "head", "former", "inner")])
     # A link's overlap is ceil(t / (1 + t) * (n + m)); so many common positions of both prefixes follow from it.  A pair is
-    # taken once, in the list of the least shingle that both prefixes hold.
-    required = f"cast(ceil({num} * (n + m) / {num + den}.0 - 1e-9) as long) - cast(ceil({num} * greatest(n, m) / {den}.0 - 1e-9) as long) + 1"
-    common = "array_intersect(prefix, prefix2)"
+    # taken in the list of the least shingle that both heads hold; if they hold none, where a run of common ones begins.
+    required = f"cast(ceil({num} * (n + n2) / {num + den}.0 - 1e-9) as long) - cast(ceil({num} * greatest(n, n2) / {den}.0 - 1e-9) as long) + 1"
+    common = "array_min(array_intersect(head, head2))"
     pairs = (
         outer.join(other, ["s", "block"])
-        .where(f"group <> group2 and (inner2 or _id < id2) and block = greatest(band, band2) and {fits}")
-        .where(f"size({common}) >= {required} and array_min({common}) = s")
-        .select(F.least("_id", "id2").alias("a"), F.greatest("_id", "id2").alias("b")).distinct()
+        .where(f"group <> group2 and (inner2 or _id < _id2) and block = greatest(band, band2) and {den} * least(n, n2) >= {num} * greatest(n, n2)")
+        .where(f"least(k, k2) >= {required} and CASE WHEN {common} IS NULL THEN NOT (former <=> former2) OR former IS NULL ELSE {common} = s END")
+        .select(F.least("_id", "_id2").alias("a"), F.greatest("_id", "_id2").alias("b")).distinct()
     )
     if tried is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")

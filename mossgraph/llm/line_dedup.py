@@ -22,6 +22,8 @@ from .quality_rules import SPACE, SPACES
 from .storage import set_aside, written
 
 DOC = ["_k", "_h"]
+#: Buckets of documents, so many whatever the input: a bucket without deletions passes its texts on without a shuffle.
+BUCKETS = 1 << 20
 LEAST = -(1 << 63)
 
 
@@ -37,7 +39,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     lines = lines.select(*DOC, "_line", F.md5(F.col("_l").cast("binary")).alias("_digest"), F.least(F.size(F.split("_l2", SPACE)), F.lit(min_words)).alias("_w"))
     twice = _ranked(lines.groupBy("_digest").agg(F.count("*").alias("_c")).where("_c > 1"), ["_digest"], "r0")
     # Place among the document's lines with a word; neighbours in a run have neighbouring places.
-    placed = lines.withColumn("_q", F.row_number().over(Window.partitionBy(*DOC).orderBy("_line")))
+    placed = lines.withColumn("_q", F.dense_rank().over(Window.partitionBy(*DOC).orderBy("_line")))
     kept = placed.join(twice, "_digest").select(*DOC, "_line", "_q", "_w", "r0").dropDuplicates([*DOC, "_q"])
     run = Window.partitionBy(*DOC).orderBy("_q")
     table = written(kept.withColumn("_run", F.col("_q") - F.row_number().over(run)))
@@ -85,10 +87,13 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` without later copies of repeated runs of lines, with ``n_lines`` and ``n_removed``; all rows stay."""
-    docs, back = set_aside(docs, {"_k", "_h", "_gk", "_gh", "_gone", "_lines", "_stay", "_new"})
+    docs, back = set_aside(docs, {"_k", "_h", "_gk", "_gh", "_gone", "_lines", "_stay", "_new", "_b"})
     gone = written(repeated_lines(docs, min_words, id_col, text_col)).withColumnRenamed("_k", "_gk").withColumnRenamed("_h", "_gh")
-    keyed = docs.withColumns({"_k": F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), "_h": F.xxhash64(text_col)})
-    both = keyed.join(gone, (F.col("_k") == F.col("_gk")) & (F.col("_h") == F.col("_gh")), "left")
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    hit = F.broadcast(gone.select(bucket(F.col("_gh")).alias("_b")).distinct())  # BUCKETS rows at most
+    keyed = docs.withColumns({"_k": F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), "_h": F.xxhash64(text_col)}).withColumn("_b", bucket(F.col("_h")))
+    touched = keyed.join(hit, "_b", "left_semi").join(gone, (F.col("_k") == F.col("_gk")) & (F.col("_h") == F.col("_gh")), "left").drop("_gk", "_gh")
+    both = touched.unionByName(keyed.join(hit, "_b", "left_anti").withColumn("_gone", F.lit(None).cast(gone.schema["_gone"].dataType)))
     lines = both.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(text_col, "\n")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     lines = lines.withColumn("_stay", F.when(F.col("_gone").isNotNull(), stay))

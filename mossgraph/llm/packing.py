@@ -16,7 +16,9 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,49 +26,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import written
+from .token_counts import PLAIN
+from .words import slices
 
 MEMO_WORDS = 700_000
 #: Salts within one length, so that no task ranks all pieces of a length that a third of the documents may share.
 SALTS = 128
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids of words (maximal runs without ASCII white space) as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.memo: dict[bytes, bytes] = {}
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list({w for w in words if w not in self})
-        if len(self) + len(new) > MEMO_WORDS:
-            self.clear()
-            new = list(set(words))
-        found = self.encode([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        self.normal, self.pieces, self.tokens = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str, self.library.model.tokenize
+
+    def learn(self, words: set[bytes]) -> None:
+        """Take in all of ``words``; plain ones share the ids of their letters, in lower case, and of their marks."""
+        memo = self.memo
+        new = words.difference(memo)
+        if len(memo) + len(new) > MEMO_WORDS:
+            memo.clear()
+            new = words
+        plain = {w: (m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))}
+        for part in {p for pair in plain.values() for p in pair}.union(new.difference(plain)).difference(memo):
+            memo[part] = array("I", self._ids(part.decode("utf-8", "surrogatepass"))).tobytes()
+        memo.update((w, memo[letters] + memo[marks]) for w, (letters, marks) in plain.items())
+
+    def _ids(self, word: str) -> list[int]:
+        """The library's steps one by one where no special token can be in the word."""
+        if "<" in word:
+            return self.library.encode(word, add_special_tokens=False).ids
+        pieces = [word] if word.isascii() and word.isalpha() and word.islower() else [p for p, _ in self.pieces(self.normal(word))]
+        return [t.id for p in pieces for t in self.tokens(p)]
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: each text's ids and the end id, cut only where longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordIds(tokenizer_file)
+        words_ids = WordIds(tokenizer_file)
+        memo = words_ids.memo
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                try:
-                    ids = b"".join(map(memo.__getitem__, words)) + end
-                except KeyError:
-                    memo.learn(words)
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, last in slices(texts):
+                split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[first:last]]
+                words_ids.learn(set(chain.from_iterable(split)))
+                for key, words in zip(keys[first:last], split, strict=True):
                     ids = b"".join(map(memo.__getitem__, words)) + end
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((key, n, at // 4, len(part) // 4, zlib.crc32(part)))
+                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((key, n, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [id_col, "piece", "start", "length", "ids_crc32"])

@@ -180,3 +180,12 @@ def judged(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text"
     """``docs`` with statistics and ``_q_rule`` and ``_q_kept``."""
     found = with_statistics(docs, text_col).withColumn(f"{PREFIX}rule", verdict(rules))
     return found.withColumn(f"{PREFIX}kept", ~F.col(f"{PREFIX}base_failed") & (F.col(f"{PREFIX}rule") == 0))
+
+
+def kept_rows(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that pass, with their own columns.
+
+    The verdict goes through a generator: a filter on it would otherwise be pushed below the projections, and each use of a
+    statistic in it would compute that statistic anew."""
+    found = judged(docs, rules, text_col)
+    return found.select(*docs.columns, F.explode(F.array(F.col(f"{PREFIX}kept"))).alias(f"{PREFIX}kept")).where(f"{PREFIX}kept").select(*docs.columns)

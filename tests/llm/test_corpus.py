@@ -148,7 +148,8 @@ def test_filter_reads_counts_back():
     for level in range(1, 10):
         for at in lm_scoring._bits(keys[levels >= level], level, size):
             bits[at] = True
-    group = lm_scoring.Group([(0, np.packbits(bits, bitorder="little").tobytes(), b"", b"")], 1)
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    group = lm_scoring.Group({0: (len(packed), 0)}, [(0, packed, b"", b"")], 1)
     read = group.levels(keys)
     assert (read >= levels).all() and (read == levels).mean() > 0.97
     assert (group.levels(lm_scoring.mix(np.arange(50_001, 90_001, dtype=np.uint64))) == 0).mean() > 0.97
