@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import set_aside, written
 
 # White space that parts words, and the symbols that are counted.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -72,7 +72,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = starts.withColumn(f"{PREFIX}n_repeat_words", repeat)
     drop = [f"{PREFIX}{c}" for c in ("text", "trimmed", "lines", "words", "wh", "win", "sorted", "twice", "placed", "starts")]
     over = lambda a, b: F.coalesce(F.try_divide(F.col(f"{PREFIX}{a}").cast("double"), F.col(f"{PREFIX}{b}").cast("double")), F.lit(0.0))
-    return out.drop(*drop).withColumns({
+    out = out.drop(*drop).withColumns({
         f"{PREFIX}base_failed": F.expr(f"{q('n_words')} < 10 or 100 * {q('n_repeat_words')} > 20 * {q('n_words')}"),
         f"{PREFIX}mean_word": over("word_chars", "n_words"),
         f"{PREFIX}symbol_share": over("n_symbols", "word_chars"),
@@ -82,6 +82,10 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         f"{PREFIX}distinct_share": over("distinct", "n_words"),
         f"{PREFIX}mark_share": over("marks", "word_chars"),
     })
+    # The statistics go through a generator: a filter on one would otherwise be pushed below the projections, where each
+    # use of an intermediate result would compute it anew.
+    own = [F.col(f"`{c}`") for c in docs.columns if not c.startswith(PREFIX)]
+    return out.select(*own, F.inline(F.array(F.struct(*[F.col(c) for c in out.columns if c.startswith(PREFIX)]))))
 
 
 #: A condition: (statistic, whether at least, threshold).
@@ -183,9 +187,6 @@ def judged(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text"
 
 
 def kept_rows(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that pass, with their own columns.
-
-    The verdict goes through a generator: a filter on it would otherwise be pushed below the projections, and each use of a
-    statistic in it would compute that statistic anew."""
-    found = judged(docs, rules, text_col)
-    return found.select(*docs.columns, F.explode(F.array(F.col(f"{PREFIX}kept"))).alias(f"{PREFIX}kept")).where(f"{PREFIX}kept").select(*docs.columns)
+    """Rows of ``docs`` that pass, with their own columns."""
+    docs, back = set_aside(docs, {c for c in docs.columns if c.startswith(PREFIX)})
+    return judged(docs, rules, text_col).where(f"{PREFIX}kept").select(*[F.col(f"`{c}`") for c in docs.columns]).withColumnsRenamed(back)
