@@ -50,6 +50,14 @@ def test_rules_are_learnt_and_hold_out(spark, empty):
     assert quality_rules.judged(empty, []).count() == 0
 
 
+def test_kept_rows_keep_clashing_columns(docs):
+    clashing = docs.select("doc_id", "text", docs.lang.alias("_q_text"), docs.source.alias("_q_kept"))
+    kept = quality_rules.kept_rows(clashing, [[("symbol_share", True, 0.1)]])
+    want = quality_rules.judged(docs, [[("symbol_share", True, 0.1)]]).where("_q_kept")
+    assert kept.columns == clashing.columns
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(map(tuple, want.select("doc_id", "text", "lang", "source").collect()))
+
+
 def brute_dedup(rows, least):
     """Deleted line numbers by (id, text), comparing every pair of lines."""
     split = {}
