@@ -258,3 +258,28 @@ def test_one_of_each_group(docs, rows):
         if r[0] is None or groups[r[0]] == r[0]:
             want[r[:2]] += 1
     assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
+def test_language_model_weighs_all_training_texts(spark, monkeypatch):
+    """Groups of copies that alone have the tokens of their level: each keeps its pair estimates, in tables of any size."""
+    rows = [(-k, f"w{k}") for k in range(1, 4001)] + [(j, f"p{j} q{j}") for j in range(4, 10) for _ in range(2**j)]
+    docs = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    evidence, choose = [], lm_scoring.Estimates.choose_weights
+    monkeypatch.setattr(lm_scoring.Estimates, "choose_weights", lambda self, kinds, counts: (evidence.append(int(counts.sum())), choose(self, kinds, counts))[-1])
+    got = lm_scoring.score_texts(docs, docs, ["k"], "t").where("k > 0").distinct().collect()
+    total, distinct = 2 * 4000 + 3 * sum(2**j for j in range(4, 10)), 4000 + 2 * 6 + 1
+    assert evidence == [total]
+    assert sorted(r.k for r in got) == list(range(4, 10))
+    for r in got:
+        first = math.log10((2**r.k + 0.5) / (total + 0.5 * (distinct + 1)))
+        assert r.train_tokens == total and r.score > first - 0.3, r
+
+
+def test_levels_without_evidence_take_the_nearest_weight():
+    import numpy as np
+
+    means = [np.arange(lm_scoring.LEVELS) ** 2.0] * 2
+    estimates = lm_scoring.Estimates(means, 1000, 100, 50)
+    kind = lambda context, two, one: (context * lm_scoring.LEVELS + two) * lm_scoring.LEVELS + one
+    estimates.choose_weights(np.array([kind(10, 10, 3), kind(20, 0, 30)]), np.array([5, 5]))
+    assert set(estimates.weights[1:16]) == {0.97} and set(estimates.weights[16:]) == {0.0} and estimates.weights[0] == 0.0
