@@ -57,6 +57,34 @@ def pj14_edges(m: Model) -> DataFrame:
     return projection.edges(projection.live_events(m.klog))
 
 
+# The SQL above reads an id prefix of the tables; these read all of them, and are tested by brute force.
+
+
+@query()
+def rep04_live_events_whole(m: Model) -> DataFrame:
+    return projection.live_events(m.klog_whole).select("seq", "run_id", "event_type")
+
+
+@query()
+def pj16_survivors_whole(m: Model) -> DataFrame:
+    return projection.survivors(projection.live_events(m.klog_whole), "CLAIM_MERGED", "claimId", "intoClaimId")
+
+
+@query()
+def pj06_claims_whole(m: Model) -> DataFrame:
+    return projection.claims(projection.live_events(m.klog_whole))
+
+
+@query()
+def pj12_sources_whole(m: Model) -> DataFrame:
+    return projection.sources(projection.live_events(m.klog_whole))
+
+
+@query()
+def pj14_edges_whole(m: Model) -> DataFrame:
+    return projection.edges(projection.live_events(m.klog_whole))
+
+
 BODY = """'{"' || CASE page_id % 3 WHEN 0 THEN 'results' WHEN 1 THEN 'items' ELSE 'papers' END || '":[{"url":"' || url || '","title":"T' || CAST(page_id AS STRING) || '","abstract":"a"},{"link":"http://localhost/x","title":"no"},{"link":"' || url || '","description":"untitled"}]}'"""
 
 
