@@ -36,7 +36,16 @@ e AS (SELECT claim_id, domain AS a, content AS b FROM l WHERE content IS NOT NUL
 r AS (SELECT DISTINCT claim_id, domain AS a, domain AS b FROM l UNION SELECT r.claim_id, r.a, e.b FROM r JOIN e ON r.claim_id = e.claim_id AND r.b = e.a),
 g AS (SELECT claim_id, a, min(b) AS root FROM r WHERE b LIKE 'd%' GROUP BY 1, 2) SELECT claim_id, count(DISTINCT root) AS n_independent FROM g GROUP BY 1""")
 def ag05_independent_sources(m: Model) -> DataFrame:
-    l = m.lineitem.where("l_orderkey < 400")  # noqa: E741
+    return _independent(m.lineitem.where("l_orderkey < 400"))
+
+
+@query()
+def ag05_independent_sources_whole(m: Model) -> DataFrame:
+    """Over all line items; the SQL of the query above reads an id prefix."""
+    return _independent(m.lineitem)
+
+
+def _independent(l: DataFrame) -> DataFrame:  # noqa: E741
     rows = l.select((F.col("l_orderkey") % 50).alias("claim_id"), F.concat(F.lit("d"), (F.col("l_suppkey") % 13).cast("string")).alias("domain"), F.when(F.col("l_partkey") % 3 > 0, F.concat(F.lit("c"), (F.col("l_partkey") % 29).cast("string"))).alias("content"))
     return epistemics.independent_sources(rows)
 
