@@ -1,4 +1,4 @@
-"""Components, linkage of similar findings, and capped edges."""
+"""Components, linkage of similar findings, and summaries of clusters; edges between clusters are not built."""
 
 from __future__ import annotations
 
