@@ -7,7 +7,9 @@ card number, a telephone number, a web address that carries a user name, or an a
 
 Kinds, in this order: email, ip, card, phone (leftmost non-overlapping matches of fixed expressions per kind), then iban,
 ssn, account, secret, url_login, which the method adds.  Spans count code points, end exclusive.  Null and empty texts have
-no spans.  Rows are independent: repeated rows, null ids and any other columns are of no consequence.
+no spans; very long texts are read whole, in one pass, and digit runs of any length are compared as text.  Where two kinds
+begin at one place (a tie) both spans stay, in the order of the kinds.  Rows are independent: repeated rows, null ids and any
+other columns, whatever their names, are of no consequence.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,12 +39,16 @@ LOGIN = re.compile(r"[^\s/@:\"'<>]+(?::[^\s/@\"'<>]*)?@[A-Za-z0-9.-]+(?::[0-9]+)
 CUES = {
     "account": ("account", "acct", "customer", "passport", "licence", "license", "member", "patient", "policy"),
     "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key"),
-    "iban": ("iban",),
     "url_login": ("http://", "https://", "ftp://", "ssh://", "sftp://"),
 }
 DIGITS = frozenset("0123456789")
 
 
+def _octet(digits: str) -> bool:
+    digits = digits.lstrip("0") or "0"
+    return len(digits) <= 3 and int(digits) <= 255
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -96,7 +102,7 @@ class Finder:
                 first = at == 0 or text[at - 1] not in DIGITS
                 if at >= ended["ip"] and (first or at == ended["ip"]) and (m := IP.match(text, at)):
                     ended["ip"] = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                    if all(_octet(p) for p in m.group().split(".")):
                         take("ip", at, m.end())
                 if at >= ended["card"] and (first or at == ended["card"]) and (m := CARD.match(text, at)):
                     ended["card"] = m.end()

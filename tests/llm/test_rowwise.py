@@ -85,6 +85,15 @@ def test_personal_data_of_rows(docs, empty, rows):
     assert pii.find_personal_data(empty).count() == pii.mask_personal_data(empty).count() == 0
 
 
+def test_personal_data_in_very_long_texts(spark):
+    zeros, long = "0" * 5000, "x" * 70_000 + " a@b.co " + "y " * 70_000 + "10.0.0.1"
+    texts = [zeros + ".1.1.1", "9" * 6000 + ".1.1.1 " + zeros, long, ("a@b.co " + "1.2.3.4 ") * 9000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_personal_data(frame).collect()}
+    assert got[0].n_ip == 1 and got[1].n_ip == 0 and (got[2].n_email, got[2].n_ip) == (1, 1) and (got[3].n_email, got[3].n_ip) == (9000, 9000)
+    assert {r.doc_id: r.text for r in pii.mask_personal_data(frame).collect()}[0] == "[IP]"
+
+
 def test_nbest_against_enumeration():
     lattice = piece_lattice.PieceLattice(PIECES)
 
