@@ -5,11 +5,11 @@ indexes the shingles of its prefix (as many as any linked partner must share one
 of document frequencies; any order of shingles gives the same links, so the sketch may be coarse.
 
 Index lists are skipped by position: a list is cut into blocks by set size, and a set only meets the blocks whose sizes it
-can link with.  Answers are derived rather than recomputed: in a long block the sets are compared with a few pivots; a set
-highly similar to a pivot takes over the pivot's group, so pairs within a group need no comparison, and further rounds only
-compare what is still outside the largest group of its block.  At last every pair of a block whose groups differ and whose
-shared prefix positions are as many as a link requires is verified.  So no pair that could join two groups is left out,
-while copies never expand into all pairs.
+can link with.  Answers are derived rather than recomputed: a set is compared with one pivot, the best connected set of the
+largest group of its blocks, and if it is highly similar takes over the pivot's group, so pairs within a group need no
+comparison.  Rounds go on, with other pivots, while they pay.  At last every pair of a block whose groups still differ is
+verified if the prefixes share as many positions as a link requires, which is counted in the join.  So no pair that could
+join two groups is left out, while neither copies nor near copies expand into all pairs.
 
 Null and empty texts have an empty set and link with nothing.  Texts with fewer words than a shingle have their whole
 sequence as the one member.  A null id keeps its row, with a null group.  Rows that repeat an id are one node: a link of any
@@ -29,16 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .storage import parallelism, set_aside, written
+from .storage import discard, parallelism, set_aside, written
 from .words import U, chain, slices, word_hashes
 
-#: Counters of the frequency sketch: one byte each, whatever the input, in so many blocks.
-SKETCH = 1 << 22
+#: Counters of the frequency sketch: one byte each, a logarithm of the count, whatever the input, in so many blocks.
+SKETCH = 1 << 24
 BLOCKS = 64
-#: Blocks of an index list longer than this are worked by pivots first, for so many rounds at most.
-LONG, ROUNDS = 512, 2
-#: So many of a set's indexed shingles travel with each of its entries.
-HEAD = 16
+#: Entries of index blocks longer than LONG carry the first HEAD of their set's indexed shingles and are worked by pivots,
+#: in rounds that go on while one in PAYS of the pairs compared link.
+LONG, HEAD, PAYS = 8, 48, 20
 #: Buckets of ids, so many whatever the input: texts of other buckets are left out before any shuffle.
 BUCKETS = 1 << 20
 
@@ -66,38 +65,46 @@ def _needed(size: int, num: int, den: int) -> int:
 
 
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Saturating counts of documents by shingle hash, SKETCH bytes."""
+    """Logarithms of the counts of documents by shingle hash, SKETCH bytes."""
     step = SKETCH // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(SKETCH, np.int64), [], 0
+        total, held, size = np.zeros(SKETCH, np.uint16), [], 0
+
+        def add_held() -> None:
+            at, n = np.unique(np.concatenate(held) & U(SKETCH - 1), return_counts=True)
+            at = at.astype(np.int64)
+            total[at] = np.minimum(total[at].astype(np.int64) + n, 65535)
+
         for batch in batches:
             for found in shingle_sets(batch.column(0).to_pylist(), width):
                 held.append(found)
                 size += len(found)
-                if size > SKETCH:
-                    total += np.bincount((np.concatenate(held) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                if size > 1 << 21:
+                    add_held()
                     held, size = [], 0
         if held:
-            total += np.bincount((np.concatenate(held) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        small = np.minimum(total, 255).astype(np.uint8)
-        rows = [(k, zlib.compress(part.tobytes(), 1)) for k in range(BLOCKS) if (part := small[k * step : (k + 1) * step]).any()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
+            add_held()
+        for k in range(BLOCKS):
+            part = total[k * step : (k + 1) * step]
+            if part.any():
+                part = part.astype(np.uint8) if part.max() < 256 else part
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.itemsize], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "wide", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(counts), np.uint8).astype(np.uint16)
-                total[block] = np.minimum(total.get(block, 0) + part, 255)
-        rows = [(k, v.astype(np.uint8).tobytes()) for k, v in total.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
-
-    schema = "block int, counts binary"
-    sums = docs.select("_text").mapInArrow(count, schema).repartition(min(BLOCKS, parallelism(docs.sparkSession)), "block").mapInArrow(add, schema)
+            for block, wide, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(zlib.decompress(counts), np.uint8 if wide == 1 else np.uint16)
+                total[block] = total.get(block, 0) + part.astype(np.uint64)
+        levels = [(k, np.round(8 * np.log2(1.0 + v)).astype(np.uint8).tobytes()) for k, v in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in levels], pa.int32()), pa.array([r[1] for r in levels], pa.binary())], ["block", "levels"])
+
+    counted = docs.select("_text").mapInArrow(count, "block int, wide int, counts binary")
+    sums = counted.repartition(min(BLOCKS, parallelism(docs.sparkSession)), "block").mapInArrow(add, "block int, levels binary")
     sketch = np.zeros(SKETCH, np.uint8)
-    for block, counts in sums.collect():  # BLOCKS rows: SKETCH bytes in all
-        sketch[block * step : (block + 1) * step] = np.frombuffer(counts, np.uint8)
+    for block, levels in sums.toLocalIterator():  # BLOCKS rows: SKETCH bytes in all
+        sketch[block * step : (block + 1) * step] = np.frombuffer(levels, np.uint8)
     return sketch
 
 
@@ -167,74 +174,98 @@ def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
     return index.join(labels.withColumnRenamed("id", "_id"), "_id", "left").withColumn("group", F.coalesce("component", "_id")).drop("component")
 
 
-def link_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id)``: the smallest id that links of similarity ``num / den`` or more lead to."""
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    sketch = frequency_sketch(texts, width)
-    table = written(described(texts, width, num, den, sketch))
-    classes = written(table.where("n > 0 and _id is not null").groupBy("class", "n").agg(F.min(F.struct("_id", "prefix")).alias("first")).select("class", "n", "first._id", "first.prefix"))
+def _indexed(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """``(_id, n, s, band, block, c, k, w, head, former)``: each set in the blocks of its prefix shingles.
 
+    ``c``: sets in the block, two at least; ``k``: entries of the set in blocks of this number; ``w``: the sum of their
+    ``c``; ``head``: the first HEAD of their shingles, for long blocks; ``former``: the shingle before this one."""
     # Index lists of two sets or more, cut into blocks by size: sets that may link share the block of the larger one.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) if den > num else 1.0) + F.lit(1e-9)).cast("long")
-    entries = classes.select("_id", "n", F.explode("prefix").alias("s"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) if den > num else 1.0) + F.lit(1e-9)).cast("int")
+    entries = prefixes.select("_id", "n", F.explode("prefix").alias("s"))
     lists = entries.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    blocks = entries.join(lists, "s").withColumn("band", band).select("_id", "n", "s", "band", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("block"))
+    shared = written(entries.join(lists, "s").withColumn("band", band))
+    blocks = shared.select("_id", "n", "s", "band", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("block"))
     long_enough = blocks.groupBy("s", "block").agg(F.count("*").alias("c")).where("c > 1")
-    own = F.array_sort(F.collect_list("s").over(Window.partitionBy("_id", "n", "block")))
-    index = blocks.join(long_enough, ["s", "block"]).withColumn("own", own)
-    index = written(index.select("_id", "n", "s", "band", "block", "c", F.size("own").alias("k"), F.slice("own", 1, HEAD).alias("head"), F.expr("get(own, array_position(own, s) - 2)").alias("former")))
+    mine = Window.partitionBy("_id", "n", "block")
+    sized = blocks.join(long_enough, ["s", "block"]).withColumns({"former": F.lag("s").over(mine.orderBy("s")), "k": F.count("*").over(mine), "w": F.sum("c").over(mine), "_any": F.max("c").over(mine)})
+    place = mine.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.when(F.col("_any") > LONG, F.slice(F.array_sort(F.collect_list(F.when(F.col("_any") > LONG, F.col("s"))).over(place)), 1, HEAD))
+    headed = sized.withColumn("head", own)
+    index = written(headed.select("_id", "n", "s", "band", "block", "c", "k", "w", F.when(F.col("c") > LONG, F.col("head")).alias("head"), "former"))
+    discard(shared)
+    return index
 
-    links = None
-    tried = None
-    sets = None
+
+def link_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_shingles, component_id)``: the smallest id that links of similarity ``num / den`` or more lead to."""
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    sketch = frequency_sketch(texts, width)
+    described_ = written(described(texts, width, num, den, sketch))
+    some = described_.where("n > 0 and _id is not null")
+    classes = written(some.groupBy("class", "n").agg(F.min("_id").alias("_id")))
+    prefixes = some.groupBy("class", "n").agg(F.min(F.struct("_id", "prefix")).alias("first")).select("n", "first._id", "first.prefix")
+    index = _indexed(prefixes, num, den)
+    table = written(described_.select("_id", "n", "class"))
+    discard(described_)
+
+    # A pair's overlap is ceil(t / (1 + t) * (n + m)) if it links; so many common positions of both prefixes follow from it.
+    required = f"cast(ceil({num} * (n + n2) / {num + den}.0 - 1e-9) as int) - cast(ceil({num} * greatest(n, n2) / {den}.0 - 1e-9) as int) + 1"
+    links = tried = None
     work = index.withColumn("group", F.col("_id"))
-    for round_ in range(ROUNDS):
-        # Sets outside the largest group of a long block meet one pivot of that group, another in each round.
+    while True:
+        # Sets outside the largest group of a long block meet the set of that group that is in the most and longest blocks.
         long_blocks = work.where(F.col("c") > LONG)
-        sizes = long_blocks.groupBy("s", "block", "group").agg(F.count("*").alias("k"), F.min(F.expr(f"_id ^ xxhash64(s, {round_})")).alias("pick"))
-        largest = sizes.groupBy("s", "block").agg(F.max(F.struct("k", "group", "pick")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-        pivots = largest.select("s", "block", F.col("top.group").alias("main"), F.expr(f"`top`.pick ^ xxhash64(s, {round_})").alias("pivot"))
-        pairs = (
-            long_blocks.join(pivots, ["s", "block"]).where("group <> main")
-            .select(F.least("_id", "pivot").alias("a"), F.greatest("_id", "pivot").alias("b")).distinct()
-        )
+        sizes = long_blocks.groupBy("s", "block", "group").agg(F.count("*").alias("m"), F.max(F.struct("w", (-F.col("_id")).alias("_id"), "n", "k")).alias("pick"))
+        largest = sizes.groupBy("s", "block").agg(F.max(F.struct("m", "group", "pick")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+        pivots = largest.select("s", "block", F.col("top.group").alias("main"), (-F.col("top.pick._id")).alias("pivot"), F.col("top.pick.n").alias("n2"), F.col("top.pick.k").alias("k2"))
+        met = long_blocks.join(pivots, ["s", "block"]).where(f"group <> main and {den} * least(n, n2) >= {num} * greatest(n, n2) and least(k, k2) >= {required}").groupBy("_id", "pivot").agg(F.count("*").alias("m"))
+        met = met.select("_id", "m", F.least("_id", "pivot").alias("a"), F.greatest("_id", "pivot").alias("b"))
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        if pairs.isEmpty():
+            met = met.join(tried, ["a", "b"], "left_anti")
+        pairs = written(met.groupBy("_id").agg(F.max(F.struct("m", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("best")).select((-F.col("best.a")).alias("a"), (-F.col("best.b")).alias("b")).distinct())
+        n_pairs = pairs.count()
+        if not n_pairs:
             break
-        if sets is None:
-            sets = written(_sets_of(texts, long_blocks.select("_id").distinct(), width))
+        sets = written(_sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), width))
         found = written(_verified(pairs, sets, num, den))
+        discard(sets)
         links = found if links is None else links.union(found)
         tried = pairs if tried is None else tried.union(pairs)
-        work = written(_labelled(index, links))
+        n_found = found.count()
+        if n_found:
+            before, work = work, written(_labelled(index, links))
+            discard(before)
+        if n_found * PAYS < n_pairs:
+            break
 
     # Every pair of a block that could still join two groups and shares as many prefix positions as a link requires.
     open_blocks = work.groupBy("s", "block").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("s", "block")
     rest = work.join(open_blocks, ["s", "block"])
-    tally = rest.groupBy("s", "block", "group").agg(F.count("*").alias("k"))
-    main = tally.groupBy("s", "block").agg(F.max(F.struct("k", "group")).alias("top")).select("s", "block", F.col("top.group").alias("main"))
+    tally = rest.groupBy("s", "block", "group").agg(F.count("*").alias("m"))
+    main = tally.groupBy("s", "block").agg(F.max(F.struct("m", "group")).alias("top")).select("s", "block", F.col("top.group").alias("main"))
     marked = rest.join(main, ["s", "block"]).select("_id", "n", "s", "band", "block", "group", "k", "head", "former", (F.col("group") == F.col("main")).alias("inner"))
     outer = marked.where("not inner")
     other = marked.select("s", "block", *[F.col(c).alias(f"{c}2") for c in ("_id", "n", "band", "group", "k", "head", "former", "inner")])
-    # A link's overlap is ceil(t / (1 + t) * (n + m)); so many common positions of both prefixes follow from it.  A pair is
-    # taken in the list of the least shingle that both heads hold; if they hold none, where a run of common ones begins.
-    required = f"cast(ceil({num} * (n + n2) / {num + den}.0 - 1e-9) as long) - cast(ceil({num} * greatest(n, n2) / {den}.0 - 1e-9) as long) + 1"
-    common = "array_min(array_intersect(head, head2))"
+    # A pair is taken in the list of the least shingle that both heads hold; without one, where a run of common ones begins.
+    # Common positions: those within both heads, and behind them as many at most as either set has left.
+    common = "array_intersect(head, head2)"
+    at_most = f"CASE WHEN head IS NULL OR head2 IS NULL THEN least(k, k2) ELSE size({common}) + least(greatest(k - {HEAD}, 0) + size(filter(head, x -> x > array_max(head2))), greatest(k2 - {HEAD}, 0) + size(filter(head2, x -> x > array_max(head)))) END"
     pairs = (
         outer.join(other, ["s", "block"])
         .where(f"group <> group2 and (inner2 or _id < _id2) and block = greatest(band, band2) and {den} * least(n, n2) >= {num} * greatest(n, n2)")
-        .where(f"least(k, k2) >= {required} and CASE WHEN {common} IS NULL THEN NOT (former <=> former2) OR former IS NULL ELSE {common} = s END")
+        .where(f"least(k, k2) >= {required} AND CASE WHEN coalesce(size({common}), 0) > 0 THEN array_min({common}) = s ELSE NOT (former <=> former2) OR former IS NULL END AND {at_most} >= {required}")
         .select(F.least("_id", "_id2").alias("a"), F.greatest("_id", "_id2").alias("b")).distinct()
     )
     if tried is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
     pairs = written(pairs)
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    discard(work)
     if not pairs.isEmpty():
-        found = _verified(pairs, written(_sets_of(texts, ids, width)), num, den)
+        sets = written(_sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), width))
+        found = _verified(pairs, sets, num, den)
         links = written(found if links is None else links.union(found))
+        discard(sets)
+    discard(index, pairs)
 
     nodes = table.where("n > 0 and _id is not null").join(classes.select("class", "n", F.col("_id").alias("first")), ["class", "n"]).select("_id", "first")
     same = nodes.where("_id <> first").select(F.col("_id").alias("a"), F.col("first").alias("b"))

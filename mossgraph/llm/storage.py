@@ -22,7 +22,18 @@ def written(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{scratch_folder(spark)}/mossgraph/{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    again = spark.read.schema(frame.schema).parquet(path)
+    again.scratch_path = path
+    return again
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what ``written`` wrote for ``frames``, once all that reads them has been written itself."""
+    for frame in frames:
+        if frame is not None and (path := getattr(frame, "scratch_path", None)):
+            session = frame.sparkSession
+            folder = session._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def parallelism(spark: SparkSession) -> int:
