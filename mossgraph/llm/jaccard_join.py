@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .storage import discard, parallelism, set_aside, written
+from .storage import discard, parallelism, set_aside, small_batches, written
 from .words import U, chain, slices, word_hashes
 
 #: Counters of the frequency sketch: one byte each, a logarithm of the count, whatever the input, in so many blocks.
 SKETCH = 1 << 24
 BLOCKS = 64
 #: Entries of index blocks longer than LONG carry the first HEAD of their set's indexed shingles and are worked by pivots,
-#: in rounds that go on while one in PAYS of the pairs compared link.
-LONG, HEAD, PAYS = 8, 48, 20
+#: in rounds that go on while one in PAYS of the pairs compared link and one set in FEW is compared.
+LONG, HEAD, PAYS, FEW = 8, 48, 5, 1000
 #: Buckets of ids, so many whatever the input: texts of other buckets are left out before any shuffle.
 BUCKETS = 1 << 20
 
@@ -80,7 +80,7 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
             for found in shingle_sets(batch.column(0).to_pylist(), width):
                 held.append(found)
                 size += len(found)
-                if size > 1 << 21:
+                if size > 1 << 19:
                     add_held()
                     held, size = [], 0
         if held:
@@ -198,6 +198,11 @@ def _indexed(prefixes: DataFrame, num: int, den: int) -> DataFrame:
 
 def link_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)``: the smallest id that links of similarity ``num / den`` or more lead to."""
+    with small_batches(docs.sparkSession, 1000):
+        return _link_groups(docs, width, num, den, id_col, text_col)
+
+
+def _link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     sketch = frequency_sketch(texts, width)
     described_ = written(described(texts, width, num, den, sketch))
@@ -210,6 +215,7 @@ def link_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
 
     # A pair's overlap is ceil(t / (1 + t) * (n + m)) if it links; so many common positions of both prefixes follow from it.
     required = f"cast(ceil({num} * (n + n2) / {num + den}.0 - 1e-9) as int) - cast(ceil({num} * greatest(n, n2) / {den}.0 - 1e-9) as int) + 1"
+    n_classes = classes.count()
     links = tried = None
     work = index.withColumn("group", F.col("_id"))
     while True:
@@ -224,8 +230,8 @@ def link_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
             met = met.join(tried, ["a", "b"], "left_anti")
         pairs = written(met.groupBy("_id").agg(F.max(F.struct("m", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("best")).select((-F.col("best.a")).alias("a"), (-F.col("best.b")).alias("b")).distinct())
         n_pairs = pairs.count()
-        if not n_pairs:
-            break
+        if n_pairs * FEW <= n_classes:
+            break  # too little to gain: what is left is verified below
         sets = written(_sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), width))
         found = written(_verified(pairs, sets, num, den))
         discard(sets)
