@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import pytest
 
@@ -21,34 +22,51 @@ def odd_texts(n=800):
 
 
 def test_token_counts_are_the_library_s():
-    counter = token_counts.WordCounter(WORDS)
+    machine = token_counts.TextTransducer(WORDS)
     library = tokenizers.Tokenizer.from_file(WORDS)
     for text in odd_texts():
-        assert token_counts.count_text(text.encode(), counter) == len(library.encode(text, add_special_tokens=False).ids), text
+        assert token_counts.count_text(text, machine) == len(library.encode(text, add_special_tokens=False).ids), text
 
 
-def test_chunk_maps_compose_associatively(monkeypatch):
-    counter = token_counts.WordCounter(WORDS)
-    whole = [token_counts.count_text(t.encode(), counter) for t in odd_texts(200)]
-    for size in (1, 3, 7, 16):
-        monkeypatch.setattr(token_counts, "CHUNK_BYTES", size)
-        assert [token_counts.count_text(t.encode(), counter) for t in odd_texts(200)] == whole
-    maps = [token_counts.chunk_map(c, counter) for c in (b"ab c", b"d", b" ", b"", b"e f")]
-    left = right = None
-    for m in maps:
-        left = m if left is None else token_counts.compose(left, m, counter)
-    for m in reversed(maps):
-        right = m if right is None else token_counts.compose(m, right, counter)
-    assert left == right
+def test_chunks_cut_inside_words_and_characters_of_any_kind():
+    machine = token_counts.TextTransducer(WORDS)
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    for text in [*odd_texts(250), "'" * 9 + "re're" + "'r", "漢字漢字漢字漢字。漢字", "x" * 50, "rock'n'roll we'll'd"]:
+        for size in (1, 2, 3, 7, 16):
+            assert token_counts.count_text(text, machine, size) == len(library.encode(text, add_special_tokens=False).ids), (text, size)
+
+
+def test_chunk_maps_compose_associatively_for_every_state():
+    machine = token_counts.TextTransducer(WORDS)
+    texts = ["ab c", "d", " ", "", "e'", "re f", "12", "in", "ing", "...", "'l", "l!"]
+    maps = [token_counts.chunk_map(c, machine) for c in texts]
+    for a, b, c in itertools.product(maps, repeat=3):
+        left = token_counts.compose(token_counts.compose(a, b, machine), c, machine)
+        right = token_counts.compose(a, token_counts.compose(b, c, machine), machine)
+        assert left == right
+    states = {machine.spelled(machine.feed(machine.START, t)[0]) for t in [*texts, "th", "the", "'", "'v"]}
+    for state in states:  # a map says of every state what reading the chunk from it says
+        for text, found in zip(texts, maps, strict=True):
+            after, n = machine.feed(machine.state(state), text)
+            assert token_counts.compose(("", 0, state), found, machine) == ("", n, machine.spelled(after)), (state, text)
 
 
 def test_token_counts_of_rows(docs, empty, rows):
     library = tokenizers.Tokenizer.from_file(WORDS)
     want = sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode()), n := len(library.encode(r[1] or "", add_special_tokens=False).ids), n > 2048) for r in rows)
     assert sorted((r.doc_id is None, r.doc_id or 0, *r[1:]) for r in token_counts.count_tokens(docs, WORDS).collect()) == want
+    assert sorted((r.doc_id is None, r.doc_id or 0, *r[1:]) for r in token_counts.count_tokens(docs, WORDS, chunk=5).collect()) == want
     assert token_counts.count_tokens(empty, WORDS).count() == 0
 
 
+def test_token_counts_of_very_long_texts(spark):
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    texts = ["ab " * 60_000 + "x" * 9000, "漢字" * 5000, "7" * 20_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame, WORDS, chunk=50).collect()}
+    assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+
+
 def base_spans(text):
     out = [("email", *m.span()) for m in pii.EMAIL.finditer(text)]
     out += [("ip", *m.span()) for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
@@ -94,39 +112,56 @@ def test_personal_data_in_very_long_texts(spark):
     assert {r.doc_id: r.text for r in pii.mask_personal_data(frame).collect()}[0] == "[IP]"
 
 
+def test_best_segmentation_is_the_library_s():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library, lattice = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_lattice.PieceLattice(PIECES)
+    random.seed(4)
+    made = ["".join(random.choice("the in\nan漢é  aabcdeilnorst1.!üß🙂ff") for _ in range(random.randint(1, 30))) for _ in range(1500)]
+    for text in ["unbelievable things", "  two  spaces ", "\n\n x", "aaaaaaaaaaaaa", *made]:
+        best = lattice.segment(text)[0]
+        assert best[3] == b"".join(i.to_bytes(4, "little") for i in library.encode(text)), text
+
+
 def test_nbest_against_enumeration():
     lattice = piece_lattice.PieceLattice(PIECES)
+    merges = lattice.merges
 
     def brute(text):
         unit, out = "▁" + text.replace(" ", "▁"), []
 
-        def go(at, score, ids):
+        def go(at, score, pieces):
             if at == len(unit):
-                out.append((score, len(ids)))
+                faults = sum(1 for x, y in itertools.pairwise(pieces) if x and y and merges.join(x, y)) + sum(1 for p in pieces if p and len(merges.merged(p)) > 1)
+                out.append((faults, round(-score, 3), sum(1 if p else 0 for p in pieces) + sum(len(p or "") == 0 for p in pieces)))
                 return
             for end in range(at + 1, len(unit) + 1):
                 if unit[at:end] in lattice.score:
-                    go(end, score + lattice.score[unit[at:end]][0], [*ids, 1])
+                    go(end, score + lattice.score[unit[at:end]][0], [*pieces, unit[at:end]])
             if unit[at] not in lattice.score:
                 raw = unit[at].encode()
-                go(at + 1, score + lattice.byte_score * len(raw), ids + [1] * len(raw))
+                go(at + 1, score + lattice.byte_score * len(raw), pieces + [""] * len(raw))
 
         go(0, 0.0, [])
-        return sorted(out, key=lambda x: (-x[0], x[1]))
+        return sorted(out)
 
     random.seed(2)
     for _ in range(150):
         text = "".join(random.choice("the in\nan漢é ") for _ in range(random.randint(1, 10)))
         found = lattice.segment(text)
-        assert [round(f[0], 3) for f in found] == [round(b[0], 3) for b in brute(text)[:4]]
-        assert len({f[2] for f in found}) == len(found)
-        assert all(lattice.decode(f[2]) == text for f in found)
+        assert [(f[0], round(-f[1], 3), f[2]) for f in found] == brute(text)[:4]
+        assert len({f[3] for f in found}) == len(found)
+        assert all(lattice.decode(f[3]) == text for f in found)
 
 
 def test_pieces_of_rows(docs, empty, rows):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = piece_lattice.encode_nbest(docs, PIECES).collect()
     assert len(got) == len(rows) and all(r.round_trip for r in got)
-    assert all(r.nbest_scores == sorted(r.nbest_scores, reverse=True) and r.nbest_scores[0] == r.best_score for r in got)
+    order = [list(zip(r.nbest_faults, [-s for s in r.nbest_scores], r.nbest_pieces, strict=True)) for r in got]
+    assert all(o == sorted(o) for o in order) and all(r.nbest_scores[0] == r.best_score for r in got)
+    want = sorted((r[0] is None, r[0] or 0, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in library.encode(r[1] or "")))) for r in rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.ids_crc32) for r in got) == want
     assert piece_lattice.encode_nbest(empty, PIECES).count() == 0
 
 
