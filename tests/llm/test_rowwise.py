@@ -119,27 +119,25 @@ def test_best_segmentation_is_the_library_s():
     made = ["".join(random.choice("the in\nan漢é  aabcdeilnorst1.!üß🙂ff") for _ in range(random.randint(1, 30))) for _ in range(1500)]
     for text in ["unbelievable things", "  two  spaces ", "\n\n x", "aaaaaaaaaaaaa", *made]:
         best = lattice.segment(text)[0]
-        assert best[3] == b"".join(i.to_bytes(4, "little") for i in library.encode(text)), text
+        assert best[2] == b"".join(i.to_bytes(4, "little") for i in library.encode(text)), text
 
 
 def test_nbest_against_enumeration():
     lattice = piece_lattice.PieceLattice(PIECES)
-    merges = lattice.merges
 
     def brute(text):
         unit, out = "▁" + text.replace(" ", "▁"), []
 
-        def go(at, score, pieces):
+        def go(at, score, ids):
             if at == len(unit):
-                faults = sum(1 for x, y in itertools.pairwise(pieces) if x and y and merges.join(x, y)) + sum(1 for p in pieces if p and len(merges.merged(p)) > 1)
-                out.append((faults, round(-score, 3), sum(1 if p else 0 for p in pieces) + sum(len(p or "") == 0 for p in pieces)))
+                out.append((round(-score, 3), len(ids), b"".join(i.to_bytes(4, "little") for i in ids)))
                 return
             for end in range(at + 1, len(unit) + 1):
                 if unit[at:end] in lattice.score:
-                    go(end, score + lattice.score[unit[at:end]][0], [*pieces, unit[at:end]])
+                    go(end, score + lattice.score[unit[at:end]][0], [*ids, lattice.score[unit[at:end]][1]])
             if unit[at] not in lattice.score:
-                raw = unit[at].encode()
-                go(at + 1, score + lattice.byte_score * len(raw), pieces + [""] * len(raw))
+                raw = [lattice.byte_id[x] for x in unit[at].encode()]
+                go(at + 1, score + lattice.byte_score * len(raw), ids + raw)
 
         go(0, 0.0, [])
         return sorted(out)
@@ -148,9 +146,20 @@ def test_nbest_against_enumeration():
     for _ in range(150):
         text = "".join(random.choice("the in\nan漢é ") for _ in range(random.randint(1, 10)))
         found = lattice.segment(text)
-        assert [(f[0], round(-f[1], 3), f[2]) for f in found] == brute(text)[:4]
-        assert len({f[3] for f in found}) == len(found)
-        assert all(lattice.decode(f[3]) == text for f in found)
+        assert [(-f[0], f[1]) for f in found[1:]] == [b[:2] for b in brute(text) if b[2] != found[0][2]][:3]
+        assert len({f[2] for f in found}) == len(found)
+        assert all(lattice.decode(f[2]) == text for f in found)
+
+
+def test_units_used_last_stay(monkeypatch):
+    monkeypatch.setattr(piece_lattice, "MEMO_UNITS", 40)
+    small, large = piece_lattice.PieceLattice(PIECES), None
+    texts = [f"word{k} the of x{k % 7} again" for k in range(60)]
+    found = [small.segment(t) for t in texts]
+    assert len(small.number) <= 40
+    monkeypatch.setattr(piece_lattice, "MEMO_UNITS", 10_000)
+    large = piece_lattice.PieceLattice(PIECES)
+    assert found == [large.segment(t) for t in texts]
 
 
 def test_pieces_of_rows(docs, empty, rows):
@@ -158,7 +167,7 @@ def test_pieces_of_rows(docs, empty, rows):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = piece_lattice.encode_nbest(docs, PIECES).collect()
     assert len(got) == len(rows) and all(r.round_trip for r in got)
-    order = [list(zip(r.nbest_faults, [-s for s in r.nbest_scores], r.nbest_pieces, strict=True)) for r in got]
+    order = [list(zip([-s for s in r.nbest_scores], r.nbest_pieces, strict=True))[1:] for r in got]
     assert all(o == sorted(o) for o in order) and all(r.nbest_scores[0] == r.best_score for r in got)
     want = sorted((r[0] is None, r[0] or 0, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in library.encode(r[1] or "")))) for r in rows)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.ids_crc32) for r in got) == want
