@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 # Stop words of the claim normaliser.
 CLAIM_STOP_WORDS = "about after also and are but can for from has have into its may more not now of on or that the their this to was were which with".split()
+# Stop words of scopes and labels.
+SCOPE_STOP_WORDS = (
+    "a an the is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as into through during "
+    "before after above below between and but or not so if then that this these those it its about which who whom what when where how all each every both few more most other some "
+    "such no nor only own same than too very"
+).split()
 # Negation words.
 NEGATIONS = "not no never cannot can't won't don't doesn't isn't aren't hasn't haven't couldn't wouldn't shouldn't".split()
 # Wording of denial and of assertion.
@@ -44,7 +50,7 @@ def anchor_terms(text: Column, stop: tuple[str, ...] | list[str] = tuple(CLAIM_S
     return F.array_distinct(F.filter(trimmed, lambda t: (F.length(t) > 2) & ~t.isin(*stop)))
 
 
-def scope_tokens(text: Column, stop: tuple[str, ...] | list[str] = tuple(CLAIM_STOP_WORDS), unicode_letters: bool = False) -> Column:
+def scope_tokens(text: Column, stop: tuple[str, ...] | list[str] = tuple(SCOPE_STOP_WORDS), unicode_letters: bool = False) -> Column:
     """Tokens longer than one, hyphens kept, repeats kept."""
     kept = r"[^\p{L}\p{N}\s\-]" if unicode_letters else r"[^a-z0-9\s\-]"
     raw = F.split(squeezed(F.regexp_replace(F.lower(text), kept, " ")), " ")
@@ -74,17 +80,29 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-def anchors(text: Column) -> Column:
-    """Scoped packages, versions and numbers, ISO dates."""
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (r"(?i)@[a-z0-9][\w.-]*/[a-z0-9][\w.-]*", r"(?i)\bv?\d+(?:\.\d+)*(?:-[\w.]+)?\b", r"\b\d{4}-\d{2}-\d{2}\b")]
+# The forms of anchors; the last is a date with the name of its month.
+ANCHORS = (r"(?i)@[a-z0-9][\w.-]*/[a-z0-9][\w.-]*", r"(?i)\bv?\d+(?:\.\d+)*(?:-[\w.]+)?\b", r"\b\d{4}-\d{2}-\d{2}\b")
+NAMED_DATE = r"(?i)\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+\d{1,2},\s+\d{4}\b"
+# A phrase with a short form, and names that count as discriminators wherever they stand.
+SHORT_FORM = ("model context protocol", "mcp")
+KNOWN_NAMES = ("claude desktop", "anthropic")
+
+
+def anchors(text: Column, named_dates: bool = False) -> Column:
+    """Scoped packages, versions and numbers, ISO dates; for the alignment of evidence dates with a month's name too."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (*ANCHORS, *([NAMED_DATE] if named_dates else []))]
     return F.array_distinct(F.transform(F.concat(*found), F.lower))
 
 
 def discriminators(text: Column) -> Column:
-    """Anchors, runs of capitalised words and words in capitals, all in lower case."""
+    """Anchors, runs of capitalised words, words in capitals and known names, all in lower case; one phrase by its short form."""
+    phrase, short = SHORT_FORM
     phrases = F.transform(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+)+\b"), F.lit(0)), lambda p: F.regexp_replace(F.lower(p), r"\s+", " "))
     capitals = F.transform(F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,}\b"), F.lit(0)), F.lower)
-    return F.array_distinct(F.concat(anchors(text), phrases, capitals))
+    phrases = F.filter(phrases, lambda p: p != phrase)
+    lower = F.lower(text)
+    known = F.filter(F.array(F.when(lower.rlike(rf"\b{phrase}\b"), F.lit(short)), *[F.when(lower.contains(n), F.lit(n)) for n in KNOWN_NAMES]), lambda n: n.isNotNull())
+    return F.array_distinct(F.concat(anchors(text), phrases, capitals, known))
 
 
 def discriminator_gap(a: Column, b: Column) -> Column:
@@ -126,10 +144,6 @@ def numbers_agree(value_a: Column, unit_a: Column, value_b: Column, unit_b: Colu
     return F.when(value_a.isNull() | value_b.isNull(), F.lit(None).cast("boolean")).when(~unit_a.eqNullSafe(unit_b), F.lit(False)).otherwise(F.abs(value_a - value_b) / scale <= tolerance)
 
 
-def markdown_escaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+\-.!|<>])", r"\\$1")
-
-
 def djb2(text: Column) -> Column:
     """``djb2:`` and the 32-bit hash of the UTF-16 code units (of ASCII and other basic-plane text) in hex."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))

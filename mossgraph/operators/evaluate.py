@@ -43,3 +43,57 @@ def table_diff(actual: DataFrame, expected: DataFrame, key: str) -> DataFrame:
         changed = changed | ~F.col(f"a_{c}").eqNullSafe(F.col(f"e_{c}"))
     kind = F.when(F.col("ka").isNull(), F.lit("missing")).when(F.col("ke").isNull(), F.lit("unexpected")).when(changed, F.lit("changed"))
     return both.select(F.coalesce("ka", "ke").alias(key), kind.alias("difference")).where("difference is not null")
+
+
+def linking_metrics(pairs: DataFrame) -> DataFrame:
+    """One row of rates over ``pairs(gold, predicted, gold_match, predicted_match)``; ``new_claim`` is the reject class."""
+    reject, told = F.col("gold") == "new_claim", F.col("predicted") == "new_claim"
+    same = F.col("gold_match") == F.col("predicted_match")
+    share = lambda of, cond: F.round(F.avg(F.when(of, cond.cast("double"))), 6)
+    both = F.count_if(reject & told)
+    return pairs.agg(
+        share(~reject, same & ~told).alias("matched_top1"), share(F.col("gold") == "same_claim", (F.col("predicted") == "same_claim") & same).alias("reuse_accuracy"), share(F.lit(True), reject == told).alias("related_vs_reject"),
+        F.round(both / F.count_if(told), 6).alias("reject_precision"), F.round(both / F.count_if(reject), 6).alias("reject_recall"), share(reject, ~told).alias("false_link_rate"),
+    )
+
+
+def worst_by(checks: DataFrame, key: str) -> DataFrame:
+    """The worst severity of each group: error before warning before ok."""
+    rank = F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0)
+    return checks.groupBy(key).agg(F.max(rank).alias("_r")).select(key, F.element_at(F.array(F.lit("ok"), F.lit("warning"), F.lit("error")), F.col("_r") + 1).alias("severity"))
+
+
+def exact_partition(members: DataFrame, results: DataFrame) -> DataFrame:
+    """``(source_id, exact)``: whether ``results(source_id, result, id)`` hold each of ``members(source_id, id)`` once and nothing else."""
+    counted = members.select("source_id", "id", F.lit(1).alias("_m"), F.lit(0).alias("_r")).union(results.select("source_id", "id", F.lit(0), F.lit(1)))
+    each = counted.groupBy("source_id", "id").agg(F.sum("_m").alias("_m"), F.sum("_r").alias("_r"))
+    return each.groupBy("source_id").agg(F.bool_and((F.col("_m") == 1) & (F.col("_r") == 1)).alias("exact"))
+
+
+def golden_diff(actual: dict[str, DataFrame], golden: dict[str, DataFrame], key: str) -> DataFrame:
+    """``(collection, key, difference)`` over all collections: missing, unexpected and changed rows."""
+    out = None
+    for name in golden:
+        part = table_diff(actual[name], golden[name], key).select(F.lit(name).alias("collection"), key, "difference")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# The classes of a case.
+CLASSES = ("same_claim", "near_duplicate", "elaboration", "qualification", "contradiction", "supersedes", "new_claim")
+
+
+def corpus_problems(cases: DataFrame, version: int = 1, least: int = 6) -> DataFrame:
+    """``(problem, id)`` of ``cases(id, expected, matched, rationale, version)``: repeated ids, no rationale, another version, a match
+    where there should be none or none where there should be one, and classes with fewer than ``least`` cases."""
+    named = lambda rows, problem, key="id": rows.select(F.lit(problem).alias("problem"), F.col(key).cast("string").alias("id"))
+    twice = cases.groupBy("id").count().where("count > 1")
+    counts = cases.groupBy("expected").agg(F.count("*").alias("n"))
+    classes = cases.sparkSession.createDataFrame([(c,) for c in CLASSES], "expected string").join(counts, "expected", "left").where(F.coalesce("n", F.lit(0)) < least)
+    wrong = cases.where((F.col("expected") == "new_claim") == F.col("matched").isNotNull())
+    return named(twice, "duplicate id").union(named(cases.where(F.trim("rationale") == ""), "no rationale")).union(named(cases.where(F.col("version") != version), "unknown version")).union(named(wrong, "match")).union(named(classes, "too few", "expected"))
+
+
+def cases(observations: DataFrame, claims: DataFrame, plan) -> DataFrame:
+    """``(id, classification, matched)``: each case's observation planned against its own claims; a case is a family."""
+    return plan(observations, claims).select(F.col("observation_id").alias("id"), "classification", F.col("matched_claim_id").alias("matched"))

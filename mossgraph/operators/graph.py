@@ -1,4 +1,4 @@
-"""Components, linkage of similar findings, and summaries of clusters; edges between clusters are not built."""
+"""Components, linkage of similar findings, summaries of clusters and what stands for them."""
 
 from __future__ import annotations
 
@@ -70,3 +70,30 @@ def cluster_summary(findings: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").agg(
         F.count("*").alias("members"), F.max_by("id", F.struct("confidence", -F.col("id"))).alias("representative"), F.countDistinct("source").alias("n_sources"),
     )
+
+
+def representative_edges(clusters: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(from_claim, to_claim)``: edges between clusters as edges between the claims that stand for them.
+
+    ``clusters(id, cluster, confidence)``: the most confident, the smallest id on ties; edges of unknown clusters go."""
+    best = clusters.groupBy("cluster").agg(F.max_by("id", F.struct("confidence", -F.col("id"))).alias("claim"))
+    side = lambda s, name: best.select(F.col("cluster").alias(s), F.col("claim").alias(name))
+    return edges.join(side("a", "from_claim"), "a").join(side("b", "to_claim"), "b").select("from_claim", "to_claim")
+
+
+def by_text(contradictions: DataFrame, claims: DataFrame) -> DataFrame:
+    """``(contradiction, claim_a, claim_b)``: both texts as the first claim that says so; unresolved ones go."""
+    known = claims.groupBy("text").agg(F.min("id").alias("id"))
+    side = lambda s: known.select(F.col("text").alias(f"text_{s}"), F.col("id").alias(f"claim_{s}"))
+    return contradictions.join(side("a"), "text_a").join(side("b"), "text_b").select("contradiction", "claim_a", "claim_b")
+
+
+def related(queries: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, shared)``: each query with all rows of higher id that share its question or whose tokens have a Jaccard above
+    ``threshold``.  Pairs come from the question and from common tokens, each pair with its number of common tokens."""
+    q = queries.select(F.col("id").alias("a"), F.col("question").alias("qa"), F.size("tokens").alias("na"), F.col("tokens").alias("ta"))
+    r = rows.select(F.col("id").alias("b"), F.col("question").alias("qb"), F.size("tokens").alias("nb"), F.col("tokens").alias("tb"))
+    same = q.join(r, F.col("qa") == F.col("qb")).where("a < b").select("a", "b", F.lit(True).alias("shared"))
+    words = q.select("a", "na", F.explode("ta").alias("w")).join(r.select("b", "nb", F.explode("tb").alias("w")), "w").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    alike = words.where(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")) > threshold).select("a", "b", F.lit(False).alias("shared"))
+    return same.union(alike).groupBy("a", "b").agg(F.bool_or("shared").alias("shared"))

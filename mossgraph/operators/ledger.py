@@ -20,6 +20,12 @@ TRANSITIONS: dict[str, dict[str, str]] = {
 TERMINAL = ("completed", "failed", "cancelled", "interrupted", "rolled_back")
 
 
+def lifecycle(log: DataFrame, heartbeats: bool = False) -> DataFrame:
+    """Events of the life of runs; a feed for readers leaves heartbeats out."""
+    kinds = [kind for kind in TRANSITIONS if heartbeats or kind != "RUN_HEARTBEAT"]
+    return log.where(F.col("event_type").isin(*kinds))
+
+
 def next_state(state: str, event_type: str) -> str | None:
     """None for an illegal transition."""
     return TRANSITIONS.get(event_type, {}).get(state)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components, saved
+from .graph import components
 
 # What happens to a run's events of each type when the run is rolled back.
 AUDIT_ONLY = (
@@ -69,15 +69,11 @@ def edges(events: DataFrame) -> DataFrame:
 
 
 def survivors(events: DataFrame, event_type: str, gone: str, into: str) -> DataFrame:
-    """``(id, survivor)`` after all merges, chains included: who is merged points to the one that is not."""
-    merges = events.where(F.col("event_type") == event_type).select(payload(gone).alias("id"), payload(into).alias("to")).distinct()
-    alias = saved(merges.groupBy("id").agg(F.min("to").alias("to")))
-    while True:  # pointers double in length each round
-        step = alias.alias("a").join(alias.select(F.col("id").alias("mid"), F.col("to").alias("far")), F.col("a.to") == F.col("mid"), "left")
-        alias = saved(step.select("id", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")))
-        if alias.where("moved").isEmpty():
-            return alias.select("id", F.col("to").alias("survivor"))
-        alias = alias.drop("moved")
+    """``(id, survivor)`` after all merges, chains included: who is merged points to the one that is not; a cycle to its least."""
+    from .knowledge import aliases
+
+    merges = events.where(F.col("event_type") == event_type).select(payload(gone).alias("id"), payload(into).alias("to"))
+    return aliases(merges).withColumnRenamed("to", "survivor")
 
 
 def claims(events: DataFrame) -> DataFrame:

@@ -144,3 +144,22 @@ def _term(index: DataFrame, term: str) -> DataFrame:
     term = term.lower()
     hit = F.col("token").startswith(term[:-1]) if term.endswith("*") else F.col("token") == term
     return index.where(hit).select("key").distinct()
+
+
+def hash_changes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """``(key, old_hash, new_hash)`` where both have a hash and they differ."""
+    both = old.select(key, F.col("hash").alias("old_hash")).join(new.select(key, F.col("hash").alias("new_hash")), key)
+    return both.where("old_hash is not null and new_hash is not null and old_hash <> new_hash")
+
+
+def drained(rows: DataFrame, most: int, by: str, key: str = "id") -> DataFrame:
+    """The first ``most`` rows of all pages with ``truncated``: whether there are more.  One bounded sort stands for the pages."""
+    top = rows.orderBy(F.col(by).desc(), key).limit(most + 1)
+    more = top.count() > most
+    return top.orderBy(F.col(by).desc(), key).limit(most).withColumn("truncated", F.lit(more))
+
+
+def run_page(runs: DataFrame, before: int | None = None, limit: int | None = None) -> DataFrame:
+    """Runs by the place of their first event, latest first, those before ``before``."""
+    rows = runs if before is None else runs.where(F.col("seq") < before)
+    return rows.orderBy(F.col("seq").desc()).limit(page_limit(limit))

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, scope_tokens
+from ..functions.text import anchor_terms, anchors, jaccard, scope_tokens
+from ..functions.wording import CONTENT_STOP_WORDS, hedge_of
 
 WINDOW, LOOK_BACK, MOST, SEEDS, BUDGET = 4000, 800, 6, 5, 24_000
 
@@ -94,3 +95,41 @@ def follow_up(targets: DataFrame, tried: DataFrame) -> DataFrame:
     left = targets.join(tried, ["family_id", "type", "id"], "left_anti")
     w = Window.partitionBy("family_id").orderBy("priority", "type", "id")
     return left.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+def by_type(sources: DataFrame, kind: str) -> DataFrame:
+    """``(kind, n, place, kinds)``: sources by kind, the most first, and how many kinds there are (few, whatever the input)."""
+    counts = sources.groupBy(kind).agg(F.count("*").alias("n"))
+    everything = Window.partitionBy(F.lit(0))
+    return counts.select(kind, "n", F.row_number().over(everything.orderBy(F.col("n").desc(), F.col(kind).asc_nulls_last())).alias("place"), F.count("*").over(everything).alias("kinds"))
+
+
+def most_common(rows: DataFrame, key: str, value: Column, order: str = "id") -> DataFrame:
+    """The most common value of each key; of equals the one seen first by ``order``."""
+    counts = rows.groupBy(key, value.alias("value")).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    return counts.groupBy(key).agg(F.min_by("value", F.struct(-F.col("_n"), F.col("_first"))).alias("value"))
+
+
+def dominant(rows: DataFrame, key: str, kind: str, share: float = 0.7) -> DataFrame:
+    """``(key, kind, share)``: kinds that make up more than ``share`` of their key's rows."""
+    counts = rows.groupBy(key, kind).agg(F.count("*").alias("_n"))
+    out = counts.withColumn("share", F.col("_n") / F.sum("_n").over(Window.partitionBy(key)))
+    return out.where(F.col("share") > share).select(key, kind, F.round("share", 6).alias("share"))
+
+
+def aligned(rows: DataFrame, claim: Column, evidence: Column) -> DataFrame:
+    """``rows`` with ``score``, ``missing`` anchors and the first twelve ``matched`` terms of a claim and its evidence."""
+    known = rows.withColumns({"_c": anchor_terms(claim, CONTENT_STOP_WORDS), "_e": anchor_terms(evidence, CONTENT_STOP_WORDS), "_a": anchors(claim, named_dates=True)})
+    missing = F.filter("_a", lambda a: ~F.contains(F.lower(evidence), a))
+    out = known.withColumns({"score": alignment(F.col("_c"), F.col("_e"), F.col("_a"), evidence), "missing": missing, "matched": F.slice(F.array_sort(F.array_intersect("_c", "_e")), 1, 12)})
+    return out.drop("_c", "_e", "_a")
+
+
+def drafted_findings(drafts: DataFrame, source: str, order: list[str], most: int = 12) -> DataFrame:
+    """Drafts that stand as findings, ``most`` of each source in ``order``, hedged by their confidence."""
+    w = Window.partitionBy(source).orderBy(*order)
+    return drafts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n").withColumn("hedge", hedge_of(F.col("confidence")))
+
+
+def first_passage(text: Column, size: int = 16_000) -> Column:
+    return F.left(text, F.lit(size))

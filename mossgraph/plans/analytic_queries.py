@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.addresses import AUTHORITY, AUTHORITY_WEIGHT
-from ..operators import epistemics, evaluate, graph, ledger
+from ..operators import epistemics, evaluate, graph, ledger, research
 from .model import Model
-from .registry import query
+from .registry import also_as, query
 
 WEIGHT = "CASE authority_class " + " ".join(f"WHEN '{a}' THEN {w}" for a, w in zip(AUTHORITY, AUTHORITY_WEIGHT, strict=True)) + " ELSE 0.5 END"
 KIND = "CASE evidence_type WHEN 'study' THEN 1.0 WHEN 'benchmark' THEN 1.0 WHEN 'claim' THEN 0.7 WHEN 'opinion' THEN 0.5 ELSE 0.4 END"
@@ -31,18 +31,15 @@ def ep01_epistemic_state(m: Model) -> DataFrame:
     return epistemics.epistemic_state(m.claims, o, e, AS_OF)
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey % 50 AS claim_id, 'd' || (l_suppkey % 13) AS domain, CASE WHEN l_partkey % 3 > 0 THEN 'c' || (l_partkey % 29) END AS content FROM lineitem WHERE l_orderkey < 400),
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey % 50 AS claim_id, 'd' || (l_suppkey % 13) AS domain, CASE WHEN l_partkey % 3 > 0 THEN 'c' || (l_partkey % 29) END AS content FROM lineitem),
 e AS (SELECT claim_id, domain AS a, content AS b FROM l WHERE content IS NOT NULL UNION SELECT claim_id, content, domain FROM l WHERE content IS NOT NULL),
 r AS (SELECT DISTINCT claim_id, domain AS a, domain AS b FROM l UNION SELECT r.claim_id, r.a, e.b FROM r JOIN e ON r.claim_id = e.claim_id AND r.b = e.a),
 g AS (SELECT claim_id, a, min(b) AS root FROM r WHERE b LIKE 'd%' GROUP BY 1, 2) SELECT claim_id, count(DISTINCT root) AS n_independent FROM g GROUP BY 1""")
 def ag05_independent_sources(m: Model) -> DataFrame:
-    return _independent(m.lineitem.where("l_orderkey < 400"))
+    return _independent(m.lineitem)
 
 
-@query()
-def ag05_independent_sources_whole(m: Model) -> DataFrame:
-    """Over all line items; the SQL of the query above reads an id prefix."""
-    return _independent(m.lineitem)
+also_as("ag05_independent_sources_whole", "ag05_independent_sources")
 
 
 def _independent(l: DataFrame) -> DataFrame:  # noqa: E741
@@ -50,22 +47,20 @@ def _independent(l: DataFrame) -> DataFrame:  # noqa: E741
     return epistemics.independent_sources(rows)
 
 
-@query("SELECT authority_class, count(*) AS n, round(avg(CASE WHEN extraction_status = 'extracted' THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS share FROM sources GROUP BY 1")
+@query("SELECT authority_class, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, authority_class) AS place, count(*) OVER () AS kinds FROM sources GROUP BY 1")
 def ag08_sources_by_type(m: Model) -> DataFrame:
-    return m.sources.groupBy("authority_class").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("extraction_status") == "extracted", 1.0).otherwise(0.0)), 6).alias("share"))
+    return research.by_type(m.sources, "authority_class")
 
 
 @query("SELECT family_id, status FROM (SELECT family_id, epistemic_status AS status, row_number() OVER (PARTITION BY family_id ORDER BY count(*) DESC, min(id)) AS n FROM claims GROUP BY family_id, epistemic_status) WHERE n = 1")
 def ag09_mode_status(m: Model) -> DataFrame:
-    counts = m.claims.groupBy("family_id", "epistemic_status").agg(F.count("*").alias("c"), F.min("id").alias("first"))
-    return counts.groupBy("family_id").agg(F.min_by("epistemic_status", F.struct(-F.col("c"), F.col("first"))).alias("status"))
+    return research.most_common(m.claims, "family_id", F.col("epistemic_status")).withColumnRenamed("value", "status")
 
 
-@query("SELECT family_id, kind, round(n / total::DOUBLE, 6) AS share FROM (SELECT family_id, epistemic_status AS kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY family_id) AS total FROM claims GROUP BY 1, 2) WHERE n / total::DOUBLE > 0.3")
+@query("SELECT f AS family_id, kind, round(n / total::DOUBLE, 6) AS share FROM (SELECT s_nationkey AS f, CASE WHEN s_suppkey % 9 < 7 THEN 'web' ELSE 'news' END AS kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY s_nationkey) AS total FROM supplier GROUP BY 1, 2) WHERE n / total::DOUBLE > 0.7")
 def ag10_dominant_type(m: Model) -> DataFrame:
-    c = m.claims.groupBy("family_id", F.col("epistemic_status").alias("kind")).agg(F.count("*").alias("n"))
-    c = c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("family_id")))
-    return c.where("share > 0.3").select("family_id", "kind", F.round("share", 6).alias("share"))
+    rows = m.supplier.select(F.col("s_nationkey").alias("family_id"), F.when(F.col("s_suppkey") % 9 < 7, F.lit("web")).otherwise(F.lit("news")).alias("kind"))
+    return research.dominant(rows, "family_id", "kind")
 
 
 @query("SELECT family_id, len(k) AS present, array_to_string(list_sort(list_filter(['consensus', 'contested', 'emerging', 'speculative', 'unknown'], lambda x: NOT list_contains(k, x))), ',') AS missing FROM (SELECT family_id, list_distinct(list(epistemic_status)) AS k FROM claims GROUP BY 1) WHERE len(k) < 3")
@@ -262,8 +257,9 @@ def pg08_evict_sources(m: Model) -> DataFrame:
     return rows.orderBy(F.col("quality").desc(), F.col("id").desc()).limit(70).select("id")
 
 
-@query("""SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, CASE WHEN a.polarity <> b.polarity THEN 'contradiction' ELSE 'related' END AS kind FROM claims a JOIN claims b ON a.family_id = b.family_id AND a.last_seen_at = b.last_seen_at AND a.id < b.id""")
+@query(f"""WITH s AS (SELECT p_partkey AS id, p_brand AS q, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part)
+SELECT a.id AS a, b.id AS b, a.q = b.q AS shared FROM s a JOIN s b ON a.id < b.id AND (a.q = b.q OR len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE > 0.35) WHERE a.id % 50 = 0""")
 def jn13_related_claims(m: Model) -> DataFrame:
-    a = m.claims.select("family_id", "last_seen_at", F.col("id").alias("a"), F.col("polarity").alias("pa"))
-    b = m.claims.select("family_id", "last_seen_at", F.col("id").alias("b"), F.col("polarity").alias("pb"))
-    return a.join(b, ["family_id", "last_seen_at"]).where("a < b").select("a", "b", F.when(F.col("pa") != F.col("pb"), F.lit("contradiction")).otherwise(F.lit("related")).alias("kind"))
+    """Every fiftieth finding with all later ones of its question or alike in words."""
+    rows = m.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("question"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("tokens"))
+    return graph.related(rows.where("id % 50 = 0"), rows, 0.35)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..sources import providers
 from ..sources.events import EventLog
 from ..streaming import runs
 from .model import Model
-from .registry import query
+from .registry import also_as, query
 
 J = "json_extract_string(payload, '$.{0}')"
 LIVE = f"""rolled AS (SELECT DISTINCT {J.format('run_id')} AS r FROM klog WHERE event_type = 'RUN_ROLLED_BACK'),
@@ -57,32 +58,9 @@ def pj14_edges(m: Model) -> DataFrame:
     return projection.edges(projection.live_events(m.klog))
 
 
-# The SQL above reads an id prefix of the tables; these read all of them, and are tested by brute force.
-
-
-@query()
-def rep04_live_events_whole(m: Model) -> DataFrame:
-    return projection.live_events(m.klog_whole).select("seq", "run_id", "event_type")
-
-
-@query()
-def pj16_survivors_whole(m: Model) -> DataFrame:
-    return projection.survivors(projection.live_events(m.klog_whole), "CLAIM_MERGED", "claimId", "intoClaimId")
-
-
-@query()
-def pj06_claims_whole(m: Model) -> DataFrame:
-    return projection.claims(projection.live_events(m.klog_whole))
-
-
-@query()
-def pj12_sources_whole(m: Model) -> DataFrame:
-    return projection.sources(projection.live_events(m.klog_whole))
-
-
-@query()
-def pj14_edges_whole(m: Model) -> DataFrame:
-    return projection.edges(projection.live_events(m.klog_whole))
+# Names from when the queries above read a part of their tables.
+for _name in ("rep04_live_events", "pj16_survivors", "pj06_claims", "pj12_sources", "pj14_edges"):
+    also_as(f"{_name}_whole", _name)
 
 
 BODY = """'{"' || CASE page_id % 3 WHEN 0 THEN 'results' WHEN 1 THEN 'items' ELSE 'papers' END || '":[{"url":"' || url || '","title":"T' || CAST(page_id AS STRING) || '","abstract":"a"},{"link":"http://localhost/x","title":"no"},{"link":"' || url || '","description":"untitled"}]}'"""
@@ -124,30 +102,30 @@ def pg06_follow_up(m: Model) -> DataFrame:
     return research.follow_up(t, t.where("id % 6 = 0"))
 
 
-@query(f"""WITH RECURSIVE o AS (SELECT run_id, event_type, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM log WHERE run_id < 20),
+@query(f"""WITH RECURSIVE o AS (SELECT run_id, event_type, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM log),
 f AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS n, 'none' AS status FROM o UNION ALL SELECT f.run_id, o.n, CASE WHEN o.event_type = 'RUN_QUEUED' AND f.status = 'none' THEN 'queued' WHEN o.event_type = 'RUN_FAILED' AND f.status = 'queued' THEN 'failed' ELSE f.status END
 FROM f JOIN o ON o.run_id = f.run_id AND o.n = f.n + 1) SELECT run_id, arg_max(status, n) AS status FROM f GROUP BY 1""")
 def str04_ledger_stream(m: Model) -> DataFrame:
     """The ledger as a stream over the log's files, drained into a table."""
     spark = m.spark
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mossgraph-")
-    folder = f"{base.rstrip('/')}/mossgraph/stream-{abs(hash((m.folder, id(m))))}"
-    log = m.log.where("run_id < 20").select("run_id", "seq", "event_type")
+    folder = f"{base.rstrip('/')}/mossgraph/stream-{uuid.uuid4().hex}"
+    log = m.log.select("run_id", "seq", "event_type")
     log.write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
     done = runs.keep_latest(runs.ledger_stream(stream), f"{folder}/out", "run_id", f"{folder}/checkpoint")
     return runs.drain(done, lambda: spark.read.parquet(f"{folder}/out/v0").select("run_id", "status"))
 
 
-@query("SELECT o_orderkey AS seq_source, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS seq FROM orders WHERE o_orderkey < 300")
+@query("SELECT o_orderkey AS seq_source, CAST(row_number() OVER (ORDER BY o_orderkey % 20000 >= 9000, o_orderkey) AS BIGINT) AS seq FROM orders")
 def snk01_append(m: Model) -> DataFrame:
     """Two batches appended to a new log, read back in order."""
     base = m.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mossgraph-")
-    log = EventLog(m.spark, f"{base.rstrip('/')}/mossgraph/log-{abs(hash((m.folder, id(m))))}")
-    rows = m.orders.where("o_orderkey < 300").select(
+    log = EventLog(m.spark, f"{base.rstrip('/')}/mossgraph/log-{uuid.uuid4().hex}")
+    rows = m.orders.select(
         F.col("o_orderkey").alias("ord"), F.lit("2024-01-01").alias("timestamp"), F.lit("CLAIM_OBSERVED").alias("event_type"), F.lit("r").alias("run_id"), F.lit("agent").alias("actor"), F.lit(None).cast("string").alias("entity_id"),
         F.concat(F.lit('{"k":'), F.col("o_orderkey").cast("string"), F.lit("}")).alias("payload"),
     )
-    at = log.append(rows.where("ord < 150"), 0)
-    log.append(rows.where("ord >= 150"), at)
+    at = log.append(rows.where("ord % 20000 < 9000"), 0)
+    log.append(rows.where("ord % 20000 >= 9000"), at)
     return log.scan().select(projection.payload("k", "long").alias("seq_source"), "seq")

@@ -26,3 +26,10 @@ def query(sql: str | None = None):
         return f
 
     return register
+
+
+def also_as(name: str, of: str) -> None:
+    """Register the query ``of`` under another name too."""
+    QUERIES[name] = QUERIES[of]
+    if of in ORACLE_SQL:
+        ORACLE_SQL[name] = ORACLE_SQL[of]

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import addresses, text
+from ..functions import addresses, text, wording
 from ..operators import graph, reconcile
 from .model import Model
 from .registry import query
 
 UNI = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
 STOP = "(" + ", ".join(f"'{w}'" for w in text.CLAIM_STOP_WORDS) + ")"
+SCOPE_STOP = "(" + ", ".join(f"'{w}'" for w in text.SCOPE_STOP_WORDS) + ")"
 
 
 @query(f"SELECT item_id, {UNI.format('text')} AS norm FROM benchmark")
@@ -30,9 +31,9 @@ def fn03_anchor_terms(m: Model) -> DataFrame:
     return m.part.select("p_partkey", F.array_join(F.array_sort(terms), ",").alias("terms"))
 
 
-@query(rf"""SELECT p_partkey, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_type || ' of ' || p_brand || '-a'), '[^a-z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda t: len(t) > 1 AND t NOT IN {STOP}), ',') AS tokens FROM part""")
+@query(rf"""SELECT p_partkey, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_type || ' of which through ' || p_brand || '-a nor very'), '[^a-z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda t: len(t) > 1 AND t NOT IN {SCOPE_STOP}), ',') AS tokens FROM part""")
 def fn05_scope_tokens(m: Model) -> DataFrame:
-    return m.part.select("p_partkey", F.array_join(text.scope_tokens(F.concat(F.col("p_type"), F.lit(" of "), F.col("p_brand"), F.lit("-a"))), ",").alias("tokens"))
+    return m.part.select("p_partkey", F.array_join(text.scope_tokens(F.concat(F.col("p_type"), F.lit(" of which through "), F.col("p_brand"), F.lit("-a nor very"))), ",").alias("tokens"))
 
 
 PAIR = """p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, list_distinct(string_split(lower(a.p_name || ' ' || a.p_type), ' ')) AS x, list_distinct(string_split(lower(b.p_name || ' ' || b.p_brand), ' ')) AS y
@@ -75,11 +76,9 @@ def fn14_contradiction_signal(m: Model) -> DataFrame:
     return m.part.select("p_partkey", text.contradiction_signal(F.concat(F.col("p_name"), F.lit(" is not removed")), right).alias("signal"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'certain' WHEN o_totalprice > 100000 THEN 'likely' ELSE 'uncertain' END AS hedge, CAST(ceil(o_totalprice / 4) AS BIGINT) AS estimate, CAST(least(1000 * pow(2, o_orderkey % 8), 30000) AS BIGINT) AS backoff FROM orders")
+@query("SELECT o_orderkey, CAST(ceil(len(o_orderpriority) / 4.0) AS BIGINT) AS estimate, CAST(least(1000 * pow(2, o_orderkey % 8), 30000) AS BIGINT) AS backoff FROM orders")
 def fn42_estimates(m: Model) -> DataFrame:
-    hedge = F.when(F.col("o_totalprice") > 200000, F.lit("certain")).when(F.col("o_totalprice") > 100000, F.lit("likely")).otherwise(F.lit("uncertain"))
-    backoff = F.least(F.lit(1000.0) * F.pow(F.lit(2.0), F.col("o_orderkey") % 8), F.lit(30000.0)).cast("long")
-    return m.orders.select("o_orderkey", hedge.alias("hedge"), F.ceil(F.col("o_totalprice") / 4).cast("long").alias("estimate"), backoff.alias("backoff"))
+    return m.orders.select("o_orderkey", wording.token_estimate(F.col("o_orderpriority")).alias("estimate"), wording.backoff(F.col("o_orderkey") % 8).alias("backoff"))
 
 
 @query("SELECT event_id, sha256(props) AS payload_hash FROM events")
@@ -160,10 +159,10 @@ def jn11_similar_pairs(m: Model) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {SETS}, e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.block = b.block AND a.id % 2 = b.id % 2 AND a.id <> b.id AND len(a.t) > 0 AND len(b.t) > 0
-WHERE round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) >= 0.8), r AS (SELECT id AS a, id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+WHERE round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) >= 0.92), r AS (SELECT id AS a, id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS id, min(b) AS cluster FROM r GROUP BY a""")
 def al05_finding_clusters(m: Model) -> DataFrame:
-    return graph.linked_findings(_findings(m).withColumn("positive", F.col("id") % 2 == 0), ["block"], 0.8).select("id", "cluster")
+    return graph.linked_findings(_findings(m).withColumn("positive", F.col("id") % 2 == 0), ["block"]).select("id", "cluster")
 
 
 ASSERTIONS = r"""x AS (SELECT p_partkey AS id, p_brand AS family_id, p_name AS subject, p_type AS predicate, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_type END AS object,
@@ -189,7 +188,7 @@ p AS (SELECT o.id AS oid, c.id AS cid, o.polarity AS op, c.polarity AS cp, o.hed
  CASE WHEN o.value IS NULL OR c.value IS NULL THEN NULL ELSE abs(o.value - c.value) / greatest(abs(o.value), abs(c.value), 1) <= 0.1 END AS num,
  len(list_intersect({W.format('o.nt')}, {W.format('c.nt')})) / len(list_distinct(list_concat({W.format('o.nt')}, {W.format('c.nt')})))::DOUBLE AS jac,
  CASE WHEN o.nobj = '' OR c.nobj = '' THEN 1.0 ELSE len(list_intersect({W.format('o.nobj')}, {W.format('c.nobj')})) / len(list_distinct(list_concat({W.format('o.nobj')}, {W.format('c.nobj')})))::DOUBLE END AS ojac
- FROM n o JOIN n c ON o.family_id = c.family_id WHERE o.id % 10 = 0 AND c.id % 10 IN (1, 2)),
+ FROM n o JOIN n c ON o.family_id = c.family_id WHERE o.id % 50 = 0 AND c.id % 50 > 0),
 s AS (SELECT *, head AND eqq AND oo = co AS keyed, head AND ojac >= 0.3 AS scoped FROM p),
 t AS (SELECT *, round(CASE WHEN keyed AND op = cp AND coalesce(num, true) THEN 1.0 ELSE greatest(0, least(1, jac * 0.7 + CASE WHEN num IS NULL THEN 0.5 WHEN num THEN 1.0 ELSE 0.0 END * 0.15 + CASE WHEN op = cp THEN 0.1 ELSE 0 END + CASE WHEN oh = ch THEN 0.05 ELSE 0 END)) END::DOUBLE, 6) AS score FROM s),
 """
@@ -198,7 +197,7 @@ t AS (SELECT *, round(CASE WHEN keyed AND op = cp AND coalesce(num, true) THEN 1
 @query(RECON + "z AS (SELECT 1) SELECT oid AS observation_id, cid AS claim_id, score FROM t")
 def al01_pair_scores(m: Model) -> DataFrame:
     rows = _assertions(m)
-    scored = reconcile.scored_pairs(rows.where("id % 10 = 0"), rows.where("id % 10 in (1, 2)"))
+    scored = reconcile.scored_pairs(rows.where("id % 50 = 0"), rows.where("id % 50 > 0"))
     return scored.select(F.col("o_id").alias("observation_id"), F.col("c_id").alias("claim_id"), "score")
 
 
@@ -210,10 +209,10 @@ b AS (SELECT *, CASE WHEN scoped AND op <> cp AND op <> 'conditional' AND cp <>
 SELECT o.p_partkey AS observation_id, coalesce(k, 'new_claim') AS classification, coalesce(score, 0.0) AS score,
  CASE WHEN keyed THEN 'canonical_key_exact' WHEN score >= 0.92 AND scoped THEN 'entity_aware_v3' ELSE 'lexical_rules_v2' END AS method,
  CASE WHEN coalesce(k, 'new_claim') <> 'new_claim' THEN cid END AS matched_claim_id, CASE WHEN k = 'same_claim' THEN CAST(cid AS STRING) ELSE 'claim_' || CAST(o.p_partkey AS STRING) END AS canonical_claim_id
-FROM (SELECT p_partkey FROM part WHERE p_partkey % 10 = 0) o LEFT JOIN b ON b.oid = o.p_partkey""")
+FROM (SELECT p_partkey FROM part WHERE p_partkey % 50 = 0) o LEFT JOIN b ON b.oid = o.p_partkey""")
 def al03_reconcile_batch(m: Model) -> DataFrame:
     rows = _assertions(m)
-    return reconcile.plan_batch(rows.where("id % 10 = 0"), rows.where("id % 10 in (1, 2)"))
+    return reconcile.plan_batch(rows.where("id % 50 = 0"), rows.where("id % 50 > 0"))
 
 
 @query(rf"""WITH {ASSERTIONS}, k AS (SELECT *, {UNI.format('subject')} || '|' || {UNI.format('predicate')} || '|' || {UNI.format("coalesce(object, '')")} AS key FROM x)

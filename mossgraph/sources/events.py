@@ -1,17 +1,16 @@
-"""The event log on disk: validated append, scans, export with a digest, snapshots."""
+"""The event log on disk: validated append and scans."""
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
-import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.workingset import numbered
+from . import files
+
 SCHEMA = T.StructType([
     T.StructField("seq", T.LongType(), False), T.StructField("id", T.StringType()), T.StructField("timestamp", T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("event_version", T.IntegerType()),
     T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.StringType()), T.StructField("actor", T.StringType()), T.StructField("entity_id", T.StringType()), T.StructField("payload", T.StringType()), T.StructField("payload_hash", T.StringType()),
@@ -46,18 +45,27 @@ class EventLog:
         return self.scan().agg(F.max("seq")).first()[0] or 0
 
     def append(self, events: DataFrame, expected: int) -> int:
-        """Append ``events(ord, timestamp, event_type, run_id, actor, entity_id, payload)`` in order; all or nothing."""
+        """Append ``events(ord, timestamp, event_type, run_id, actor, entity_id, payload)`` in order; all or nothing.
+
+        Rows are numbered in parallel by ranges of ``ord`` (a total order) and written in parallel."""
         if self.latest() != expected:
             raise StaleLog(f"the log is at {self.latest()}, not {expected}")
         bad = events.where(F.expr("try_parse_json(payload) is null") | (F.octet_length("payload") > PAYLOAD_MOST) | F.col("event_type").isNull()).limit(1).collect()
         if bad:
             raise ValueError(f"an event cannot be appended: {bad[0]['event_type']}")
-        ranked = events.orderBy("ord").withColumn("seq", F.monotonically_increasing_id())
-        base = ranked.repartitionByRange(1, "seq").sortWithinPartitions("seq").select(
-            (F.monotonically_increasing_id() + F.lit(expected + 1)).alias("seq"), F.sha2(F.concat_ws("|", F.lit(str(expected)), "ord"), 256).substr(1, 26).alias("id"), "timestamp", "event_type", F.lit(1).alias("event_version"), "run_id",
-            F.lit(f"batch-{expected}").alias("batch_id"), "actor", "entity_id", "payload", F.sha2(F.col("payload").cast("binary"), 256).alias("payload_hash"),
-        )
-        base.write.mode("append").parquet(self.path)
+        claim = f"{self.path}_claims/{expected}"
+        if not files.create_once(self.spark, claim):  # of two writers that saw the same place one alone goes on
+            raise StaleLog(f"another writer appends after {expected}")
+        try:
+            ranked = numbered(events, "ord").withColumnRenamed("n", "_n")
+            base = ranked.select(
+                (F.col("_n") + F.lit(expected)).alias("seq"), F.sha2(F.concat_ws("|", F.lit(str(expected)), F.col("_n").cast("string")), 256).substr(1, 26).alias("id"), "timestamp", "event_type", F.lit(1).alias("event_version"), "run_id",
+                F.lit(f"batch-{expected}").alias("batch_id"), "actor", "entity_id", "payload", F.sha2(F.col("payload").cast("binary"), 256).alias("payload_hash"),
+            )
+            base.write.mode("append").parquet(self.path)
+        except Exception:
+            files.remove(self.spark, claim)
+            raise
         return self.latest()
 
     def corrupt(self) -> DataFrame:
@@ -78,44 +86,3 @@ def canonical(value: object) -> str:
         return [plain(x) for x in v] if isinstance(v, list) else v
 
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
-
-
-def export_jsonl(log: EventLog, destination: str) -> dict:
-    """A header line, a line for each event, and a footer with the count, last ``seq`` and digest of all before it.
-
-    Rows stream to the driver in order, one partition at a time; the file appears whole or not at all."""
-    target = Path(destination)
-    if target.exists():
-        raise FileExistsError(destination)
-    digest, count, last = hashlib.sha256(), 0, 0
-    handle, part = tempfile.mkstemp(dir=target.parent)
-    with os.fdopen(handle, "w", encoding="utf-8") as out:
-
-        def line(value: dict) -> None:
-            text = canonical(value) + "\n"
-            digest.update(text.encode())
-            out.write(text)
-
-        line({"kind": "header", "version": 1})
-        for row in log.scan().toLocalIterator():
-            line({"kind": "event", **row.asDict()})
-            count, last = count + 1, row["seq"]
-        footer = {"kind": "footer", "count": count, "latestSeq": last, "sha256": digest.hexdigest()}
-        out.write(canonical(footer) + "\n")
-    os.replace(part, target)
-    return footer
-
-
-def snapshot(views: dict[str, DataFrame], folder: str, cursor: int, keep: int = 3) -> dict:
-    """Views at ``cursor`` as Parquet with a manifest; the oldest beyond ``keep`` go from the manifest."""
-    manifest = Path(folder) / "manifest.json"
-    entries = json.loads(manifest.read_text()) if manifest.exists() else []
-    entry = {"cursor": cursor, "views": {name: f"{folder}/{cursor}/{name}" for name in views}}
-    for name, view in views.items():
-        view.write.mode("overwrite").parquet(entry["views"][name])
-    entries = [*[e for e in entries if e["cursor"] != cursor], entry][-keep:]
-    manifest.parent.mkdir(parents=True, exist_ok=True)
-    part = manifest.with_suffix(".part")
-    part.write_text(json.dumps(entries))
-    os.replace(part, manifest)
-    return entry
