@@ -10,7 +10,11 @@ earliest of its interval, by id and line, is deleted; what overlapping runs dele
 So each line that is deleted is, with its neighbours, part of a run of ``min_words`` words or more that occurs earlier, and
 one copy always stays.  Lines without a word are never deleted and do not part a run.  Null texts stay null, empty texts
 empty; columns called n_lines or n_removed are replaced.  Rows that repeat an id with another text are documents of their own, ordered by a digest of the text; rows that are
-repeated whole are one document and get the same result.  A null id comes first.  Other columns stay as they are.
+repeated whole are one document and get the same result.  A null id comes first.  Very long texts are cut into lines whole.
+An empty table gives no rows.  Other columns, whatever their names, stay as they are.
+
+The interval of a run is the group of the places where it begins; suffixes longer than that are not put in order, since no
+decision depends on it.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality_rules import SPACE, SPACES
-from .storage import set_aside, written
+from .storage import hot_join, set_aside, written
 
 DOC = ["_k", "_h"]
 #: Buckets of documents, so many whatever the input: a bucket without deletions passes its texts on without a shuffle.
@@ -28,8 +32,8 @@ LEAST = -(1 << 63)
 
 
 def _ranked(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Numbers that keep the order of ``keys``, for each group; without gathering them anywhere."""
-    return written(groups.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias(name)))
+    """Numbers that keep the order of ``keys``, for each group with its count; without gathering them anywhere."""
+    return written(groups.orderBy(*keys).select(*keys, "_c", F.monotonically_increasing_id().alias(name)))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,7 +44,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     twice = _ranked(lines.groupBy("_digest").agg(F.count("*").alias("_c")).where("_c > 1"), ["_digest"], "r0")
     # Place among the document's lines with a word; neighbours in a run have neighbouring places.
     placed = lines.withColumn("_q", F.dense_rank().over(Window.partitionBy(*DOC).orderBy("_line")))
-    kept = placed.join(twice, "_digest").select(*DOC, "_line", "_q", "_w", "r0").dropDuplicates([*DOC, "_q"])
+    kept = hot_join(placed, twice, ["_digest"], "_c", F.struct(*DOC, "_line")).select(*DOC, "_line", "_q", "_w", "r0").dropDuplicates([*DOC, "_q"])
     run = Window.partitionBy(*DOC).orderBy("_q")
     table = written(kept.withColumn("_run", F.col("_q") - F.row_number().over(run)))
 
@@ -66,7 +70,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
         halves = ranks.withColumns({"_a": F.col(f"r{level}"), "_b": F.lead(f"r{level}", 1 << level).over(inside)})
         pairs = halves.where("_a is not null and _b is not null").groupBy("_a", "_b").agg(F.count("*").alias("_c")).where("_c > 1")
         level += 1
-        ranks = halves.join(_ranked(pairs, ["_a", "_b"], f"r{level}"), ["_a", "_b"], "left").drop("_a", "_b")
+        ranks = halves.join(_ranked(pairs, ["_a", "_b"], f"r{level}").drop("_c"), ["_a", "_b"], "left").drop("_a", "_b")
         ranks = written(ranks)
 
     # Each run by its length and the ranks of its first and last 2**level lines, which overlap.
@@ -79,8 +83,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     ranked = first.join(of.withColumnRenamed("_q", "_t"), [*DOC, "_t"]).withColumn("_y", F.expr("_ranks[_e]")).drop("_ranks").where("_y is not null")
     ranked = written(ranked.select(*DOC, "_s", "_m", "_x", "_y"))
     place = F.struct("_k", "_h", "_s")
-    earliest = ranked.groupBy("_m", "_x", "_y").agg(F.min(place).alias("_first"), F.count("*").alias("_c")).where("_c > 1")
-    later = ranked.join(earliest.select("_m", "_x", "_y", "_first"), ["_m", "_x", "_y"]).where(place > F.col("_first"))
+    earliest = written(ranked.groupBy("_m", "_x", "_y").agg(F.min(place).alias("_first"), F.count("*").alias("_c")).where("_c > 1"))
+    later = hot_join(ranked, earliest, ["_m", "_x", "_y"], "_c", place).where(place > F.col("_first"))
     places = later.select(*DOC, F.explode(F.sequence(F.col("_s"), F.col("_s") + F.col("_m") - 1)).alias("_q")).distinct()
     return places.join(sized.select(*DOC, "_q", "_line"), [*DOC, "_q"]).groupBy(*DOC).agg(F.collect_list("_line").alias("_gone"))
 

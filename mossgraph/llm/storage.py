@@ -7,7 +7,11 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more rows than this, or than a 100,000th of all, is dealt out over several tasks.
+HOT = 10_000
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -58,3 +62,18 @@ def set_aside(frame: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, s
     """``frame`` with columns called like ``names`` renamed, and how to call them again."""
     back = {f"own {c}": c for c in frame.columns if c in names}
     return frame.select([frame[f"`{c}`"].alias(f"own {c}") if c in names else frame[f"`{c}`"] for c in frame.columns]), back
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, spread: Column) -> DataFrame:
+    """``rows`` joined with ``groups``, a written table of one row a key with how many ``rows`` have it in ``count``.
+
+    Rows of hot keys are dealt out by ``spread``, so that no task gets them all; their row of ``groups`` is repeated."""
+    total, largest = groups.agg(F.sum(count), F.max(count)).first()
+    least = max(HOT, (total or 0) // 100_000)
+    salts = -(-(largest or 0) // least)
+    if salts < 2:
+        return rows.join(groups.drop(count), keys)
+    hot = F.broadcast(groups.where(F.col(count) > least).select(*keys, F.lit(True).alias("_hot")))  # 100,000 rows at most
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    many = F.when(F.col(count) > least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(groups.withColumn("_salt", F.explode(many)).drop(count), [*keys, "_salt"]).drop("_salt")
