@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .storage import parallelism
 
-LANES = 64
+#: Lanes of a fingerprint, in blocks that are summed by themselves.
+LANES, BLOCK = 256, 64
 MODULUS = 1 << 32
 #: A part: up to 40 characters of a line with the marks that end them, or marks alone.
 PART = r"[^\n.!?]{1,40}[\n.!?]*|[\n.!?]+"
@@ -33,11 +34,11 @@ def parts_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PART), F.lit(0))
 
 
-def part_lanes(part: Column) -> list[Column]:
-    """The vector of one part, as columns; a null part has the zero vector."""
-    hashed = [F.xxhash64(F.xxhash64(part), F.xxhash64(F.lit("second"), part), F.lit(k)) for k in range(LANES // 4)]
-    lanes = [F.shiftrightunsigned(h, 16 * k).bitwiseAND(F.lit(0xFFFF)) - F.lit(32768) for h in hashed for k in range(4)]
-    return [F.when(part.isNull(), F.lit(0).cast("long")).otherwise(x.cast("long")) for x in lanes]
+def part_lanes(part: Column, block: Column) -> list[Column]:
+    """BLOCK lanes of the vector of one part, as columns; a null part has the zero vector."""
+    zero = F.lit(-0x7FFF7FFF7FFF8000)  # 0x8000800080008000: four times the middle
+    hashed = [F.when(part.isNull(), zero).otherwise(F.xxhash64(F.xxhash64(part), F.xxhash64(F.lit("second"), part), block * (BLOCK // 4) + k)) for k in range(BLOCK // 4)]
+    return [F.shiftrightunsigned(h, 16 * k).bitwiseAND(F.lit(0xFFFF)) - F.lit(32768) for h in hashed for k in range(4)]
 
 
 def signed(lane: Column) -> Column:
@@ -70,9 +71,11 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """``keys`` and ``lanes`` of each distinct key: texts of a key count together."""
     parts = rows.select(*keys, F.explode_outer(parts_of(F.col(text_col))).alias("_part"))
-    sums = [F.sum(x).alias(f"_l{k}") for k, x in enumerate(part_lanes(F.col("_part")))]
-    grouped = parts.groupBy(*keys).agg(*sums)
-    return grouped.select(*keys, F.array(*[signed(F.col(f"_l{k}")) for k in range(LANES)]).alias("lanes"))
+    blocks = parts.select(*keys, "_part", F.explode(F.array(*[F.lit(b) for b in range(LANES // BLOCK)])).alias("_block"))
+    sums = [F.sum(x).alias(f"_l{k}") for k, x in enumerate(part_lanes(F.col("_part"), F.col("_block")))]
+    grouped = blocks.groupBy(*keys, "_block").agg(*sums).select(*keys, "_block", F.array(*[signed(F.col(f"_l{k}")) for k in range(BLOCK)]).alias("_lanes"))
+    lanes = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_lanes"))), lambda x: x["_lanes"]))
+    return grouped.groupBy(*keys).agg(lanes.alias("lanes"))
 
 
 def _range_of(column: Column, bounds: list[int]) -> Column:
