@@ -32,8 +32,12 @@ GAP_PRIORITY = {
 PASSING_STATUS, LASTING_STATUS, PASSING_CODES, LASTING_RPC = (429, 503), (400, 401, 403, 404), ("ETIMEDOUT", "ECONNRESET", "ECONNREFUSED"), (-32700, -32600, -32602)
 # Bounds of fields in bytes, and of arrays.
 SHORT_FIELD, MEDIUM_FIELD, BODY_FIELD, ARRAY_MOST = 2 * 1024, 16 * 1024, 256 * 1024, 100
-# Fields of run events that may be shown.
-SHOWN_FIELDS = ("phase", "progress", "message", "status", "reason", "step", "total", "completed")
+# Fields of run events that may be shown, by type.
+SHOWN_FIELDS = {
+    "RUN_QUEUED": ("runId", "rootRunId", "attempt", "familyId", "query", "strategy", "depth", "queuedAt", "retryOf"), "RUN_STARTED": ("runId", "familyId", "query", "strategy"), "RUN_STARTING": ("runId", "ownerId", "startingAt"),
+    "RUN_RUNNING": ("runId", "ownerId", "startedAt"), "RUN_PROGRESS": ("runId", "phase", "percent", "message", "counts"), "RUN_COMPLETED": ("runId", "entityCount", "claimCount", "sourceCount", "evidenceCount"), "RUN_FAILED": ("runId", "error"),
+    "RUN_CANCELLED": ("runId", "reason"), "RUN_CANCELLATION_REQUESTED": ("runId", "requestedAt", "reason"), "RUN_INTERRUPTED": ("runId", "interruptedAt", "reason"), "RUN_ROLLED_BACK": ("run_id",),
+}
 
 
 def key_words(text: Column) -> Column:
@@ -193,9 +197,13 @@ def bytes_capped(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(cut, F.lit("…")))
 
 
-def shown_payload(payload: Column, fields: tuple[str, ...] = SHOWN_FIELDS) -> Column:
-    """Only the fields of a JSON payload that may be shown, without nulls."""
-    return F.to_json(F.struct(*[F.get_json_object(payload, f"$.{name}").alias(name) for name in fields]))
+def shown_payload(event_type: Column, payload: Column) -> Column:
+    """Only the fields of a run event's JSON payload that may be shown, without nulls; nothing of other events."""
+    value, out = F.try_parse_json(payload), None
+    for kind, fields in SHOWN_FIELDS.items():
+        shown = F.to_json(F.struct(*[F.try_variant_get(value, f"$.{name}", "variant").alias(name) for name in fields]))
+        out = F.when(event_type == kind, shown) if out is None else out.when(event_type == kind, shown)
+    return out.otherwise(F.lit("{}"))
 
 
 def page_limit_column(limit: Column, default: int = 50, most: int = 100) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, wording
+from ..api import Knowledge, Runs
 from ..operators import evaluate, feeds, knowledge, projection, reconcile, research
 from ..sources import archive
 from .knowledge_queries import j, k
@@ -165,3 +165,66 @@ def ev02_cases(m: Model) -> DataFrame:
     n = F.col("id")
     claim = rows.withColumn("polarity", F.when(n % 5 == 1, F.when(F.col("polarity") == "negative", F.lit("positive")).otherwise(F.lit("negative"))).otherwise(F.col("polarity"))).withColumn("subject", F.when(n % 5 == 2, F.lit("something else entirely")).otherwise(F.col("subject")))
     return evaluate.cases(rows, claim, reconcile.plan_batch)
+
+
+# --- named reads and runs through the facade ---
+
+
+def _knowledge(m: Model) -> Knowledge:
+    log = m.glog
+    claims = knowledge.accepted_claims(log).withColumns({"last_seen_at": F.col("observed_at"), "expired_at": F.lit(None).cast("string"), "curation_status": F.lit("active"), "thread_id": F.lit(None).cast("string")})
+    views = {"families": knowledge.families(log), "threads": knowledge.threads(log), "claims": claims, "evidence": knowledge.stances(log), "contradictions": knowledge.contradictions(log), "gaps": knowledge.gaps(log), "entities": knowledge.entities(log)}
+    return Knowledge(views, log)
+
+
+@query(f"""WITH c AS (SELECT {j('threadId')} AS id, min(seq) AS pos, arg_min({j('familyId')}, seq) AS family_id, arg_min({j('label')}, seq) AS label FROM glog WHERE {k('THREAD_CREATED')} GROUP BY 1), d AS (SELECT {j('threadId')} AS id, max(seq) AS done FROM glog WHERE {k('THREAD_RESOLVED')} GROUP BY 1)
+SELECT c.id, family_id, label, CASE WHEN done > pos THEN 'resolved' ELSE 'open' END AS status FROM c LEFT JOIN d ON d.id = c.id WHERE family_id IN ('f5', 'f7', 'f11')""")
+def q_graph_threads(m: Model) -> DataFrame:
+    return _knowledge(m).ask("threads", family_id=["f5", "f7", "f11"])
+
+
+@query(f"""WITH b AS (SELECT {j('id')} AS id, max(seq) AS pos, arg_max({j('familyId')}, seq) AS family_id FROM glog WHERE {k('CONTRADICTION_IDENTIFIED')} GROUP BY 1), r AS (SELECT b.id, arg_max({j('newStatus')}, seq) AS status FROM glog JOIN b ON b.id = {j('contradictionId')} AND seq > pos WHERE {k('CONTRADICTION_RESOLVED')} GROUP BY 1)
+SELECT b.id, coalesce(status, 'unresolved') AS status FROM b LEFT JOIN r ON r.id = b.id WHERE family_id = 'f4'""")
+def q_graph_contradictions(m: Model) -> DataFrame:
+    return _knowledge(m).ask("contradictions", family_id="f4").select("id", "status")
+
+
+@query(f"""SELECT id, priority FROM (SELECT {j('id')} AS id, arg_max({j('familyId')}, seq) AS fam, arg_max(CAST({j('priority')} AS INT), seq) AS priority FROM glog WHERE {k('GAP_OPENED')} GROUP BY 1) WHERE fam = 'f3'""")
+def q_graph_gaps(m: Model) -> DataFrame:
+    return _knowledge(m).ask("gaps", family_id="f3").select("id", "priority")
+
+
+@query(f"""WITH a AS (SELECT {j('id')} AS id, max(seq) AS pos, arg_max({j('label')}, seq) AS label FROM glog WHERE {k('NODE_ADDED')} GROUP BY 1), r AS (SELECT a.id, arg_max({j('newLabel')}, seq) AS label FROM glog JOIN a ON a.id = {j('targetId')} AND seq > pos WHERE {k('NODE_RELABELED')} GROUP BY 1),
+g AS (SELECT id, max(seq) AS gone FROM (SELECT seq, unnest(CAST(json_extract(payload, '$.mergedIds') AS VARCHAR[])) AS id FROM glog WHERE {k('ENTITY_MERGED')} UNION ALL SELECT seq, {j('originalId')} FROM glog WHERE {k('ENTITY_SPLIT')}) GROUP BY 1)
+SELECT a.id FROM a LEFT JOIN r ON r.id = a.id LEFT JOIN g ON g.id = a.id WHERE (gone IS NULL OR gone < pos) AND lower(coalesce(r.label, a.label)) = 'brand#13'""")
+def q_graph_entity(m: Model) -> DataFrame:
+    return _knowledge(m).ask("entity", label="BRAND#13").select("id")
+
+
+@query(f"""SELECT seq, event_type FROM glog WHERE seq > 2000 AND (coalesce({j('familyId')}, {j('family_id')}) = 'f5' OR (SELECT count(*) FROM (SELECT {j('id').replace('payload', 'g2.payload')} AS c, arg_max({j('familyId').replace('payload', 'g2.payload')}, g2.seq) AS f FROM glog g2 WHERE g2.event_type = 'CLAIM_ACCEPTED' GROUP BY 1) x WHERE x.f = 'f5' AND x.c IN ({", ".join(j(n) for n in ('claimId', 'claimIdA', 'claimIdB', 'sourceClaimId', 'fromClaimId', 'toClaimId', 'reconciliation.canonicalClaimId'))})) > 0) ORDER BY seq LIMIT 40""")
+def api_changes_of_family(m: Model) -> DataFrame:
+    return _knowledge(m).ask("changes", since=2000, family_id="f5", limit=40).select("seq", "event_type")
+
+
+@query(f"SELECT seq, event_type FROM glog WHERE {j('gapId')} = 'g9' ORDER BY seq")
+def api_timeline_of_gap(m: Model) -> DataFrame:
+    return _knowledge(m).ask("timeline", gap_id="g9").select("seq", "event_type")
+
+
+def _runs(m: Model) -> Runs:
+    return Runs(m.log.withColumn("payload", F.to_json(F.struct(F.col("run_id").cast("string").alias("runId"), F.lit("hidden").alias("lease"), F.col("value").alias("percent")))))
+
+
+@query("""WITH q AS (SELECT run_id, min(seq) AS seq, min(family_id) AS family_id, arg_max(event_type, seq) AS last FROM log GROUP BY 1) SELECT * FROM q WHERE family_id = 3 ORDER BY seq DESC LIMIT 50""")
+def r_list_of_family(m: Model) -> DataFrame:
+    return _runs(m).list(family_id=3)
+
+
+@query("SELECT seq, event_type, CASE WHEN event_type IN ('RUN_COMPLETED', 'RUN_FAILED', 'RUN_RUNNING', 'RUN_QUEUED') THEN '{\"runId\":\"3\"}' END AS shown FROM log WHERE run_id = 3")
+def r_history(m: Model) -> DataFrame:
+    return _runs(m).history(3).select("seq", "event_type", F.when(F.col("event_type") != "RUN_PROGRESS", F.col("payload")).alias("shown"))
+
+
+@query("WITH e AS (SELECT min(seq) AS stop FROM log WHERE run_id = 5 AND event_type IN ('RUN_COMPLETED', 'RUN_FAILED')) SELECT seq, event_type FROM log, e WHERE run_id = 5 AND seq > 10 AND (stop IS NULL OR seq <= stop) ORDER BY seq LIMIT 100")
+def r_event_feed(m: Model) -> DataFrame:
+    return _runs(m).events(5, after=10).select("seq", "event_type")

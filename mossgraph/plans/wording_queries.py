@@ -181,11 +181,12 @@ def flt12_url_check(m: Model) -> DataFrame:
     return m.pages.select("page_id", wording.url_check(given).alias("verdict"))
 
 
-@query("""SELECT event_id, '{' || CASE WHEN event_id % 2 = 0 THEN '"phase":"p' || CAST(event_id % 4 AS STRING) || '"' || CASE WHEN event_id % 3 = 0 THEN ',"status":"' || event_type || '"' ELSE '' END ELSE CASE WHEN event_id % 3 = 0 THEN '"status":"' || event_type || '"' ELSE '' END END || '}' AS shown FROM events""")
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN '{"runId":"r' || CAST(user_id AS STRING) || '"' || CASE WHEN event_id % 2 = 0 THEN ',"phase":"p"' ELSE '' END || ',"percent":' || CAST(event_id % 100 AS STRING) || '}' WHEN 'error' THEN '{"runId":"r' || CAST(user_id AS STRING) || '","error":{"code":7}}' ELSE '{}' END AS shown FROM events""")
 def flt13_shown_payload(m: Model) -> DataFrame:
-    k = F.col("event_id")
-    body = F.to_json(F.struct(F.lit("s3cret").alias("secret"), F.when(k % 3 == 0, F.col("event_type")).alias("status"), F.when(k % 2 == 0, F.concat(F.lit("p"), (k % 4).cast("string"))).alias("phase")))
-    return m.events.select("event_id", wording.shown_payload(body).alias("shown"))
+    n = F.col("event_id")
+    kind = F.when(F.col("event_type") == "view", F.lit("RUN_PROGRESS")).when(F.col("event_type") == "error", F.lit("RUN_FAILED")).otherwise(F.lit("CLAIM_OBSERVED"))
+    body = F.to_json(F.struct(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("runId"), F.lit("s3cret").alias("lease"), F.when(n % 2 == 0, F.lit("p")).alias("phase"), (n % 100).alias("percent"), F.struct(F.lit(7).alias("code")).alias("error")))
+    return m.events.select("event_id", wording.shown_payload(kind, body).alias("shown"))
 
 
 @query("SELECT seq, event_type FROM log WHERE event_type IN ('RUN_QUEUED', 'RUN_RUNNING', 'RUN_COMPLETED', 'RUN_FAILED')")
