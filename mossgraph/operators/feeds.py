@@ -24,8 +24,9 @@ LEASE_SECONDS, LEASES = 15, 4
 TERMINAL_EVENTS = ("RUN_COMPLETED", "RUN_FAILED", "RUN_CANCELLED", "RUN_INTERRUPTED", "RUN_ROLLED_BACK")
 
 
-def told(event_type: Column = F.col("event_type")) -> Column:
+def told() -> Column:
     """An event in one line; an unknown one by its type."""
+    event_type = F.col("event_type")
     unknown = lambda c: F.coalesce(c, F.lit("unknown"))
     text = unknown(payload("observation.subjectText"))
     out = F.when(event_type == "CLAIM_OBSERVED", F.concat(F.when(payload("reconciliation.classification") == "new_claim", F.lit("New claim: ")).otherwise(F.lit("Updated claim: ")), text))
@@ -39,8 +40,9 @@ def told(event_type: Column = F.col("event_type")) -> Column:
     return out.otherwise(event_type)
 
 
-def bucket(event_type: Column = F.col("event_type")) -> Column:
+def bucket() -> Column:
     """Which of twelve kinds of change an event is."""
+    event_type = F.col("event_type")
     kind = payload("reconciliation.classification")
     out = F.when(event_type == "CLAIM_OBSERVED", F.when(kind == "supersedes", F.lit("supersededClaims")).when(kind == "new_claim", F.lit("newClaims")).otherwise(F.lit("updatedClaims")))
     for name, target in BUCKETS.items():

@@ -5,20 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
 
 
-def saved(frame: DataFrame) -> DataFrame:
-    """Cut the lineage: written to the shared folder that ``spark.checkpoint.dir`` names, and read again."""
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; without one, a local folder in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="mossgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/mossgraph/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def saved(frame: DataFrame) -> DataFrame:
+    """Cut the lineage: written to the shared folder, and read again."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/mossgraph/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -41,15 +48,19 @@ def components(edges: DataFrame) -> DataFrame:
 def similar_pairs(rows: DataFrame, threshold: float, block: list[str], key: str = "id", tokens: str = "tokens") -> DataFrame:
     """``(a, b, score)``, a < b: pairs of a block whose token sets have Jaccard ``threshold`` or more.
 
-    Only pairs that share one of the rarest tokens of both can qualify: each set indexes its prefix by global rarity."""
+    Only pairs that share one of the rarest tokens of both can qualify: each set is looked up by its prefix by global rarity,
+    as long as a partner of its own size or less requires, in an index of the shorter prefixes that partners of its own size or
+    more require.  The smaller set of a pair (of equals the lower id) is the one in the index."""
     sets = rows.select(*block, F.col(key).alias("id"), F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
     flat = sets.select(*block, "id", F.size("t").alias("n"), F.explode("t").alias("token"))
     counts = flat.groupBy(*block, "token").agg(F.count("*").alias("c"))
     w = Window.partitionBy(*block, "id").orderBy("c", "token")
-    prefix = flat.join(counts, [*block, "token"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("c > 1")
-    left = prefix.select(*block, "token", F.col("id").alias("a"), F.col("n").alias("na"))
-    right = prefix.select(*block, "token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, [*block, "token"]).where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9).select("a", "b").distinct()
+    required = lambda t: F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
+    prefix = flat.join(counts, [*block, "token"]).withColumn("place", F.row_number().over(w)).where((F.col("place") <= required(threshold)) & (F.col("c") > 1))
+    left = prefix.where(F.col("place") <= required(2 * threshold / (1 + threshold))).select(*block, "token", F.col("id").alias("x"), F.col("n").alias("nx"))
+    right = prefix.select(*block, "token", F.col("id").alias("y"), F.col("n").alias("ny"))
+    found = left.join(right, [*block, "token"]).where((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))).where(F.col("nx") >= F.col("ny") * threshold - 1e-9)
+    pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     one = sets.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     two = sets.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     return pairs.join(one, "a").join(two, "b").withColumn("score", F.round(jaccard(F.col("ta"), F.col("tb")), 6)).where(F.col("score") >= threshold).select("a", "b", "score")

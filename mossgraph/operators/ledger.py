@@ -73,3 +73,32 @@ def failure_windows(outcomes: DataFrame, size: int = 10, least: int = 5, thresho
     rate = F.avg(F.col("failed").cast("double")).over(w)
     n = F.count("*").over(w)
     return outcomes.select("key", "seq", F.round(rate, 6).alias("rate"), n.alias("n"), ((n >= least) & (rate > threshold)).alias("open"))
+
+
+def breaker_states(outcomes: DataFrame, size: int = 10, least: int = 5, threshold: float = 0.8, cool: float = 60.0) -> DataFrame:
+    """``outcomes(key, seq, at, failed)`` -> ``(key, seq, refused, open)``: a circuit breaker's answer to each call of a key.
+
+    It opens when more than ``threshold`` of the last ``size`` outcomes failed, ``least`` of them at least; while it is open calls are
+    refused and do not count; ``cool`` seconds after it opened the next call goes through with an empty window.  What counts
+    depends on what was refused before, so each key is a fold over its rows, sorted within partitions."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, window, opened = None, [], None
+        for batch in batches:
+            out = []
+            for key, seq, at, failed in batch.itertuples(index=False):
+                if key != current:
+                    current, window, opened = key, [], None
+                if opened is not None and at - opened < cool:
+                    out.append((key, seq, True, True))
+                    continue
+                if opened is not None:
+                    window, opened = [], None
+                window = [*window, failed][-size:]
+                if len(window) >= least and sum(window) / len(window) > threshold:
+                    opened = at
+                out.append((key, seq, False, opened is not None))
+            yield pd.DataFrame(out, columns=["key", "seq", "refused", "open"])
+
+    rows = outcomes.select("key", "seq", F.col("at").cast("double").alias("at"), "failed").repartition("key").sortWithinPartitions("key", "seq")
+    return rows.mapInPandas(run, "key long, seq long, refused boolean, open boolean")

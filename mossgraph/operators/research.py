@@ -133,3 +133,16 @@ def drafted_findings(drafts: DataFrame, source: str, order: list[str], most: int
 
 def first_passage(text: Column, size: int = 16_000) -> Column:
     return F.left(text, F.lit(size))
+
+
+def question_coverage(questions: DataFrame, links: DataFrame) -> DataFrame:
+    """``(question, n_sources, n_domains, n_findings, status)`` of every question.
+
+    ``links(question, source_id, domain, confidence, failed)``: each finding's source, which has one domain.  Counted by source,
+    then by domain, then by question, so that no row is repeated for a distinct count."""
+    by_source = links.groupBy("question", "domain", "source_id").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.bool_or("failed").alias("failed"))
+    by_domain = by_source.groupBy("question", "domain").agg(F.count("*").alias("s"), F.sum("n").alias("n"), F.sum("c").alias("c"), F.bool_or("failed").alias("failed"))
+    known = F.col("domain").isNotNull()
+    counts = by_domain.groupBy("question").agg(F.sum("s").alias("n_sources"), F.count_if(known).alias("n_domains"), F.sum("n").alias("n_findings"), F.round(F.sum("c") / F.sum("n"), 6).alias("depth"), F.bool_or("failed").alias("promo"))
+    status = F.when(F.col("n_sources").isNull(), F.lit("uncovered")).when((F.col("n_sources") < 2) | (F.col("n_domains") < 2), F.lit("thin")).when(F.col("promo") | (F.col("depth") < 0.04), F.lit("risky")).otherwise(F.lit("adequate"))
+    return questions.join(counts, "question", "left").select("question", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_sources", "n_domains", "n_findings")], status.alias("status"))

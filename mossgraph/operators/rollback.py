@@ -18,8 +18,9 @@ EXCHANGED = {
 }
 
 
-def touched(event: Column = F.col("event_type")) -> Column:
+def touched() -> Column:
     """The ids that must not have been touched since by another run."""
+    event = F.col("event_type")
     one = lambda name: F.array(payload(name))
     out = F.when(event == "ENTITY_MERGED", F.concat(one("survivorId"), texts("mergedIds"))).when(event == "ENTITY_SPLIT", F.concat(one("originalId"), texts("resultingIds")))
     out = out.when(event == "SOURCE_RETRACTED", one("sourceId")).when(event == "FAMILY_MERGED", F.concat(one("survivorFamilyId"), texts("mergedFamilyIds"))).when(event == "FAMILY_RELATION_REMOVED", F.array(payload("family_a"), payload("family_b")))

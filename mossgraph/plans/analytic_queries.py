@@ -77,12 +77,9 @@ SELECT sub_question, coalesce(n_sources, 0) AS n_sources, coalesce(n_domains, 0)
 
 
 def _coverage(m: Model) -> DataFrame:
-    s = m.sources.select(F.col("id").alias("source_id"), "domain", "extraction_status")
-    g = m.evidence.join(s, "source_id").groupBy(F.col("subject_id").alias("sub_question")).agg(
-        F.countDistinct("source_id").alias("n_sources"), F.countDistinct("domain").alias("n_domains"), F.count("*").alias("n_findings"), F.round(F.avg("confidence"), 6).alias("depth"), F.bool_or(F.col("extraction_status") == "failed").alias("promo"),
-    )
-    status = F.when(F.col("n_sources").isNull(), F.lit("uncovered")).when((F.col("n_sources") < 2) | (F.col("n_domains") < 2), F.lit("thin")).when(F.col("promo") | (F.col("depth") < 0.04), F.lit("risky")).otherwise(F.lit("adequate"))
-    return m.part.select(F.col("p_partkey").alias("sub_question")).join(g, "sub_question", "left").select("sub_question", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_sources", "n_domains", "n_findings")], status.alias("status"))
+    s = m.sources.select(F.col("id").alias("source_id"), "domain", (F.col("extraction_status") == "failed").alias("failed"))
+    links = m.evidence.select(F.col("subject_id").alias("question"), "source_id", "confidence").join(s, "source_id")
+    return research.question_coverage(m.part.select(F.col("p_partkey").alias("question")), links).withColumnRenamed("question", "sub_question")
 
 
 @query(COVERAGE)

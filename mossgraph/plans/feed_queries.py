@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..api import Knowledge, Runs
-from ..operators import evaluate, feeds, knowledge, projection, reconcile, research
+from ..operators import evaluate, feeds, knowledge, ledger, projection, reconcile, research
 from ..sources import archive
 from .knowledge_queries import j, k
 from .model import Model
@@ -51,6 +51,13 @@ def str07_throttled(m: Model) -> DataFrame:
     return feeds.throttled(m.events.select(F.col("user_id").cast("long").alias("run_id"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("at"), (F.col("event_id") % 100 > 90).cast("string").alias("phase")), 3600.0)
 
 
+@query()
+def str08_breaker(m: Model) -> DataFrame:
+    """A circuit breaker for each user, a quarter of an hour to cool; tested by a fold."""
+    failed = F.col("event_type").isin("error", "click", "view")
+    return ledger.breaker_states(m.events.select(F.col("user_id").cast("long").alias("key"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("at"), failed.alias("failed")), cool=900.0)
+
+
 @query("""WITH e AS (SELECT run_id, min(seq) AS stop FROM log WHERE event_type IN ('RUN_COMPLETED', 'RUN_FAILED') GROUP BY 1) SELECT l.run_id, l.seq FROM log l LEFT JOIN e ON e.run_id = l.run_id WHERE l.seq > 100 AND (stop IS NULL OR l.seq <= stop)""")
 def str03_run_tail(m: Model) -> DataFrame:
     return feeds.until_terminal(m.log, 100).select("run_id", "seq")

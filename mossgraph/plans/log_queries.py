@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import projection, research
+from ..operators.graph import shared_folder
 from ..sources import providers
 from ..sources.events import EventLog
 from ..streaming import runs
@@ -108,8 +108,7 @@ FROM f JOIN o ON o.run_id = f.run_id AND o.n = f.n + 1) SELECT run_id, arg_max(s
 def str04_ledger_stream(m: Model) -> DataFrame:
     """The ledger as a stream over the log's files, drained into a table."""
     spark = m.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mossgraph-")
-    folder = f"{base.rstrip('/')}/mossgraph/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/mossgraph/stream-{uuid.uuid4().hex}"
     log = m.log.select("run_id", "seq", "event_type")
     log.write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
@@ -120,8 +119,7 @@ def str04_ledger_stream(m: Model) -> DataFrame:
 @query("SELECT o_orderkey AS seq_source, CAST(row_number() OVER (ORDER BY o_orderkey % 20000 >= 9000, o_orderkey) AS BIGINT) AS seq FROM orders")
 def snk01_append(m: Model) -> DataFrame:
     """Two batches appended to a new log, read back in order."""
-    base = m.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mossgraph-")
-    log = EventLog(m.spark, f"{base.rstrip('/')}/mossgraph/log-{uuid.uuid4().hex}")
+    log = EventLog(m.spark, f"{shared_folder(m.spark)}/mossgraph/log-{uuid.uuid4().hex}")
     rows = m.orders.select(
         F.col("o_orderkey").alias("ord"), F.lit("2024-01-01").alias("timestamp"), F.lit("CLAIM_OBSERVED").alias("event_type"), F.lit("r").alias("run_id"), F.lit("agent").alias("actor"), F.lit(None).cast("string").alias("entity_id"),
         F.concat(F.lit('{"k":'), F.col("o_orderkey").cast("string"), F.lit("}")).alias("payload"),

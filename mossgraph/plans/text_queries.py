@@ -215,7 +215,7 @@ def al03_reconcile_batch(m: Model) -> DataFrame:
     return reconcile.plan_batch(rows.where("id % 50 = 0"), rows.where("id % 50 > 0"))
 
 
-@query(rf"""WITH {ASSERTIONS}, k AS (SELECT *, {UNI.format('subject')} || '|' || {UNI.format('predicate')} || '|' || {UNI.format("coalesce(object, '')")} AS key FROM x)
+@query(rf"""WITH {ASSERTIONS}, k AS (SELECT *, {UNI.format('subject')} || '|' || {UNI.format('predicate')} || '|' || {UNI.format("coalesce(object, '')")} || '|' || coalesce(CAST(value AS STRING) || '_' || unit, '') AS key FROM x)
 SELECT CAST(id AS STRING) AS observation_id, 'claim_' || CAST(first_value(id) OVER (PARTITION BY family_id, key ORDER BY id) AS STRING) AS canonical_claim_id, id = first_value(id) OVER (PARTITION BY family_id, key ORDER BY id) AS created FROM k""")
 def str09_reconcile_in_order(m: Model) -> DataFrame:
     return reconcile.plan_in_order(_assertions(m), "id")

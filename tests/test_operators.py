@@ -9,7 +9,8 @@ import pytest
 
 from mossgraph.api import Knowledge
 from mossgraph.functions.text import anchor_terms, anchors, discriminators
-from mossgraph.operators import cluster, feeds, knowledge, reconcile, research, rollback, workingset
+from mossgraph import retry
+from mossgraph.operators import cluster, feeds, knowledge, ledger, reconcile, research, resolve, rollback, workingset
 from mossgraph.sources import archive, files, mappers
 from mossgraph.sources.events import EventLog, StaleLog
 from mossgraph.streaming import feeds as live
@@ -110,6 +111,52 @@ def test_numbered_and_throttled(spark):
     assert sorted(map(tuple, feeds.throttled(frame, 25.0).collect())) == sorted(want)
 
 
+def test_breaker_opens_cools_and_begins_anew(spark):
+    random.seed(9)
+    rows = [(key, s, float(10 * s), random.random() < (0.95 if s % 60 < 30 else 0.2)) for key in range(3) for s in range(150)]
+    want = []
+    for key in range(3):
+        window, opened = [], None
+        for _, s, at, failed in (r for r in rows if r[0] == key):
+            if opened is not None and at - opened < 60:
+                want.append((key, s, True, True))
+                continue
+            window, opened = ([] if opened is not None else window), None
+            window = (window + [failed])[-10:]
+            if len(window) >= 5 and sum(window) / len(window) > 0.8:
+                opened = at
+            want.append((key, s, False, opened is not None))
+    got = ledger.breaker_states(spark.createDataFrame(rows, "key long, seq long, at double, failed boolean"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(w[2] for w in want)
+
+
+def test_retries():
+    waits, tried = [], []
+
+    def call(fail):
+        tried.append(1)
+        if len(tried) <= fail:
+            raise OSError("for a while")
+        return len(tried)
+
+    assert retry.retried(lambda: call(2), lambda e: isinstance(e, OSError), sleep=waits.append, chance=lambda: 1.0) == 3 and waits == [1.0, 2.0]
+    tried.clear()
+    with pytest.raises(OSError):
+        retry.retried(lambda: call(9), lambda e: True, attempts=2, sleep=waits.append)
+    with pytest.raises(OSError):
+        retry.retried(lambda: call(9), lambda e: False, sleep=waits.append)
+    with pytest.raises(retry.Aborted):
+        retry.retried(lambda: 1, lambda e: True, aborted=lambda: True)
+
+
+def test_judged_entity_merges(spark):
+    rows = [(k, "product", t, t.split()) for k, t in enumerate(["red box", "red box two", "red cup", "blue cup"])]
+    frame = spark.createDataFrame(rows, "id long, kind string, label string, tokens array<string>")
+    assert resolve.entity_merges(frame).count() == 0
+    assert [(r.a, r.b) for r in resolve.entity_merges(frame, thresholds={"product": 0.6}).collect()] == [(0, 1)]
+    assert sorted((r.a, r.b) for r in resolve.entity_merges(frame, judge=lambda pairs: pairs.where("b = 2")).collect()) == [(0, 2)]
+
+
 def test_passages(spark):
     random.seed(2)
     text = "".join(random.choice(["word ", "more ", "\n", "\n\n", "# Head\n"]) for _ in range(900))
@@ -209,7 +256,7 @@ def test_rollback_batch_undoes_a_run(spark):
 
 
 def test_views_follow_a_stream(spark, tmp_path):
-    log = _events(spark).withColumnRenamed("ord", "seq").withColumn("timestamp", _events(spark).timestamp)
+    log = _events(spark).withColumnRenamed("ord", "seq")
     log = log.select("seq", "run_id", "event_type", "entity_id", "timestamp", "payload")
     rebuild = lambda rows: {"entities": knowledge.entities(rows)}
     for part in (0, 1):
