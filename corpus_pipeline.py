@@ -1,4 +1,9 @@
-"""A training-data pipeline over ``documents``: each stage works on all that the one before it kept."""
+"""A training-data pipeline over ``documents``: each stage works on all that the one before it kept.
+
+Null and empty texts have fewer than ten words, so the quality rules drop them; a stage given one keeps it as it is.  Null ids
+and repeated rows are documents of their own; of equal or near texts the smallest id stays.  Very long texts are worked whole.
+Other columns of the input, whatever their names, are left out.  Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
