@@ -1,9 +1,9 @@
 """Conversations as one text each, with a loss mask, checked by reading them back.
 
 A turn is rendered as ``### role: text </turn>`` and a newline.  The control strings are runs of three or more ``#`` and
-``</turn>``; one that follows a backslash is content.  Each rendered turn is parsed by a deterministic parser and compared with its source; while
-they differ, one more backslash is put before every control string of the text (with the backslashes that it has), which
-the parser takes away again.  Turns are rendered and read in a stream, sorted within partitions, so a conversation of any
+``</turn>``; one that follows a backslash is content.  Each rendered turn is parsed by a deterministic parser and compared
+with its source; where they differ, a backslash is put before every control string of the text (with the backslashes that it
+has), which the parser takes away again, and the result is parsed and compared once more; it is an error if they still differ.  Turns are rendered and read in a stream, sorted within partitions, so a conversation of any
 length needs no more memory than its longest turn.
 
 Order within a conversation: turn, then role, then text, nulls first; repeated rows are turns of their own.  A null text or

@@ -15,9 +15,11 @@ HOT = 10_000
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that setting is absent."""
+    """The shared folder named by ``spark.checkpoint.dir``; without one, a local folder in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="mossgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
