@@ -17,12 +17,6 @@ VERB_FORMS = (
     ("suggest", "suggests|suggested|suggesting"), ("provide", "provides|provided|providing"), ("enable", "enables|enabled|enabling"), ("require", "requires|required|requiring"),
     ("use", "uses|used|using"), ("employ", "employs|employed|employing"),
 )
-# Kinds of source by host, and by a part of the host.
-SOURCE_HOSTS = {
-    "github": ("github.com",), "package_registry": ("npmjs.com", "pypi.org", "crates.io"), "wikipedia": ("wikipedia.org",), "stackoverflow": ("stackoverflow.com",), "reddit": ("reddit.com", "old.reddit.com"),
-    "hackernews": ("news.ycombinator.com",), "academic": ("arxiv.org",), "youtube": ("youtube.com", "youtu.be"), "documentation": ("docs.google.com",),
-}
-SOURCE_HOST_PARTS = {"stackoverflow": "stackexchange", "academic": "semanticscholar", "documentation": "documentation"}
 # Priorities of gaps.
 GAP_PRIORITY = {
     "unanswered_sub_question": 1, "low_confidence": 2, "missing_source_type": 3, "missing_recency": 4, "overrepresented_viewpoint": 3, "unresolvable_contradiction": 2, "thin_coverage": 1, "single_source_dependency": 1,
@@ -63,17 +57,6 @@ def keys_match(subject_a: Column, predicate_a: Column, subject_b: Column, predic
     return ((subject_a == subject_b) & (predicate_a == predicate_b)) | ((share >= 0.6) & (common | (share >= 1.0)))
 
 
-def source_type_of(host: Column, fallback: Column) -> Column:
-    """The kind of a source by its host; first rule wins."""
-    out = None
-    for kind, hosts in SOURCE_HOSTS.items():
-        rule = host.isin(*hosts)
-        if kind in SOURCE_HOST_PARTS:
-            rule = rule | host.contains(SOURCE_HOST_PARTS[kind])
-        out = F.when(rule, F.lit(kind)) if out is None else out.when(rule, F.lit(kind))
-    return out.otherwise(fallback)
-
-
 def hedge_of(confidence: Column) -> Column:
     return F.when(confidence > 0.8, F.lit("certain")).when(confidence > 0.5, F.lit("likely")).otherwise(F.lit("uncertain"))
 

@@ -6,6 +6,8 @@ what a fold in order of ``seq`` would end with: the first or last writer of each
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,3 +236,14 @@ def recomputed_claims(observations: DataFrame, evidence: DataFrame) -> DataFrame
 def confidence_history(observations: DataFrame) -> DataFrame:
     """``(claim_id, points)``: each claim's confidences in order of time, then id."""
     return observations.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("observed_at", "id", "confidence"))), lambda p: p["confidence"]).alias("points"))
+
+
+#: The views that a rebuild makes, by name; a caller may pass others, or more.
+REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "entities": entities, "families": families, "memberships": memberships, "family_relations": family_relations, "threads": threads, "claims": accepted_claims, "evidence": stances, "contradictions": contradictions, "gaps": gaps, "sources": added_sources,
+}
+
+
+def rebuild(events: DataFrame, registry: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """Every view of the registry from the events that count."""
+    return {name: view(events) for name, view in (registry or REGISTRY).items()}

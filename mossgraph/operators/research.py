@@ -146,3 +146,8 @@ def question_coverage(questions: DataFrame, links: DataFrame) -> DataFrame:
     counts = by_domain.groupBy("question").agg(F.sum("s").alias("n_sources"), F.count_if(known).alias("n_domains"), F.sum("n").alias("n_findings"), F.round(F.sum("c") / F.sum("n"), 6).alias("depth"), F.bool_or("failed").alias("promo"))
     status = F.when(F.col("n_sources").isNull(), F.lit("uncovered")).when((F.col("n_sources") < 2) | (F.col("n_domains") < 2), F.lit("thin")).when(F.col("promo") | (F.col("depth") < 0.04), F.lit("risky")).otherwise(F.lit("adequate"))
     return questions.join(counts, "question", "left").select("question", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_sources", "n_domains", "n_findings")], status.alias("status"))
+
+
+def best_of_each(rows: DataFrame, key: str, value: str, order: Column) -> DataFrame:
+    """``(key, value)``: the value that comes first by ``order`` for each key."""
+    return rows.groupBy(key).agg(F.min_by(value, order).alias(value))

@@ -127,14 +127,14 @@ def projection_problems(views: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def verified(log: DataFrame, codecs: dict[str, Codec], stored: DataFrame, derived: DataFrame, key: str = "id") -> DataFrame:
-    """``(check, severity, n)``: hashes, codecs, references and parity of a stored view with the one derived from the log."""
+def verified(log: DataFrame, codecs: dict[str, Codec], stored: DataFrame, derived: DataFrame, key: str = "id", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """``(check, severity, n)``: hashes, codecs, references (of ``kinds``) and parity of a stored view with the one derived from the log."""
     from .evaluate import table_diff
 
     hashes = log.where(F.sha2(F.col("payload").cast("binary"), 256) != F.col("payload_hash"))
     broken = decoded(log.where(F.col("event_type").isin(*codecs)).withColumnRenamed("event_version", "version"), codecs).where("error is not null")
     counted = lambda rows, name: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), F.when(F.col("n") > 0, F.lit("error")).otherwise(F.lit("ok")).alias("severity"), "n")
-    return counted(hashes, "payload hashes").union(counted(broken, "payload codecs")).union(counted(dangling(log), "references")).union(counted(table_diff(stored, derived, key), "read model"))
+    return counted(hashes, "payload hashes").union(counted(broken, "payload codecs")).union(counted(dangling(log, kinds), "references")).union(counted(table_diff(stored, derived, key), "read model"))
 
 
 def worst(checks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..api import Knowledge, Runs
 from ..operators import evaluate, feeds, knowledge, ledger, projection, reconcile, research
 from ..sources import archive
-from .knowledge_queries import j, k
+from .knowledge_queries import MOVES, j, k
 from .model import Model
 from .registry import query
 from .text_queries import _assertions
@@ -184,8 +184,8 @@ def _knowledge(m: Model) -> Knowledge:
     return Knowledge(views, log)
 
 
-@query(f"""WITH c AS (SELECT {j('threadId')} AS id, min(seq) AS pos, arg_min({j('familyId')}, seq) AS family_id, arg_min({j('label')}, seq) AS label FROM glog WHERE {k('THREAD_CREATED')} GROUP BY 1), d AS (SELECT {j('threadId')} AS id, max(seq) AS done FROM glog WHERE {k('THREAD_RESOLVED')} GROUP BY 1)
-SELECT c.id, family_id, label, CASE WHEN done > pos THEN 'resolved' ELSE 'open' END AS status FROM c LEFT JOIN d ON d.id = c.id WHERE family_id IN ('f5', 'f7', 'f11')""")
+@query(f"""WITH {MOVES}, c AS (SELECT {j('threadId')} AS id, min(seq) AS pos, arg_min({j('familyId')}, seq) AS fam, arg_min({j('label')}, seq) AS label FROM glog WHERE {k('THREAD_CREATED')} GROUP BY 1), d AS (SELECT {j('threadId')} AS id, max(seq) AS done FROM glog WHERE {k('THREAD_RESOLVED')} GROUP BY 1)
+SELECT c.id, coalesce(ends.t, fam) AS family_id, label, CASE WHEN done > pos THEN 'resolved' ELSE 'open' END AS status FROM c LEFT JOIN ends ON ends.id = fam LEFT JOIN d ON d.id = c.id WHERE coalesce(ends.t, fam) IN ('f5', 'f7', 'f11')""")
 def q_graph_threads(m: Model) -> DataFrame:
     return _knowledge(m).ask("threads", family_id=["f5", "f7", "f11"])
 

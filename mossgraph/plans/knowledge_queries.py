@@ -242,3 +242,26 @@ def snk02_decoded(m: Model) -> DataFrame:
     )
     decoded = validation.decoded(rows, validation.example_codecs())
     return decoded.select("event_id", "error", F.when(F.col("error").isNull(), F.get_json_object("payload", "$.newLabel")).alias("label"))
+
+
+@query(f"""SELECT 'entities' AS view, count(*) AS n FROM (WITH {NODES}, g AS (SELECT id, max(seq) AS gone FROM (SELECT seq, unnest({arr('mergedIds')}) AS id FROM glog WHERE {k('ENTITY_MERGED')} UNION ALL SELECT seq, {j('originalId')} FROM glog WHERE {k('ENTITY_SPLIT')}) GROUP BY 1) SELECT added.id FROM added LEFT JOIN g ON g.id = added.id WHERE gone IS NULL OR gone < pos)
+UNION ALL SELECT 'claims', count(DISTINCT {j('id')}) FROM glog WHERE {k('CLAIM_ACCEPTED')} UNION ALL SELECT 'evidence', count(DISTINCT {j('id')}) FROM glog WHERE {k('EVIDENCE_LINKED')} UNION ALL SELECT 'contradictions', count(DISTINCT {j('id')}) FROM glog WHERE {k('CONTRADICTION_IDENTIFIED')}
+UNION ALL SELECT 'gaps', count(DISTINCT {j('id')}) FROM glog WHERE {k('GAP_OPENED')} UNION ALL SELECT 'sources', count(DISTINCT {j('id')}) FROM glog WHERE {k('SOURCE_ADDED')} UNION ALL SELECT 'threads', count(DISTINCT {j('threadId')}) FROM glog WHERE {k('THREAD_CREATED')}""")
+def snk06_rebuilt(m: Model) -> DataFrame:
+    """Rows of the views that a rebuild makes."""
+    names = ("entities", "claims", "evidence", "contradictions", "gaps", "sources", "threads")
+    out = None
+    for name, view in knowledge.rebuild(m.glog, {n: knowledge.REGISTRY[n] for n in names}).items():
+        one = view.agg(F.count("*").alias("n")).select(F.lit(name).alias("view"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"""WITH l AS (SELECT *, seq % 1000 = 1 AS bad FROM glog), g AS (SELECT {j('id')} AS id, min(seq) AS since FROM glog WHERE {k('GAP_OPENED')} GROUP BY 1), x AS (SELECT count(*) FILTER (WHERE bad) AS h, count(*) FILTER (WHERE event_type = 'NODE_RELABELED') AS c FROM l),
+r AS (SELECT count(DISTINCT glog.seq) AS n FROM glog LEFT JOIN g ON g.id = {j('gapId')} AND since < seq WHERE {k('GAP_RESOLVED')} AND g.id IS NULL), p AS (SELECT count(*) AS n FROM (SELECT DISTINCT {j('id')} AS id FROM glog WHERE {k('GAP_OPENED')}) WHERE CAST(substr(id, 2) AS INT) % 10 = 3)
+SELECT 'payload hashes' AS "check", CASE WHEN h > 0 THEN 'error' ELSE 'ok' END AS severity, h AS n FROM x UNION ALL SELECT 'payload codecs', CASE WHEN c > 0 THEN 'error' ELSE 'ok' END, c FROM x UNION ALL SELECT 'references', CASE WHEN n > 0 THEN 'error' ELSE 'ok' END, n FROM r UNION ALL SELECT 'read model', CASE WHEN n > 0 THEN 'error' ELSE 'ok' END, n FROM p""")
+def chk06_verify(m: Model) -> DataFrame:
+    """All checks of a log whose every thousandth hash is wrong and whose relabellings lack a field, against a view without a tenth of its rows."""
+    log = m.glog.withColumns({"payload_hash": F.when(F.col("seq") % 1000 == 1, F.lit("x")).otherwise(F.sha2(F.col("payload").cast("binary"), 256)), "event_version": F.lit(1)})
+    gaps = knowledge.gaps(m.glog).select("id", "priority")
+    return validation.verified(log, validation.example_codecs(), gaps.where("cast(substr(id, 2, 10) as int) % 10 <> 3"), gaps, kinds=("gap",))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import addresses, text, wording
-from ..operators import graph, reconcile
+from ..operators import graph, reconcile, research
 from .model import Model
 from .registry import query
 
@@ -116,17 +116,20 @@ def flt11_fetchable(m: Model) -> DataFrame:
     return m.pages.select("page_id", addresses.fetchable(F.col("url")).alias("ok"))
 
 
-@query(f"""SELECT page_id, CASE WHEN {HOST} = 'wikipedia.org' OR {HOST} LIKE '%.wikipedia.org' THEN 'encyclopedia' WHEN {HOST} IN ('npmjs.com', 'pypi.org', 'crates.io', 'rubygems.org') THEN 'package_registry'
- WHEN page_id % 4 = 0 THEN 'news' WHEN page_id % 4 = 1 THEN 'official_spec' WHEN page_id % 4 = 2 THEN 'forum_social' ELSE 'third_party_analysis' END AS authority_class FROM pages WHERE {HOST} <> 'github.com'""")
+@query(f"""SELECT page_id, CASE WHEN {HOST} = 'github.com' AND regexp_matches(url, '^(?i)https?://[^/]+/+(nodejs|microsoft|denoland|anthropics)/+[^/?#]+') THEN 'official_repo' WHEN {HOST} = 'github.com' AND regexp_matches(url, '^(?i)https?://[^/]+/+[^/?#]+/+[^/?#]+') THEN 'third_party_analysis' WHEN {HOST} = 'wikipedia.org' OR {HOST} LIKE '%.wikipedia.org' THEN 'encyclopedia' WHEN {HOST} IN ('npmjs.com', 'pypi.org', 'crates.io', 'rubygems.org') THEN 'package_registry'
+ WHEN page_id % 4 = 0 THEN 'news' WHEN page_id % 4 = 1 THEN 'official_spec' WHEN page_id % 4 = 2 THEN 'forum_social' ELSE 'third_party_analysis' END AS authority_class FROM pages""")
 def fn23_authority(m: Model) -> DataFrame:
     kind = F.when(F.col("page_id") % 4 == 0, F.lit("news")).when(F.col("page_id") % 4 == 1, F.lit("official_docs")).when(F.col("page_id") % 4 == 2, F.lit("reddit")).otherwise(F.lit("academic"))
-    return m.pages.where(addresses.host_of(F.col("url")) != "github.com").select("page_id", addresses.authority_of(F.col("url"), kind).alias("authority_class"))
+    return m.pages.select("page_id", addresses.authority_of(F.col("url"), kind).alias("authority_class"))
 
 
-@query(f"""SELECT canonical, page_id FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY page_id % 2, page_id) AS n FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS canonical FROM pages)) WHERE n = 1""")
+@query(rf"""WITH x AS (SELECT page_id, lower(regexp_extract(url, '^(?i)(https?)://', 1)) AS scheme, lower(regexp_extract(url, '^(?i)https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '^(?i)https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
+y AS (SELECT *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda p: p <> '' AND regexp_replace(p, '=.*$', '') NOT IN {TRACK})), '&') AS qq FROM x),
+z AS (SELECT page_id, scheme || '://' || host || CASE WHEN qq = '' THEN CASE WHEN path = '/' THEN '' ELSE path END ELSE CASE WHEN path = '' THEN '/' ELSE path END || '?' || qq END AS canonical FROM y)
+SELECT canonical, page_id FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY page_id % 2, page_id) AS n FROM z) WHERE n = 1""")
 def ag20_dedup_sources(m: Model) -> DataFrame:
-    rows = m.pages.select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("canonical"))
-    return rows.groupBy("canonical").agg(F.min_by("page_id", F.struct((F.col("page_id") % 2), F.col("page_id"))).alias("page_id"))
+    rows = m.pages.select("page_id", addresses.canonical_url(F.col("url")).alias("canonical"))
+    return research.best_of_each(rows, "canonical", "page_id", F.struct((F.col("page_id") % 2), F.col("page_id")))
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_size > b.p_size AS newer FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
@@ -219,3 +222,12 @@ def al03_reconcile_batch(m: Model) -> DataFrame:
 SELECT CAST(id AS STRING) AS observation_id, 'claim_' || CAST(first_value(id) OVER (PARTITION BY family_id, key ORDER BY id) AS STRING) AS canonical_claim_id, id = first_value(id) OVER (PARTITION BY family_id, key ORDER BY id) AS created FROM k""")
 def str09_reconcile_in_order(m: Model) -> DataFrame:
     return reconcile.plan_in_order(_assertions(m), "id")
+
+
+@query(f"""WITH RECURSIVE {SETS}, e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.block = b.block AND a.id % 2 = b.id % 2 AND a.id <> b.id AND len(a.t) > 0 AND len(b.t) > 0
+WHERE round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) >= 0.92), r AS (SELECT id AS a, id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY a)
+SELECT cluster, count(*) AS members, arg_max(id, id % 7 * 1000000000 - id) AS representative, count(DISTINCT id % 5) AS n_sources FROM c GROUP BY 1""")
+def ag17_cluster_summary(m: Model) -> DataFrame:
+    findings = _findings(m).withColumn("positive", F.col("id") % 2 == 0)
+    described = findings.select("id", (F.col("id") % 7).alias("confidence"), (F.col("id") % 5).alias("source"))
+    return graph.cluster_summary(described, graph.linked_findings(findings, ["block"]))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import addresses, text, wording
 from .model import Model
 from .registry import query
-from .text_queries import HOST
 
 CONTENT = "(" + ", ".join(f"'{w}'" for w in wording.CONTENT_STOP_WORDS) + ")"
 
@@ -68,7 +67,7 @@ SITE_KINDS = ("github", "package_registry", "wikipedia", "stackoverflow", "reddi
 
 @query(f"SELECT page_id, {pick_sql('page_id', *SITE_KINDS)} AS kind FROM pages")
 def fn24_source_type(m: Model) -> DataFrame:
-    return m.pages.select("page_id", wording.source_type_of(addresses.host_of(pick(F.col("page_id"), *SITES)), F.lit("news")).alias("kind"))
+    return m.pages.select("page_id", addresses.kind_of(pick(F.col("page_id"), *SITES), F.lit("news")).alias("kind"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_discount * 10 > 0.8 THEN 'certain' WHEN l_discount * 10 > 0.5 THEN 'likely' ELSE 'uncertain' END AS hedge FROM lineitem")
@@ -222,3 +221,26 @@ def flt17_search_text(m: Model) -> DataFrame:
 def se04_symmetric_difference(m: Model) -> DataFrame:
     y = F.array(F.split("p_name", " ")[0], F.lower("p_brand"))
     return m.part.select("p_partkey", F.array_join(text.discriminator_gap(F.array_distinct(F.split("p_name", " ")), y), ",").alias("gap"))
+
+
+SPECIAL = (
+    "https://doi.org/10.1000/ABC.Def", "https://dx.doi.org/10.1000/ABC?x=1#f", "https://pub.example/doi/10.5555/Q-1", "https://GitHub.com/Org/Repo.git", "https://github.com/Org/Repo/", "HTTP://Example.COM/?utm_source=a", "https://e.example/p?b=2&a=1&fbclid=z#frag", "  not a url ",
+)
+CANONICAL = (
+    "https://doi.org/10.1000/abc.def", "https://doi.org/10.1000/abc", "https://doi.org/10.5555/q-1", "https://github.com/Org/Repo", "https://github.com/Org/Repo", "http://example.com", "https://e.example/p?a=1&b=2", "not a url",
+)
+
+
+@query(f"SELECT page_id, {pick_sql('page_id', *CANONICAL)} AS canonical FROM pages")
+def fn21_special_addresses(m: Model) -> DataFrame:
+    """DOIs by resolver and inside other addresses, repositories, tracking and order of parameters, what is no address."""
+    return m.pages.select("page_id", addresses.canonical_url(pick(F.col("page_id"), *SPECIAL)).alias("canonical"))
+
+
+OWNERS = ("https://github.com/nodejs/node", "https://www.github.com/microsoft/x/y", "https://github.com/someone/z", "https://github.com/onlyowner", "https://rubygems.org/g", "https://de.wikipedia.org/wiki/X", "https://e.example/")
+OWNER_CLASSES = ("official_repo", "official_repo", "third_party_analysis", "news", "package_registry", "encyclopedia", "news")
+
+
+@query(f"SELECT page_id, {pick_sql('page_id', *OWNER_CLASSES)} AS authority_class FROM pages")
+def fn23_owners(m: Model) -> DataFrame:
+    return m.pages.select("page_id", addresses.authority_of(pick(F.col("page_id"), *OWNERS), F.lit("news")).alias("authority_class"))
