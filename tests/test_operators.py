@@ -26,8 +26,9 @@ def greedy(edges, most):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_capped_edges_are_taken_greedily(spark, seed):
+@pytest.mark.parametrize(("seed", "folded"), [(1, 0), (2, 0), (2, 1_000_000), (1, 40)])
+def test_capped_edges_are_taken_greedily(spark, monkeypatch, seed, folded):
+    monkeypatch.setattr(cluster, "FOLD", folded)
     random.seed(seed)
     edges = sorted({(random.randint(1, 12), random.randint(13, 30)) for _ in range(150)} | {(1, k) for k in range(2, 31)})
     got = cluster.capped_edges(spark.createDataFrame(edges, "a long, b long"), 3)
