@@ -63,12 +63,12 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.concatenate([[0], np.searchsorted(starts, edge)])
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about SLICE_BYTES characters each, so that work on them keeps to bounded memory."""
+def slices(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``most`` characters each, so that work on them keeps to bounded memory."""
     begin = size = 0
     for k, text in enumerate(texts):
         size += len(text or "")
-        if size >= SLICE_BYTES:
+        if size >= most:
             yield begin, k + 1
             begin, size = k + 1, 0
     if begin < len(texts):

@@ -151,6 +151,20 @@ def test_nbest_against_enumeration():
         assert all(lattice.decode(f[2]) == text for f in found)
 
 
+def test_units_in_step_are_as_alone():
+    lattice = piece_lattice.PieceLattice(PIECES)
+    random.seed(6)
+    units = sorted({"".join(random.choice("abeiou nrst漢é▁.19ß") for _ in range(random.randint(1, 12))) for _ in range(4000)} | {"x" * 60})
+    seen = 0
+    for names, own, best, numbers in lattice._describe_many(units):
+        for k, unit in enumerate(names):
+            ids, cost, others, least, gap = lattice.describe(unit)
+            assert (own[k], best[k]) == tuple(b"".join(i.to_bytes(4, "little") for i in x) for x in (ids, others)), unit
+            assert (numbers["own"][k], numbers["best"][k], numbers["gap"][k]) == (cost, least, gap), unit
+            seen += 1
+    assert seen == len(units)
+
+
 def test_units_used_last_stay(monkeypatch):
     monkeypatch.setattr(piece_lattice, "MEMO_UNITS", 40)
     small, large = piece_lattice.PieceLattice(PIECES), None
