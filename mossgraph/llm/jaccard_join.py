@@ -222,7 +222,7 @@ def _link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str, t
         # Sets outside the largest group of a long block meet the set of that group that is in the most and longest blocks.
         long_blocks = work.where(F.col("c") > LONG)
         sizes = long_blocks.groupBy("s", "block", "group").agg(F.count("*").alias("m"), F.max(F.struct("w", (-F.col("_id")).alias("_id"), "n", "k")).alias("pick"))
-        largest = sizes.groupBy("s", "block").agg(F.max(F.struct("m", "group", "pick")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+        largest = sizes.groupBy("s", "block").agg(F.max(F.struct("m", "pick", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
         pivots = largest.select("s", "block", F.col("top.group").alias("main"), (-F.col("top.pick._id")).alias("pivot"), F.col("top.pick.n").alias("n2"), F.col("top.pick.k").alias("k2"))
         met = long_blocks.join(pivots, ["s", "block"]).where(f"group <> main and {den} * least(n, n2) >= {num} * greatest(n, n2) and least(k, k2) >= {required}").groupBy("_id", "pivot").agg(F.count("*").alias("m"))
         met = met.select("_id", "m", F.least("_id", "pivot").alias("a"), F.greatest("_id", "pivot").alias("b"))
