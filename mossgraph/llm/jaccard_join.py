@@ -217,10 +217,9 @@ def _link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str, t
     required = f"cast(ceil({num} * (n + n2) / {num + den}.0 - 1e-9) as int) - cast(ceil({num} * greatest(n, n2) / {den}.0 - 1e-9) as int) + 1"
     n_classes = classes.count()
     links = tried = None
-    work = index.withColumn("group", F.col("_id"))
+    long_blocks = index.where(F.col("c") > LONG).withColumn("group", F.col("_id"))
     while True:
         # Sets outside the largest group of a long block meet the set of that group that is in the most and longest blocks.
-        long_blocks = work.where(F.col("c") > LONG)
         sizes = long_blocks.groupBy("s", "block", "group").agg(F.count("*").alias("m"), F.max(F.struct("w", (-F.col("_id")).alias("_id"), "n", "k")).alias("pick"))
         largest = sizes.groupBy("s", "block").agg(F.max(F.struct("m", "pick", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
         pivots = largest.select("s", "block", F.col("top.group").alias("main"), (-F.col("top.pick._id")).alias("pivot"), F.col("top.pick.n").alias("n2"), F.col("top.pick.k").alias("k2"))
@@ -239,11 +238,14 @@ def _link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str, t
         tried = pairs if tried is None else tried.union(pairs)
         n_found = found.count()
         if n_found:
-            before, work = work, written(_labelled(index, links))
+            before, long_blocks = long_blocks, written(_labelled(index.where(F.col("c") > LONG), links))
             discard(before)
         if n_found * PAYS < n_pairs:
             break
 
+    discard(long_blocks)
+    work = index.withColumn("group", F.col("_id")) if links is None else written(_labelled(index, links))
+
     # Every pair of a block that could still join two groups and shares as many prefix positions as a link requires.
     open_blocks = work.groupBy("s", "block").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("s", "block")
     rest = work.join(open_blocks, ["s", "block"])
