@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, piece_lattice, pii, quality_rules, token_counts
+from . import chat, fill_middle, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, piece_lattice, pii, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,9 +68,16 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.link_groups(_table(spark, folder, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_table(spark, folder, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_line_dedup, op3_fingerprints, op4_lm_scoring, op5_piece_nbest, op6_personal_data, op7_packing, op8_chat_format, op9_token_counts, op10_jaccard_join)
+    for f in (op1_quality_rules, op2_line_dedup, op3_fingerprints, op4_lm_scoring, op5_piece_nbest, op6_personal_data, op7_packing, op8_chat_format, op9_token_counts, op10_jaccard_join, op13_fill_in_middle)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,5 +95,20 @@ shared AS (
 reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = s.doc_id
+""",
+    "op13_fill_in_middle": r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM units
+), cut AS (
+  SELECT doc_id, text, n, array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+    array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle, array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
 """,
 }
