@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fill_middle, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, piece_lattice, pii, quality_rules, token_counts
+from . import chat, fill_middle, fingerprints, jaccard_join, line_dedup, lm_scoring, mixture_packing, packing, piece_lattice, pii, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.link_groups(_table(spark, folder, "documents"))
 
 
+def op12_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = mixture_packing.pack_mixture(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = fill_middle.fill_in_middle(_table(spark, folder, "documents"))
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -77,7 +82,7 @@ def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_line_dedup, op3_fingerprints, op4_lm_scoring, op5_piece_nbest, op6_personal_data, op7_packing, op8_chat_format, op9_token_counts, op10_jaccard_join, op13_fill_in_middle)
+    for f in (op1_quality_rules, op2_line_dedup, op3_fingerprints, op4_lm_scoring, op5_piece_nbest, op6_personal_data, op7_packing, op8_chat_format, op9_token_counts, op10_jaccard_join, op12_mixture_packing, op13_fill_in_middle)
 }
 
 ORACLE_SQL: dict[str, str] = {
