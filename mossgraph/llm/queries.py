@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fill_middle, fingerprints, jaccard_join, line_dedup, lm_scoring, mixture_packing, packing, piece_lattice, pii, quality_rules, token_counts
+from . import chat, fill_middle, fingerprints, jaccard_join, line_dedup, lm_scoring, mixture_packing, packing, piece_lattice, pii, prefix_trie, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.link_groups(_table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    places, lengths = prefix_trie.rebuilt(prefix_trie.placed_turns(_table(spark, folder, "conversations")))
+    return prefix_trie.prefix_trie(places, lengths)
+
+
 def op12_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = mixture_packing.pack_mixture(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
@@ -82,7 +87,7 @@ def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_line_dedup, op3_fingerprints, op4_lm_scoring, op5_piece_nbest, op6_personal_data, op7_packing, op8_chat_format, op9_token_counts, op10_jaccard_join, op12_mixture_packing, op13_fill_in_middle)
+    for f in (op1_quality_rules, op2_line_dedup, op3_fingerprints, op4_lm_scoring, op5_piece_nbest, op6_personal_data, op7_packing, op8_chat_format, op9_token_counts, op10_jaccard_join, op11_prefix_trie, op12_mixture_packing, op13_fill_in_middle)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -100,6 +105,29 @@ shared AS (
 reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = s.doc_id
+""",
+    "op11_prefix_trie": r"""
+WITH convs AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (  -- crc32 bit by bit over the decimal id
+  SELECT conv_id, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte:
+    list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 4 AS h FROM convs
+), own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) AS turns FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+), members AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt),
+prefixes AS (SELECT conv_id, depth, turns[1:depth] AS prefix, len(turns) = depth AS ended FROM members),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(prefix[depth].text, '[^\x20\x09-\x0D]+')) END AS n_words FROM prefixes GROUP BY prefix, depth
+), edges AS (SELECT n.prefix, p.prefix AS above, p.conv_id AS parent_conv_id FROM nodes n JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]),
+children AS (SELECT above AS prefix, count(*) AS n_children FROM edges GROUP BY above),
+under AS (SELECT prefix, n_convs, n_words, unnest(range(0, depth + 1)) AS up FROM nodes),
+sums AS (
+  SELECT u.prefix[1:up] AS prefix, count(*) FILTER (WHERE c.n_children IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * n_words) AS BIGINT) AS saved_tokens
+  FROM under u LEFT JOIN children c ON c.prefix = u.prefix GROUP BY u.prefix[1:up]
+)
+SELECT n.conv_id, n.depth, e.parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256, CAST(n.n_words AS BIGINT) AS n_words
+FROM nodes n LEFT JOIN edges e ON e.prefix = n.prefix LEFT JOIN children c ON c.prefix = n.prefix JOIN sums s ON s.prefix = n.prefix
 """,
     "op13_fill_in_middle": r"""
 WITH units AS (
