@@ -27,7 +27,17 @@ def saved(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/mossgraph/{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    again = spark.read.schema(frame.schema).parquet(path)
+    again.saved_path = path
+    return again
+
+
+def removed(*frames: DataFrame) -> None:
+    """Delete what ``saved`` wrote for ``frames``, once all that reads them has been written itself."""
+    for frame in frames:
+        session = frame.sparkSession
+        target = session._jvm.org.apache.hadoop.fs.Path(frame.saved_path)
+        target.getFileSystem(session._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
