@@ -22,29 +22,21 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packing import WordIds
+from .packing import word_ids
 from .storage import discard, written
 from .words import slices
 
 QUEUES = 512
 #: Tasks whose sums are added up together; rows of sums that are sent to every task, beyond which both sides are shuffled.
 BLOCK, BROADCAST_ROWS = 256, 200_000
-#: Rounds whose ends are computed at once.
-ROUNDS = 4096
-
-
-@lru_cache(1)
-def _word_ids(tokenizer_file: str) -> WordIds:
-    """One for all tasks of a worker process, so that words are learnt once in it."""
-    return WordIds(tokenizer_file)
+#: Rounds whose ends are computed at once, and ids that are laid out at once.
+ROUNDS, SLICE_IDS = 4096, 1 << 20
 
 
 class Schedule:
@@ -148,24 +140,23 @@ class Schedule:
 def document_ids(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``(id, _source, _task, _before, doc_tokens, _ids)``: each text's ids and the end id, of two bytes each if they allow it,
     and how many ids of its source come before it in its task."""
+    from tokenizers import Tokenizer
+
+    wide = max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id) > 0xFFFF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_ids = _word_ids(tokenizer_file)
-        memo, wide = words_ids.memo, max(words_ids.library.get_vocab_size(), end_id) > 0xFFFF
-        end = np.array([end_id], "<u4").tobytes()
+        known = word_ids(tokenizer_file, not wide)
+        width, end = (4, np.array([end_id], "<u4").tobytes()) if wide else (2, np.array([end_id], "<u2").tobytes())
         so_far: dict[str | None, int] = {}
         for batch in batches:
             sources, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for first, last in slices(texts):
                 split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[first:last]]
-                words_ids.learn(set(chain.from_iterable(split)))
-                found = [b"".join(map(memo.__getitem__, words)) + end for words in split]
-                counts, before = [len(x) // 4 for x in found], []
+                found = [b"".join(map(known.__getitem__, words)) + end for words in split]
+                counts, before = [len(x) // width for x in found], []
                 for source, n in zip(sources[first:last], counts, strict=True):
                     before.append(so_far.get(source, 0))
                     so_far[source] = before[-1] + n
-                if not wide:
-                    found = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in found]
                 kept = [batch.column(k).slice(first, last - first) for k in (0, 1, 3)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(found, pa.binary())], [id_col, "_source", "_task", "_before", "doc_tokens", "_ids"])
 
@@ -195,19 +186,27 @@ def _queues(sums: DataFrame, targets: dict[str | None, float] | None) -> tuple[D
 def _layout(schedule: Schedule, id_col: str):
     """Cuts the ids of each document as the schedule says."""
 
+    def laid_out(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        queue, begin, length = (column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("_queue", "_begin", "doc_tokens"))
+        ids = column("_ids").cast(pa.large_binary())
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        data = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        flat = data.view("<u2" if len(data) == 2 * length.sum() else "<u4").astype("<u4")
+        which, start, n, rounds, offset = schedule.pieces(queue, begin, length)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int64)), pa.py_buffer(flat)])
+        rows = pa.array(which)
+        arrays = [column(id_col).take(rows), pa.array(start), pa.array(n), pa.array(length[which]), pa.array(rounds), pa.array(offset), column("_source").take(rows), parts.cast(pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "source", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = lambda name: batch.column(batch.schema.get_field_index(name))
-            queue, begin, length = (column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("_queue", "_begin", "doc_tokens"))
-            ids = column("_ids").cast(pa.large_binary())
-            ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
-            data = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-            flat = np.ascontiguousarray(data).view("<u2" if len(data) == 2 * length.sum() else "<u4").astype("<u4")
-            which, start, n, rounds, offset = schedule.pieces(queue, begin, length)
-            parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int64)), pa.py_buffer(flat)])
-            rows = pa.array(which)
-            arrays = [column(id_col).take(rows), pa.array(start), pa.array(n), pa.array(length[which]), pa.array(rounds), pa.array(offset), column("_source").take(rows), parts.cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "source", "ids"])
+            total = np.cumsum(batch.column(batch.schema.get_field_index("doc_tokens")).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < len(batch):  # so many ids at once, or one document
+                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + SLICE_IDS, side="right")))
+                yield laid_out(batch.slice(first, last - first))
+                first = last
 
     return run
 

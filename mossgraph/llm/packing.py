@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,60 +27,90 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import written
-from .token_counts import PLAIN
 from .words import slices
 
-MEMO_WORDS = 700_000
+#: Words of a generation of the memo.
+MEMO_WORDS = 400_000
+#: ASCII and Latin-1 letters, then ASCII marks: words that are their own pieces, whatever the normaliser does with others.
+PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\\[-`{-~]*)")
 #: Salts within one length, so that no task ranks all pieces of a length that a third of the documents may share.
 SALTS = 128
 
 
-class WordIds:
-    """Token ids of words (maximal runs without ASCII white space) as little-endian unsigned 32-bit bytes."""
+class WordIds(dict):
+    """Token ids of words (maximal runs without ASCII white space) as little-endian unsigned bytes, 32 bits or, ``short``, 16.
 
-    def __init__(self, tokenizer_file: str):
+    A word that is not there yet is learnt when it is asked for; plain ones share the ids of their letters, in lower case, and of
+    their marks.  Words met lately are kept in two generations: when the younger is full it becomes the older, from which words
+    met again are taken back, so frequent words stay while memory is bounded."""
+
+    def __init__(self, tokenizer_file: str, short: bool = False):
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
+        self.kind = "H" if short else "I"
         self.library = Tokenizer.from_file(tokenizer_file)
         self.normal, self.pieces, self.tokens = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str, self.library.model.tokenize
-
-    def learn(self, words: set[bytes]) -> None:
-        """Take in all of ``words``; plain ones share the ids of their letters, in lower case, and of their marks."""
-        memo = self.memo
-        new = words.difference(memo)
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = words
-        plain = {w: (m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))}
-        for part in {p for pair in plain.values() for p in pair}.union(new.difference(plain)).difference(memo):
-            memo[part] = array("I", self._ids(part.decode("utf-8", "surrogatepass"))).tobytes()
-        memo.update((w, memo[letters] + memo[marks]) for w, (letters, marks) in plain.items())
-
-    def _ids(self, word: str) -> list[int]:
+        #: What the pre-tokenizer makes of each letter beyond ASCII that a plain word may have.
+        self.spelled = {ord(c): self.pieces(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.older = self.copy()
+            self.clear()
+        found = self.older.get(word)
+        if found is None:
+            text = word.decode("utf-8", "surrogatepass")
+            plain = PLAIN_WORD.fullmatch(text)
+            found = self._part(plain[1].lower()) + self._part(plain[2]) if plain else self._ids(text)
+        self[word] = found
+        return found
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= MEMO_WORDS:
+                self.parts, self.older_parts = {}, self.parts
+            found = self.older_parts.get(part)
+            if found is None:
+                spelled = part if part.isascii() else part.translate(self.spelled)
+                found = self._bytes([t.id for t in self.tokens(spelled)]) if part.isalpha() else self._ids(part)
+            self.parts[part] = found
+        return found
+
+    def _ids(self, word: str) -> bytes:
         """The library's steps one by one where no special token can be in the word."""
         if "<" in word:
-            return self.library.encode(word, add_special_tokens=False).ids
-        pieces = [word] if word.isascii() and word.isalpha() and word.islower() else [p for p, _ in self.pieces(self.normal(word))]
-        return [t.id for p in pieces for t in self.tokens(p)]
+            return self._bytes(self.library.encode(word, add_special_tokens=False).ids)
+        return self._bytes([t.id for p, _ in self.pieces(self.normal(word)) for t in self.tokens(p)])
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
+
+
+@lru_cache(1)
+def word_ids(tokenizer_file: str, short: bool = False) -> WordIds:
+    """One for all tasks of a worker process, so that frequent words are learnt once in it."""
+    return WordIds(tokenizer_file, short)
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: each text's ids and the end id, cut only where longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_ids = WordIds(tokenizer_file)
-        memo = words_ids.memo
+        known = word_ids(tokenizer_file)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, last in slices(texts):
                 split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[first:last]]
-                words_ids.learn(set(chain.from_iterable(split)))
                 for key, words in zip(keys[first:last], split, strict=True):
-                    ids = b"".join(map(memo.__getitem__, words)) + end
+                    ids = b"".join(map(known.__getitem__, words)) + end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         rows.append((key, n, at // 4, len(part) // 4, zlib.crc32(part)))
