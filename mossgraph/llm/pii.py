@@ -34,7 +34,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}")
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|id|#))?[\x20:=#]{1,3}([A-Za-z0-9][A-Za-z0-9-]{3,33})(?![A-Za-z0-9])", re.I)
-SECRET = re.compile(r"[\"']?[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9_+/.=-]{16,256})")
+SECRET = re.compile(r"[\"']?[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9_+/.=-]{16,})")
 LOGIN = re.compile(r"[^\s/@:\"'<>]+(?::[^\s/@\"'<>]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?")
 CUES = {
     "account": ("account", "acct", "customer", "passport", "licence", "license", "member", "patient", "policy"),
@@ -117,8 +117,10 @@ class Finder:
                 if self._word_start(text, at) and last + 1 >= ended["account"] and (m := ACCOUNT.match(text, last + 1)) and sum(c in DIGITS for c in m[1]) >= 4:
                     take("account", *m.span(1))
             elif anchor == "secret":
-                if self._word_start(text, at) and last + 1 >= ended["secret"] and (m := SECRET.match(text, last + 1)) and any(c in DIGITS for c in m[1]):
-                    take("secret", *m.span(1))
+                if self._word_start(text, at) and last + 1 >= ended["secret"] and (m := SECRET.match(text, last + 1)):
+                    ended["secret"] = m.end()  # whatever begins within has no digits either
+                    if any(c in DIGITS for c in m[1]):
+                        take("secret", *m.span(1))
             elif anchor == "url_login" and (m := LOGIN.match(text, last + 1)):
                 take("url_login", at, m.end())
         return sorted(found, key=lambda s: (s[1], ORDER[s[0]]))

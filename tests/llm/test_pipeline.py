@@ -64,13 +64,15 @@ def test_queries_cover_every_row(spark, name):
 
 def test_nulls_long_texts_clashing_columns_and_empty_tables(spark, docs, rows, empty, tmp_path):
     words = " ".join(f"word{k}" for k in range(40))
-    more = [(100, f"{words} {'0' * 5000}.1.1.1 and a@b.co", "en", "s", 0, "own", 1, "k"), (101, "\n".join(f"line {k} of many words here" for k in range(4000)), "en", "s", 0, "own", 1, "k")]
+    repeated = "\n".join(f"line {k} of many words here" for k in range(4000))  # nearly all of its words are in windows found twice
+    other = "\n".join(f"line{k} w{k} of x{k} words{k} y{k} here{k}" for k in range(4000))
+    more = [(100, f"{words} {'0' * 5000}.1.1.1 and a@b.co", "en", "s", 0, "own", 1, "k"), (101, other, "en", "s", 0, "own", 1, "k"), (102, repeated, "en", "s", 0, "own", 1, "k")]
     both = docs.unionByName(spark.createDataFrame(more, docs.schema))
     both.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     kept = {r.doc_id for r in packed}
-    assert {100, 101} <= kept and not kept & {14, 15, 16, 17, 18}  # null, empty and very short texts go
+    assert {100, 101} <= kept and not kept & {14, 15, 16, 17, 18, 102}  # null, empty, very short and repetitive texts go
     masked = corpus_pipeline.personal_data(spark, both, str(tmp_path))
     assert masked.columns == corpus_pipeline.COLUMNS
     assert [r.text for r in masked.where("doc_id = 100").collect()] == [f"{words} [IP] and [EMAIL]"]

@@ -87,6 +87,17 @@ def test_base_spans_are_the_expressions_matches():
         assert [s for s in finder(text) if pii.ORDER[s[0]] < 4] == base_spans(text), text
 
 
+
+def test_a_secret_of_any_length_is_one_span_and_is_masked_whole():
+    key = "a1" * 200
+    text = f"token = '{key}' and more"
+    (kind, start, end), = [x for x in pii.Finder()(text) if x[0] == "secret"]
+    assert text[start:end] == key and pii.masked(text, [(kind, start, end)]) == "token = '[SECRET]' and more"
+    assert not [x for x in pii.Finder()("token=" * 20_000) if x[0] == "secret"]  # in linear time
+    late = "token=" * 1000 + "k1" * 10
+    assert [x[1:] for x in pii.Finder()(late) if x[0] == "secret"] == [(6, len(late))]
+
+
 def test_added_kinds_and_masking():
     text = 'IBAN DE89 3704 0044 0532 0130 00, account no: 12345678. ssn 123-45-6789 token = "04dbebab91ab85687d33eeaaf9ac699e" at https://bob:pw@ex.com/x'
     found = pii.Finder()(text)
