@@ -1,4 +1,4 @@
-"""The read model kept up to date by a stream of events, and a run followed until it ends."""
+"""The read model kept up to date by a stream of events: views that ``incremental`` has no facts for, derived anew where they change."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.feeds import TERMINAL_EVENTS
 from ..sources.archive import affected, upserted
 
 
@@ -44,17 +43,3 @@ def latest(spark, folder: str, name: str, before: int | None = None) -> DataFram
             number += 1
     path = f"{folder}/{name}/v{number}"
     return spark.read.parquet(path) if number >= 0 and files.exists(spark, f"{path}/_SUCCESS") else None
-
-
-def tail(events: DataFrame, run_id: str, after: int, checkpoint: str, told: Callable[[list], None]) -> StreamingQuery:
-    """Follow one run: each micro-batch's events of the run after a place go to ``told`` in order; the query stops at the run's end."""
-    query: list[StreamingQuery] = []
-
-    def show(batch: DataFrame, _: int) -> None:
-        rows = batch.where((F.col("run_id") == F.lit(run_id)) & (F.col("seq") > after)).orderBy("seq").limit(100).collect()  # a batch for a reader: 100 rows at most
-        told([(r["seq"], r["event_type"]) for r in rows])
-        if query and any(r["event_type"] in TERMINAL_EVENTS for r in rows):
-            query[0].stop()
-
-    query.append(events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(show).trigger(availableNow=True).start())
-    return query[0]
