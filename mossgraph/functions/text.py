@@ -122,10 +122,10 @@ def has_negation(text: Column) -> Column:
 
 
 def opposed(a: Column, b: Column) -> Column:
-    """Whether one side has a word and the other its antonym."""
+    """Whether one lower-case text has a direction word, also within a longer word, and the other its opposite."""
     out = F.lit(False)
     for x, y in ANTONYMS:
-        out = out | (F.array_contains(a, x) & F.array_contains(b, y)) | (F.array_contains(a, y) & F.array_contains(b, x))
+        out = out | (F.contains(a, F.lit(x)) & F.contains(b, F.lit(y))) | (F.contains(a, F.lit(y)) & F.contains(b, F.lit(x)))
     return out
 
 

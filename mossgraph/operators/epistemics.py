@@ -23,29 +23,59 @@ def independent_sources(links: DataFrame) -> DataFrame:
     return joined.groupBy("claim_id").agg(F.countDistinct(F.coalesce("component", "node")).alias("n_independent"))
 
 
-def epistemic_state(claims: DataFrame, observations: DataFrame, evidence: DataFrame, as_of: str) -> DataFrame:
-    """``(claim_id, confidence, contradiction_state, support_level, epistemic_status)``.
+def active_evidence(evidence: DataFrame, observations: DataFrame) -> DataFrame:
+    """``evidence`` without that of a retracted observation; evidence of none, or of an unknown one, counts."""
+    gone = observations.where("status = 'retracted'").select(F.col("id").alias("observation_id"))
+    return evidence.join(gone, "observation_id", "left_anti")
 
-    ``observations(claim_id, confidence, evidence_type, authority_class, published_at)``,
-    ``evidence(claim_id, stance, authority_class, domain)``.  Each is summed by claim before the join."""
+
+def contradiction_state(claims: DataFrame, evidence: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """``(claim_id, contradiction_state, n_evidence, n_supports, n_opposes)``.
+
+    ``contested`` by an unresolved record, ``resolved`` if all records of the claim are, else ``contested`` if evidence both supports and
+    opposes it.  ``evidence`` is what counts; ``contradictions(claim_a, claim_b, status)``, where no status is unresolved."""
+    ends = contradictions.select(F.explode(F.array_distinct(F.array("claim_a", "claim_b"))).alias("claim_id"), (F.coalesce("status", F.lit("unresolved")) == "unresolved").alias("_open"))
+    records = ends.groupBy("claim_id").agg(F.bool_or("_open").alias("_open"))
+    counts = evidence.groupBy("claim_id").agg(F.count("*").alias("n_evidence"), F.count_if(F.col("stance") == "supports").alias("n_supports"), F.count_if(F.col("stance") == "opposes").alias("n_opposes"))
+    rows = claims.select(F.col("id").alias("claim_id")).join(records, "claim_id", "left").join(counts, "claim_id", "left").na.fill(0, ["n_evidence", "n_supports", "n_opposes"])
+    mixed = (F.col("n_supports") > 0) & (F.col("n_opposes") > 0)
+    state = F.when(F.col("_open"), F.lit("contested")).when(~F.col("_open"), F.lit("resolved")).when(mixed, F.lit("contested")).otherwise(F.lit("none"))
+    return rows.select("claim_id", state.alias("contradiction_state"), "n_evidence", "n_supports", "n_opposes")
+
+
+def epistemic_state(claims: DataFrame, observations: DataFrame, evidence: DataFrame, sources: DataFrame, contradictions: DataFrame, as_of: str) -> DataFrame:
+    """``(claim_id, confidence, contradiction_state, support_level, epistemic_status, n_independent)`` of every claim.
+
+    ``observations(id, claim_id, confidence, evidence_type, authority_class, observed_at, source_ids, status)``: retracted ones do not
+    count.  An observation has its own authority or that of the first of its sources that has one; it is as fresh as the latest of
+    its sources, by date of publication, else of retrieval, or as itself where they have neither.
+    ``evidence(id, claim_id, source_id, observation_id, stance, excerpt)``; ``sources(id, domain, authority_class, published_at,
+    retrieved_at, content_hash)``.  Consensus takes two observations and two independent sources: domains tied by equal content,
+    the hash or else the first excerpt, are one.  Everything is summed by claim or observation before it is joined."""
+    counted = observations.where("coalesce(status, 'active') = 'active'")
+    usable = active_evidence(evidence, observations)
+    known = sources.select(F.col("id").alias("source_id"), "domain", F.col("authority_class").alias("_authority"), F.coalesce("published_at", "retrieved_at").cast("timestamp").alias("_at"), "content_hash")
+    cited = counted.select(F.col("id").alias("observation"), F.col("claim_id"), F.posexplode("source_ids").alias("_place", "source_id")).join(known, "source_id")
+    of_sources = cited.groupBy("observation").agg(F.min_by("_authority", F.when(F.col("_authority").isNotNull(), F.col("_place"))).alias("_theirs"), F.max("_at").alias("_latest"))
     kinds = F.create_map(*[F.lit(x) for pair in EVIDENCE_WEIGHT.items() for x in pair])
-    weight = authority_weight(F.col("authority_class")) * F.try_element_at(kinds, F.col("evidence_type")) * freshness(F.col("published_at").cast("timestamp"), F.lit(as_of).cast("timestamp"))
-    o = observations.groupBy("claim_id").agg(
-        F.count("*").alias("n_obs"), F.sum(weight).alias("w"), F.sum(weight * F.col("confidence")).alias("wc"), F.max(authority_weight(F.col("authority_class"))).alias("best"),
-    )
-    e = evidence.groupBy("claim_id").agg(
-        F.count("*").alias("n_ev"), F.count_if(F.col("stance") == "supports").alias("n_sup"), F.count_if(F.col("stance") == "opposes").alias("n_opp"),
-        F.sum(F.when(F.col("stance") == "opposes", authority_weight(F.col("authority_class"))).otherwise(0.0)).alias("opposing"), F.countDistinct("domain").alias("n_domains"),
-    )
-    rows = claims.select(F.col("id").alias("claim_id")).join(o, "claim_id", "left").join(e, "claim_id", "left").na.fill(0)
+    authority = authority_weight(F.coalesce("authority_class", "_theirs"))
+    weight = authority * F.try_element_at(kinds, F.col("evidence_type")) * freshness(F.coalesce("_latest", F.col("observed_at").cast("timestamp")), F.lit(as_of).cast("timestamp"))
+    weighed = counted.join(of_sources.withColumnRenamed("observation", "id"), "id", "left").withColumns({"_a": authority, "_w": weight})
+    o = weighed.groupBy("claim_id").agg(F.count("*").alias("n_obs"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("confidence")).alias("wc"), F.max("_a").alias("best"))
+    e = usable.where("stance = 'opposes'").join(known.select("source_id", "_authority"), "source_id", "left").groupBy("claim_id").agg(F.sum(authority_weight(F.col("_authority"))).alias("opposing"))
+    excerpts = usable.where("excerpt <> ''").groupBy("claim_id", "source_id").agg(F.min_by("excerpt", "id").alias("_excerpt"))
+    named = counted.select("claim_id", F.explode("source_ids").alias("source_id")).union(usable.select("claim_id", "source_id")).distinct().join(known.where("domain <> ''").select("source_id", "domain", "content_hash"), "source_id").join(excerpts, ["claim_id", "source_id"], "left")
+    independent = independent_sources(named.select("claim_id", "domain", F.coalesce("content_hash", "_excerpt").alias("content")))
+    rows = contradiction_state(claims, usable, contradictions).join(o, "claim_id", "left").join(e, "claim_id", "left").join(independent, "claim_id", "left").na.fill(0)
     base = F.coalesce(F.try_divide("wc", "w"), F.lit(0.0))
-    penalty = F.when(F.col("n_opp") > 0, F.least(F.col("opposing") / F.greatest("n_sup", F.lit(1)), F.lit(0.8))).otherwise(F.lit(0.0))
+    against = (F.col("n_opposes") > 0) & ((F.col("n_supports") > 0) | (F.col("n_obs") > 0))
+    penalty = F.when(against, F.least(F.col("opposing") / F.greatest("n_supports", F.lit(1)), F.lit(0.8))).otherwise(F.lit(0.0))
     confidence = F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * (1 - penalty))), 9), 3)
-    contested = (F.col("n_sup") > 0) & (F.col("n_opp") > 0)
+    contested = F.col("contradiction_state") == "contested"
     status = (
         F.when(F.col("n_obs") == 0, F.lit("unknown")).when(contested, F.lit("contested"))
-        .when((F.col("n_obs") >= 2) & (F.col("n_domains") >= 2), F.lit("consensus"))
-        .when((F.col("n_ev") > 0) | (F.col("n_obs") >= 2), F.lit("emerging")).otherwise(F.lit("speculative"))
+        .when((F.col("n_obs") >= 2) & (F.col("n_independent") >= 2), F.lit("consensus"))
+        .when((F.col("n_evidence") > 0) | (F.col("n_obs") >= 2), F.lit("emerging")).otherwise(F.lit("speculative"))
     )
     support = F.when(contested, F.lit("conflicting")).when((F.col("n_obs") > 0) & (F.col("best") >= 0.85), F.lit("primary")).when((F.col("n_obs") > 0) & (F.col("best") >= 0.6), F.lit("secondary")).otherwise(F.lit("weak"))
-    return rows.select("claim_id", confidence.alias("confidence"), F.when(contested, F.lit("contested")).otherwise(F.lit("none")).alias("contradiction_state"), support.alias("support_level"), status.alias("epistemic_status"))
+    return rows.select("claim_id", confidence.alias("confidence"), "contradiction_state", support.alias("support_level"), status.alias("epistemic_status"), "n_independent")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 # The state that an event leads to from each state.
 TRANSITIONS: dict[str, dict[str, str]] = {
     "RUN_QUEUED": {"none": "queued"}, "RUN_STARTING": {"queued": "starting"}, "RUN_RUNNING": {"starting": "running"},
@@ -17,6 +19,7 @@ TRANSITIONS: dict[str, dict[str, str]] = {
     "RUN_ROLLED_BACK": {"completed": "rolled_back", "failed": "rolled_back", "cancelled": "rolled_back", "interrupted": "rolled_back"},
     "RUN_STARTED": {"none": "running"}, "RUN_PROGRESS": {"running": "running"}, "RUN_HEARTBEAT": {"starting": "starting", "running": "running", "cancelling": "cancelling"},
 }
+STATES = ["none", *sorted({to for t in TRANSITIONS.values() for to in t.values()})]
 TERMINAL = ("completed", "failed", "cancelled", "interrupted", "rolled_back")
 
 
@@ -41,38 +44,24 @@ def latest_state(log: DataFrame) -> DataFrame:
 def folded_runs(log: DataFrame) -> DataFrame:
     """``(run_id, status, applied, illegal)``: the state machine over each run's events in order.
 
-    Rows come sorted within partitions, so a run of any length is folded with one state in memory.  Illegal events leave
-    the state as it is and are counted."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, applied, illegal = None, "none", 0, 0
-        names = ["run_id", "status", "applied", "illegal"]
-        for batch in batches:
-            done = []
-            for run_id, event_type in zip(batch["run_id"], batch["event_type"], strict=True):
-                if run_id != current:
-                    if current is not None:
-                        done.append((current, state, applied, illegal))
-                    current, state, applied, illegal = run_id, "none", 0, 0
-                to = next_state(state, event_type)
-                if to is None:
-                    illegal += 1
-                else:
-                    state, applied = to, applied + 1
-            yield pd.DataFrame(done, columns=names)
-        if current is not None:
-            yield pd.DataFrame([(current, state, applied, illegal)], columns=names)
-
-    rows = log.select("run_id", "seq", "event_type").repartition("run_id").sortWithinPartitions("run_id", "seq")
-    return rows.select("run_id", "event_type").mapInPandas(run, "run_id long, status string, applied long, illegal long")
+    Illegal events leave the state as it is and are counted.  A run's events are worked on in blocks, each as a map from the
+    states before it to those after it, so a run with most of the log is spread over many tasks."""
+    return scan.machine(log, "run_id", "seq", "event_type", STATES, TRANSITIONS, "none")
 
 
 def failure_windows(outcomes: DataFrame, size: int = 10, least: int = 5, threshold: float = 0.8) -> DataFrame:
     """``outcomes(key, seq, failed)`` with the failure rate of the last ``size`` and whether the breaker would open."""
-    w = Window.partitionBy("key").orderBy("seq").rowsBetween(1 - size, 0)
+    rows, own = scan.sliding(outcomes, "key", "seq", size)
+    w = Window.partitionBy("key", "_block").orderBy("seq").rowsBetween(1 - size, 0)
     rate = F.avg(F.col("failed").cast("double")).over(w)
     n = F.count("*").over(w)
-    return outcomes.select("key", "seq", F.round(rate, 6).alias("rate"), n.alias("n"), ((n >= least) & (rate > threshold)).alias("open"))
+    return rows.select("key", "seq", own.alias("_own"), F.round(rate, 6).alias("rate"), n.alias("n"), ((n >= least) & (rate > threshold)).alias("open")).where("_own").drop("_own")
+
+
+def spent(log: DataFrame, kind: str, most: int) -> DataFrame:
+    """``(run_id, seq, spent, exhausted)``: how many events of ``kind`` each run has had by then, and whether that is ``most``."""
+    out = scan.running(log.select("run_id", "seq", "event_type"), "run_id", "seq", F.coalesce((F.col("event_type") == kind).cast("int"), F.lit(0)), "spent")
+    return out.select("run_id", "seq", "spent", (F.col("spent") >= most).alias("exhausted"))
 
 
 def breaker_states(outcomes: DataFrame, size: int = 10, least: int = 5, threshold: float = 0.8, cool: float = 60.0) -> DataFrame:

@@ -15,20 +15,55 @@ KIND = "CASE evidence_type WHEN 'study' THEN 1.0 WHEN 'benchmark' THEN 1.0 WHEN
 AS_OF = "1999-01-01"
 
 
-@query(f"""WITH e AS (SELECT e.*, s.authority_class, s.domain, {WEIGHT} AS aw FROM evidence e LEFT JOIN sources s ON e.source_id = s.id),
-o AS (SELECT *, aw * {KIND} * greatest(0.5, pow(0.5, greatest(date_diff('day', CAST(observed_at AS DATE), DATE '{AS_OF}'), 0) / 365.25)) AS w FROM e WHERE stance <> 'opposes'),
-so AS (SELECT claim_id, count(*) AS n_obs, sum(w) AS w, sum(w * confidence) AS wc, max(aw) AS best FROM o GROUP BY 1),
-se AS (SELECT claim_id, count(*) AS n_ev, count(*) FILTER (WHERE stance = 'supports') AS n_sup, count(*) FILTER (WHERE stance = 'opposes') AS n_opp, sum(CASE WHEN stance = 'opposes' THEN aw ELSE 0 END) AS opp, count(DISTINCT domain) AS nd FROM e GROUP BY 1)
-SELECT c.id AS claim_id, round(round(greatest(0, least(1, coalesce(CASE WHEN so.w > 0 THEN wc / so.w END, 0) * (1 - CASE WHEN coalesce(n_opp, 0) > 0 THEN least(opp / greatest(n_sup, 1), 0.8) ELSE 0 END)))::DOUBLE, 9), 3) AS confidence,
- CASE WHEN n_sup > 0 AND n_opp > 0 THEN 'contested' ELSE 'none' END AS contradiction_state,
- CASE WHEN n_sup > 0 AND n_opp > 0 THEN 'conflicting' WHEN n_obs > 0 AND best >= 0.85 THEN 'primary' WHEN n_obs > 0 AND best >= 0.6 THEN 'secondary' ELSE 'weak' END AS support_level,
- CASE WHEN coalesce(n_obs, 0) = 0 THEN 'unknown' WHEN n_sup > 0 AND n_opp > 0 THEN 'contested' WHEN n_obs >= 2 AND nd >= 2 THEN 'consensus' WHEN n_ev > 0 OR n_obs >= 2 THEN 'emerging' ELSE 'speculative' END AS epistemic_status
-FROM claims c LEFT JOIN so ON so.claim_id = c.id LEFT JOIN se ON se.claim_id = c.id""")
+#: Sources with dates and contents, observations with two sources each, evidence of observations, and records of contradictions.
+EPISTEMIC = f"""src AS (SELECT id, domain, CASE WHEN id % 4 > 0 THEN authority_class END AS authority_class, CASE WHEN id % 3 = 0 THEN CAST(1996 + id % 3 AS STRING) || '-03-01' END AS published_at,
+ CASE WHEN id % 3 = 1 THEN '1997-0' || CAST(id % 9 + 1 AS STRING) || '-15' END AS retrieved_at, CASE WHEN id % 2 = 0 THEN 'h' || CAST(id % 9 AS STRING) END AS content_hash FROM sources),
+obs AS (SELECT id, claim_id, confidence, evidence_type, CASE WHEN subject_id % 5 = 0 THEN 'vendor_docs' END AS authority_class, observed_at, source_id AS first_source, source_id % 10 + 1 AS second_source, CASE WHEN subject_id % 6 = 5 THEN 'retracted' END AS status FROM evidence WHERE stance <> 'opposes'),
+evi AS (SELECT id, claim_id, source_id, CASE WHEN stance <> 'opposes' THEN id END AS observation_id, stance, CASE WHEN subject_id % 3 = 0 THEN 'x' || CAST(subject_id % 4 AS STRING) END AS excerpt FROM evidence),
+con AS (SELECT id AS claim_a, id + 1 AS claim_b, CASE WHEN id % 2 = 0 THEN 'unresolved' ELSE 'resolved' END AS status FROM claims WHERE id % 13 < 2)"""
+
+
+@query(f"""WITH RECURSIVE {EPISTEMIC}, ob AS (SELECT * FROM obs WHERE status IS NULL), ev AS (SELECT * FROM evi WHERE observation_id IS NULL OR observation_id NOT IN (SELECT id FROM obs WHERE status = 'retracted')),
+ow AS (SELECT ob.claim_id, ob.confidence, coalesce(ob.authority_class, a.authority_class, b.authority_class) AS authority_class, evidence_type,
+ coalesce(greatest(CAST(coalesce(a.published_at, a.retrieved_at) AS DATE), CAST(coalesce(b.published_at, b.retrieved_at) AS DATE)), CAST(observed_at AS DATE)) AS dated FROM ob LEFT JOIN src a ON a.id = first_source LEFT JOIN src b ON b.id = second_source),
+ww AS (SELECT *, {WEIGHT} AS aw, {WEIGHT} * {KIND} * greatest(0.5, pow(0.5, greatest(date_diff('day', dated, DATE '{AS_OF}'), 0) / 365.25)) AS w FROM ow),
+so AS (SELECT claim_id, count(*) AS n_obs, sum(w) AS w, sum(w * confidence) AS wc, max(aw) AS best FROM ww GROUP BY 1),
+se AS (SELECT ev.claim_id, count(*) AS n_ev, count(*) FILTER (WHERE stance = 'supports') AS n_sup, count(*) FILTER (WHERE stance = 'opposes') AS n_opp, sum(CASE WHEN stance = 'opposes' THEN {WEIGHT} ELSE 0 END) AS opp FROM ev LEFT JOIN src ON src.id = ev.source_id GROUP BY 1),
+rec AS (SELECT c AS claim_id, bool_or(status = 'unresolved') AS live FROM (SELECT claim_a AS c, status FROM con UNION ALL SELECT claim_b, status FROM con) GROUP BY 1),
+ln AS (SELECT DISTINCT claim_id, s FROM (SELECT claim_id, first_source AS s FROM ob UNION ALL SELECT claim_id, second_source FROM ob UNION ALL SELECT claim_id, source_id FROM ev)),
+ex AS (SELECT claim_id, source_id AS s, arg_min(excerpt, id) AS excerpt FROM ev WHERE excerpt <> '' GROUP BY 1, 2),
+lk AS (SELECT DISTINCT ln.claim_id, 'd' || src.domain AS dom, 'c' || coalesce(content_hash, excerpt) AS content FROM ln JOIN src ON src.id = ln.s LEFT JOIN ex ON ex.claim_id = ln.claim_id AND ex.s = ln.s),
+ed AS (SELECT claim_id, dom AS a, content AS b FROM lk WHERE content IS NOT NULL UNION SELECT claim_id, content, dom FROM lk WHERE content IS NOT NULL),
+rr AS (SELECT DISTINCT claim_id, dom AS a, dom AS b FROM lk UNION SELECT rr.claim_id, rr.a, ed.b FROM rr JOIN ed ON rr.claim_id = ed.claim_id AND rr.b = ed.a),
+nd AS (SELECT claim_id, count(DISTINCT root) AS nd FROM (SELECT claim_id, a, min(b) AS root FROM rr WHERE b LIKE 'd%' GROUP BY 1, 2) GROUP BY 1),
+al AS (SELECT c.id AS claim_id, coalesce(n_obs, 0) AS n_obs, coalesce(n_ev, 0) AS n_ev, coalesce(n_sup, 0) AS n_sup, coalesce(n_opp, 0) AS n_opp, opp, w, wc, best, coalesce(nd, 0) AS nd,
+ CASE WHEN live THEN 'contested' WHEN NOT live THEN 'resolved' WHEN n_sup > 0 AND n_opp > 0 THEN 'contested' ELSE 'none' END AS state FROM claims c LEFT JOIN so ON so.claim_id = c.id LEFT JOIN se ON se.claim_id = c.id LEFT JOIN rec ON rec.claim_id = c.id LEFT JOIN nd ON nd.claim_id = c.id)
+SELECT claim_id, round(round(greatest(0, least(1, coalesce(CASE WHEN w > 0 THEN wc / w END, 0) * (1 - CASE WHEN n_opp > 0 AND (n_sup > 0 OR n_obs > 0) THEN least(opp / greatest(n_sup, 1), 0.8) ELSE 0 END)))::DOUBLE, 9), 3) AS confidence, state AS contradiction_state,
+ CASE WHEN state = 'contested' THEN 'conflicting' WHEN n_obs > 0 AND best >= 0.85 THEN 'primary' WHEN n_obs > 0 AND best >= 0.6 THEN 'secondary' ELSE 'weak' END AS support_level,
+ CASE WHEN n_obs = 0 THEN 'unknown' WHEN state = 'contested' THEN 'contested' WHEN n_obs >= 2 AND nd >= 2 THEN 'consensus' WHEN n_ev > 0 OR n_obs >= 2 THEN 'emerging' ELSE 'speculative' END AS epistemic_status, nd AS n_independent FROM al""")
 def ep01_epistemic_state(m: Model) -> DataFrame:
-    s = m.sources.select(F.col("id").alias("source_id"), "authority_class", "domain")
-    e = m.evidence.join(s, "source_id", "left")
-    o = e.where("stance <> 'opposes'").withColumn("published_at", F.col("observed_at"))
-    return epistemics.epistemic_state(m.claims, o, e, AS_OF)
+    """Confidence, contradiction records, independent sources and status of every claim."""
+    src, obs, evi, con = _epistemic(m)
+    return epistemics.epistemic_state(m.claims, obs, evi, src, con, AS_OF)
+
+
+@query(f"WITH {EPISTEMIC} SELECT id, claim_id, stance FROM evi WHERE observation_id IS NULL OR observation_id NOT IN (SELECT id FROM obs WHERE status = 'retracted')")
+def flt06_unretracted_evidence(m: Model) -> DataFrame:
+    _, obs, evi, _ = _epistemic(m)
+    return epistemics.active_evidence(evi, obs).select("id", "claim_id", "stance")
+
+
+def _epistemic(m: Model) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    n, k = F.col("id"), F.col("subject_id")
+    src = m.sources.select(
+        "id", "domain", F.when(n % 4 > 0, F.col("authority_class")).alias("authority_class"), F.when(n % 3 == 0, F.concat((n % 3 + 1996).cast("string"), F.lit("-03-01"))).alias("published_at"),
+        F.when(n % 3 == 1, F.concat(F.lit("1997-0"), (n % 9 + 1).cast("string"), F.lit("-15"))).alias("retrieved_at"), F.when(n % 2 == 0, F.concat(F.lit("h"), (n % 9).cast("string"))).alias("content_hash"),
+    )
+    said = m.evidence.where("stance <> 'opposes'")
+    obs = said.select("id", "claim_id", "confidence", "evidence_type", F.when(k % 5 == 0, F.lit("vendor_docs")).alias("authority_class"), "observed_at", F.array(F.col("source_id"), (F.col("source_id") % 10 + 1).cast(said.schema["source_id"].dataType)).alias("source_ids"), F.when(k % 6 == 5, F.lit("retracted")).alias("status"))
+    evi = m.evidence.select("id", "claim_id", "source_id", F.when(F.col("stance") != "opposes", F.col("id")).alias("observation_id"), "stance", F.when(k % 3 == 0, F.concat(F.lit("x"), (k % 4).cast("string"))).alias("excerpt"))
+    con = m.claims.where("id % 13 < 2").select(n.alias("claim_a"), (n + 1).alias("claim_b"), F.when(n % 2 == 0, F.lit("unresolved")).otherwise(F.lit("resolved")).alias("status"))
+    return src, obs, evi, con
 
 
 @query("""WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey % 50 AS claim_id, 'd' || (l_suppkey % 13) AS domain, CASE WHEN l_partkey % 3 > 0 THEN 'c' || (l_partkey % 29) END AS content FROM lineitem),
@@ -135,9 +170,7 @@ def wn06_breaker_windows(m: Model) -> DataFrame:
 
 @query("SELECT run_id, seq, sum(CASE WHEN event_type = 'RUN_PROGRESS' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq)::BIGINT AS spent, sum(CASE WHEN event_type = 'RUN_PROGRESS' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq) >= 5 AS exhausted FROM log")
 def str10_budget(m: Model) -> DataFrame:
-    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.sum(F.when(F.col("event_type") == "RUN_PROGRESS", 1).otherwise(0)).over(w)
-    return m.log.select("run_id", "seq", spent.cast("long").alias("spent"), (spent >= 5).alias("exhausted"))
+    return ledger.spent(m.log, "RUN_PROGRESS", 5)
 
 
 @query("SELECT seq, run_id FROM (SELECT seq, run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM log WHERE event_type IN ('RUN_COMPLETED', 'RUN_FAILED')) WHERE n = 1")
