@@ -32,6 +32,15 @@ def b_cubed(rows: DataFrame) -> DataFrame:
     return sums.select(F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / (p + r), 6).alias("f1"))
 
 
+def b_cubed_by(rows: DataFrame, key: str) -> DataFrame:
+    """``rows(key, pred, gold)`` -> ``(key, n, precision, recall, f1)`` of each key by itself."""
+    cell = rows.groupBy(key, "pred", "gold").agg(F.count("*").alias("n"))
+    cell = cell.withColumns({"np": F.sum("n").over(Window.partitionBy(key, "pred")), "ng": F.sum("n").over(Window.partitionBy(key, "gold"))})
+    sums = cell.groupBy(key).agg(F.sum(F.col("n") * F.col("n") / F.col("np")).alias("p"), F.sum(F.col("n") * F.col("n") / F.col("ng")).alias("r"), F.sum("n").alias("n"))
+    p, r = F.col("p") / F.col("n"), F.col("r") / F.col("n")
+    return sums.select(key, "n", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / (p + r), 6).alias("f1"))
+
+
 def table_diff(actual: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Ids that are missing, unexpected or differ in a column."""
     columns = [c for c in expected.columns if c != key]

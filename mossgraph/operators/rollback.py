@@ -1,4 +1,4 @@
-"""Taking a run back: which of its effects can be undone, by what events, and curation commands that happen once."""
+"""Taking a run back: which of its effects can be undone, and by what events."""
 
 from __future__ import annotations
 
@@ -98,13 +98,3 @@ def rollback_batch(log: DataFrame, run_id: str, at: str) -> DataFrame | None:
     marker = log.sparkSession.range(1).select(F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("nth"), F.lit("RUN_ROLLED_BACK").alias("event_type"), F.lit(None).cast("string").alias("entity_id"), F.to_json(F.struct(F.lit(run_id).alias("run_id"))).alias("payload"))
     undo = compensations(log.where(F.col("run_id") == F.lit(run_id)), log).select("seq", "nth", "event_type", "entity_id", "payload")
     return marker.union(undo).select(F.struct("seq", "nth").alias("ord"), F.lit(at).alias("timestamp"), "event_type", F.lit(run_id).alias("run_id"), F.when(F.col("seq") < 0, F.lit("system")).otherwise(F.lit("rollback")).alias("actor"), "entity_id", "payload")
-
-
-def command_outcomes(commands: DataFrame) -> DataFrame:
-    """``commands(seq, command_id, kind, expected)`` -> ``(command_id, kind, outcome)``: each command happens once.
-
-    The first of an id decides it: ``stale`` if ``expected`` is not the number of events applied by then, ``applied``
-    otherwise; whatever repeats it gets ``repeated``.  Only applied commands move the log on, so their number is found in order of
-    ``seq`` within a stream."""
-    w = Window.partitionBy("command_id").orderBy("seq")
-    return commands.withColumn("_n", F.row_number().over(w)).select("seq", "command_id", "kind", F.when(F.col("_n") > 1, F.lit("repeated")).when(F.col("expected") < F.col("seq"), F.lit("stale")).otherwise(F.lit("applied")).alias("outcome"))

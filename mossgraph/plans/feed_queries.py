@@ -37,12 +37,12 @@ def jn06_owning_families(m: Model) -> DataFrame:
     return feeds.owning_families(m.glog, claims)
 
 
-@query("""WITH r AS (SELECT user_id AS run_id, max(ts) AS last, bool_or(event_type = 'purchase') AS done, bool_or(event_type = 'error') AS asked, bool_or(event_type = 'click') AS ran FROM events GROUP BY 1), n AS (SELECT max(ts) AS t FROM events)
+@query("""WITH r AS (SELECT event_id // 7 AS run_id, max(ts) AS last, bool_or(event_type = 'purchase') AS done, bool_or(event_type = 'error') AS asked, bool_or(event_type = 'click') AS ran FROM events GROUP BY 1), n AS (SELECT max(ts) AS t FROM events)
 SELECT run_id, CASE WHEN epoch(t) - epoch(last) <= 60 THEN 'alive' WHEN asked THEN 'cancel' WHEN NOT ran THEN 'resume' ELSE 'interrupt' END AS verdict FROM r, n WHERE NOT done""")
 def str05_leases(m: Model) -> DataFrame:
     now = m.events.agg(F.max("ts")).first()[0]
     kind = F.when(F.col("event_type") == "purchase", F.lit("RUN_COMPLETED")).when(F.col("event_type") == "error", F.lit("RUN_CANCELLATION_REQUESTED")).when(F.col("event_type") == "click", F.lit("RUN_RUNNING")).otherwise(F.lit("RUN_HEARTBEAT"))
-    return feeds.leases(m.events.select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), kind.alias("event_type")), F.lit(now).cast("timestamp"))
+    return feeds.leases(m.events.select(F.floor(F.col("event_id") / 7).cast("long").alias("run_id"), F.col("ts").alias("at"), kind.alias("event_type")), F.lit(now).cast("timestamp"))
 
 
 @query()

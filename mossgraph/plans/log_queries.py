@@ -11,9 +11,9 @@ from ..operators import projection, research
 from ..operators.graph import shared_folder
 from ..sources import providers
 from ..sources.events import EventLog
-from ..streaming import runs
+from ..streaming import incremental, runs
 from .model import Model
-from .registry import also_as, query
+from .registry import ORACLE_SQL, also_as, query
 
 J = "json_extract_string(payload, '$.{0}')"
 LIVE = f"""rolled AS (SELECT DISTINCT {J.format('run_id')} AS r FROM klog WHERE event_type = 'RUN_ROLLED_BACK'),
@@ -58,6 +58,32 @@ def pj14_edges(m: Model) -> DataFrame:
     return projection.edges(projection.live_events(m.klog))
 
 
+def _incremental(m: Model) -> str:
+    return f"{shared_folder(m.spark)}/mossgraph/{uuid.uuid4().hex}"
+
+
+@query()
+def str01_incremental_claims(m: Model) -> DataFrame:
+    """The claims of the whole log kept up over three batches of it, the last with rollbacks of runs of the others."""
+    log = m.klog.select("seq", "run_id", "event_type", "payload")
+    store = incremental.Incremental(m.spark, _incremental(m))
+    third = F.pmod(F.xxhash64("seq"), F.lit(3))
+    for k in range(3):
+        store.apply(log.where(F.when(F.col("event_type") == "RUN_ROLLED_BACK", 2).otherwise(third) == k))
+    return store.views()["claims"]
+
+
+@query()
+def rep05_from_checkpoint(m: Model) -> DataFrame:
+    """The claims of the whole log from a checkpoint before its rollbacks and the events since."""
+    log, folder = m.klog.select("seq", "run_id", "event_type", "payload"), _incremental(m)
+    incremental.resumed(m.spark, folder, log.where("seq < 1000000000000000"))
+    return incremental.resumed(m.spark, folder, log)[0].views()["claims"]
+
+
+ORACLE_SQL |= {"str01_incremental_claims": ORACLE_SQL["pj06_claims"], "rep05_from_checkpoint": ORACLE_SQL["pj06_claims"]}
+
+
 # Names from when the queries above read a part of their tables.
 for _name in ("rep04_live_events", "pj16_survivors", "pj06_claims", "pj12_sources", "pj14_edges"):
     also_as(f"{_name}_whole", _name)
@@ -72,6 +98,16 @@ def src10_hits(m: Model) -> DataFrame:
     return providers.hits(responses).select("id", "ord", "url", "title", "snippet")
 
 
+@query("""SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN repeat('é', 1022) || '…' ELSE repeat('é', 1024) END AS title, CASE WHEN page_id % 3 = 0 THEN repeat('x', 16381) || '…' ELSE repeat('x', 5000) END AS snippet
+FROM pages WHERE regexp_matches(url, '^(?i)https?://[^/?#@]+')""")
+def src10_long_fields(m: Model) -> DataFrame:
+    """Titles above and at 2 KiB of UTF-8, snippets above and below 16 KiB."""
+    n = F.col("page_id")
+    hit = F.struct(F.col("url"), F.repeat(F.lit("é"), F.when(n % 2 == 0, 3000).otherwise(1024)).alias("title"), F.repeat(F.lit("x"), F.when(n % 3 == 0, 20_000).otherwise(5000)).alias("description"))
+    responses = m.pages.where(~F.col("url").contains('"')).select(n.alias("id"), F.to_json(F.struct(F.array(hit).alias("results"))).alias("body"))
+    return providers.hits(responses).select("id", "title", "snippet")
+
+
 @query("SELECT page_id AS id, count(*) AS n FROM pages, range(3) GROUP BY 1")
 def src09_result_arrays(m: Model) -> DataFrame:
     responses = m.pages.select(F.col("page_id").alias("id"), F.expr(BODY).alias("body"))

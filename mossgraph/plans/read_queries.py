@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.addresses import authority_rank
-from ..operators import longitudinal, readmodel
+from ..operators import graph, longitudinal, readmodel, search
 from .model import Model
 from .registry import query
 
@@ -112,9 +114,9 @@ def pg01_claims_page2(m: Model) -> DataFrame:
     return readmodel.page(rows, cursor=cursor).select(*CLAIM)
 
 
-@query("SELECT id, claim_id, stance FROM evidence WHERE claim_id = 33 AND stance = 'supports' ORDER BY id LIMIT 100")
+@query("SELECT id, claim_id, stance FROM evidence WHERE claim_id = 35 AND stance = 'supports' ORDER BY id LIMIT 100")
 def q_evidence_of_claim(m: Model) -> DataFrame:
-    return readmodel.filtered(m.evidence, claim_id=33, stance="supports").select("id", "claim_id", "stance").orderBy("id").limit(readmodel.page_limit(500))
+    return readmodel.filtered(m.evidence, claim_id=35, stance="supports").select("id", "claim_id", "stance").orderBy("id").limit(readmodel.page_limit(500))
 
 
 @query("SELECT id, family_id, last_seen_at, epistemic_status FROM claims WHERE id = 5")
@@ -151,6 +153,14 @@ def ft01_phrase(m: Model) -> DataFrame:
     return readmodel.matching(_index(m), f'"{phrase}"')
 
 
+@query(f"WITH {TOKENS} SELECT DISTINCT CAST(a.key AS STRING) AS key FROM tok a JOIN tok b ON a.key = b.key WHERE a.token = 'red' AND b.token LIKE 's%'")
+def ft01_stored_index(m: Model) -> DataFrame:
+    """The same search in an index that is built once and opened by word."""
+    index = search.SearchIndex(m.spark, f"{graph.shared_folder(m.spark)}/mossgraph/{uuid.uuid4().hex}")
+    index.update(m.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("name")), "p_partkey", ["name"])
+    return index.search("réd s*")
+
+
 @query("""SELECT l.seq, l.run_id, l.event_type FROM log l JOIN (SELECT DISTINCT run_id FROM log WHERE event_type = 'RUN_FAILED') f ON l.run_id = f.run_id WHERE l.event_type = 'RUN_QUEUED'""")
 def jn01_events_of_failed_runs(m: Model) -> DataFrame:
     log = m.log
@@ -175,14 +185,15 @@ def jn07_events_of_families(m: Model) -> DataFrame:
     return m.log.join(f, "family_id", "left_semi").select("seq", "event_type")
 
 
-@query("SELECT id, label FROM families f WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.family_id = f.id)")
+@query("SELECT id, label FROM families f WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.family_id = f.id AND c.curation_status = 'merged')")
 def jn08_families_untried(m: Model) -> DataFrame:
-    return m.families.join(m.claims.select(F.col("family_id").alias("id")), "id", "left_anti").select("id", "label")
+    """Families that no curator has merged claims of."""
+    return m.families.join(m.claims.where("curation_status = 'merged'").select(F.col("family_id").alias("id")), "id", "left_anti").select("id", "label")
 
 
-@query("SELECT id FROM sources s WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.source_id = s.id AND e.stance = 'supports' AND e.observed_at >= '1998-06-01')")
+@query("SELECT id FROM sources s WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.source_id = s.id AND e.stance = 'supports' AND e.observed_at >= '2001-10-25')")
 def jn09_sources_without_findings(m: Model) -> DataFrame:
-    used = m.evidence.where("stance = 'supports' and observed_at >= '1998-06-01'").select(F.col("source_id").alias("id"))
+    used = m.evidence.where("stance = 'supports' and observed_at >= '2001-10-25'").select(F.col("source_id").alias("id"))
     return m.sources.join(used, "id", "left_anti").select("id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import addresses, text, wording
-from ..operators import graph, reconcile, research
+from ..operators import graph, ordered, reconcile, research
 from .model import Model
 from .registry import query
 
@@ -147,12 +147,16 @@ def fn28_numbers_agree(m: Model) -> DataFrame:
     return a.join(b, "a").select("a", "b", text.numbers_agree(F.col("v"), F.col("u"), F.col("w"), F.col("x")).alias("agree"))
 
 
-SETS = r"""s AS (SELECT conv_id * 100 + turn AS id, role AS block, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda t: t <> '')) AS t FROM conversations WHERE text IS NOT NULL)"""
+#: Turns as findings, some of them said once more with other words behind them: near copies of both polarities.
+SETS = r"""s AS (SELECT id, block, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda t: t <> '')) AS t FROM (
+ SELECT conv_id * 1000 + turn * 10 AS id, role AS block, text FROM conversations WHERE text IS NOT NULL UNION ALL SELECT conv_id * 1000 + turn * 10 + 2, role, text || ' indeed' FROM conversations WHERE text IS NOT NULL AND turn % 3 = 0
+ UNION ALL SELECT conv_id * 1000 + turn * 10 + 1, role, text || ' on the other hand maybe not' FROM conversations WHERE text IS NOT NULL AND turn % 2 = 1))"""
 
 
 def _findings(m: Model) -> DataFrame:
-    rows = m.conversations.where("text is not null")
-    return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("block"), text.plain_tokens(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("tokens"))
+    rows, n = m.conversations.where("text is not null"), F.col("conv_id") * 1000 + F.col("turn") * 10
+    said = rows.select(n.alias("id"), "role", "text").union(rows.where("turn % 3 = 0").select(n + 2, "role", F.concat("text", F.lit(" indeed")))).union(rows.where("turn % 2 = 1").select(n + 1, "role", F.concat("text", F.lit(" on the other hand maybe not"))))
+    return said.select("id", F.col("role").alias("block"), text.plain_tokens(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("tokens"))
 
 
 @query(f"""WITH {SETS} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) AS score FROM s a JOIN s b ON a.block = b.block AND a.id < b.id AND len(a.t) > 0 AND len(b.t) > 0
@@ -191,7 +195,7 @@ p AS (SELECT o.id AS oid, c.id AS cid, o.polarity AS op, c.polarity AS cp, o.hed
  CASE WHEN o.value IS NULL OR c.value IS NULL THEN NULL ELSE abs(o.value - c.value) / greatest(abs(o.value), abs(c.value), 1) <= 0.1 END AS num,
  len(list_intersect({W.format('o.nt')}, {W.format('c.nt')})) / len(list_distinct(list_concat({W.format('o.nt')}, {W.format('c.nt')})))::DOUBLE AS jac,
  CASE WHEN o.nobj = '' OR c.nobj = '' THEN 1.0 ELSE len(list_intersect({W.format('o.nobj')}, {W.format('c.nobj')})) / len(list_distinct(list_concat({W.format('o.nobj')}, {W.format('c.nobj')})))::DOUBLE END AS ojac
- FROM n o JOIN n c ON o.family_id = c.family_id WHERE o.id % 50 = 0 AND c.id % 50 > 0),
+ FROM n o JOIN n c ON o.family_id = c.family_id WHERE o.id % 50 = 0 AND c.id <> o.id),
 s AS (SELECT *, head AND eqq AND oo = co AS keyed, head AND ojac >= 0.3 AS scoped FROM p),
 t AS (SELECT *, round(CASE WHEN keyed AND op = cp AND coalesce(num, true) THEN 1.0 ELSE greatest(0, least(1, jac * 0.7 + CASE WHEN num IS NULL THEN 0.5 WHEN num THEN 1.0 ELSE 0.0 END * 0.15 + CASE WHEN op = cp THEN 0.1 ELSE 0 END + CASE WHEN oh = ch THEN 0.05 ELSE 0 END)) END::DOUBLE, 6) AS score FROM s),
 """
@@ -200,7 +204,7 @@ t AS (SELECT *, round(CASE WHEN keyed AND op = cp AND coalesce(num, true) THEN 1
 @query(RECON + "z AS (SELECT 1) SELECT oid AS observation_id, cid AS claim_id, score FROM t")
 def al01_pair_scores(m: Model) -> DataFrame:
     rows = _assertions(m)
-    scored = reconcile.scored_pairs(rows.where("id % 50 = 0"), rows.where("id % 50 > 0"))
+    scored = reconcile.scored_pairs(rows.where("id % 50 = 0"), rows)
     return scored.select(F.col("o_id").alias("observation_id"), F.col("c_id").alias("claim_id"), "score")
 
 
@@ -215,7 +219,7 @@ SELECT o.p_partkey AS observation_id, coalesce(k, 'new_claim') AS classification
 FROM (SELECT p_partkey FROM part WHERE p_partkey % 50 = 0) o LEFT JOIN b ON b.oid = o.p_partkey""")
 def al03_reconcile_batch(m: Model) -> DataFrame:
     rows = _assertions(m)
-    return reconcile.plan_batch(rows.where("id % 50 = 0"), rows.where("id % 50 > 0"))
+    return reconcile.plan_batch(rows.where("id % 50 = 0"), rows)
 
 
 @query(rf"""WITH {ASSERTIONS}, k AS (SELECT *, {UNI.format('subject')} || '|' || {UNI.format('predicate')} || '|' || {UNI.format("coalesce(object, '')")} || '|' || coalesce(CAST(value AS STRING) || '_' || unit, '') AS key FROM x)
@@ -224,6 +228,23 @@ def str09_reconcile_in_order(m: Model) -> DataFrame:
     return reconcile.plan_in_order(_assertions(m), "id")
 
 
+@query()
+def str09_ladder_in_order(m: Model) -> DataFrame:
+    """Every assertion in order of its id against the claims that earlier ones made, by the whole ladder; tested by a fold."""
+    return ordered.plan_ladder(_assertions(m), "id")
+
+
+@query()
+def ev03_scenarios(m: Model) -> DataFrame:
+    """Scenarios of ten assertions each, the first of them a seed, replayed side by side; the gold cluster is the kind of part.
+
+    Tested by a fold and B-cubed of each scenario by itself."""
+    k = F.col("id")
+    gold = m.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("gold"))
+    rows = _assertions(m).drop("family_id").join(gold, "id").withColumns({"scenario": F.floor(k / 10).cast("long"), "seed": k % 10 == 0})
+    return ordered.scenario_scores(rows.withColumn("subject", F.element_at(F.split("subject", " "), 1)), "id")
+
+
 @query(f"""WITH RECURSIVE {SETS}, e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.block = b.block AND a.id % 2 = b.id % 2 AND a.id <> b.id AND len(a.t) > 0 AND len(b.t) > 0
 WHERE round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) >= 0.92), r AS (SELECT id AS a, id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY a)
 SELECT cluster, count(*) AS members, arg_max(id, id % 7 * 1000000000 - id) AS representative, count(DISTINCT id % 5) AS n_sources FROM c GROUP BY 1""")

@@ -65,12 +65,13 @@ class Buckets:
         for bucket, entry in self._write(rows, version).items():
             self.entries.setdefault(bucket, []).append(entry)
 
-    def replace(self, keys: DataFrame, rows: DataFrame, version: int) -> None:
-        """``rows`` instead of all rows with one of ``keys``; the keys of ``rows`` are among them."""
-        names = dict(zip(keys.columns, self.keys))
+    def replace(self, keys: DataFrame, rows: DataFrame, version: int, on: list[str] | None = None) -> None:
+        """``rows`` instead of all rows that agree with one of ``keys`` on the key columns, or on ``on``, which begin with them."""
+        on = on or self.keys
+        names = dict(zip(keys.columns, on))
         wanted = keys.select([F.col(a).alias(b) for a, b in names.items()]).distinct()
-        buckets = self.buckets_of(keys)
-        kept = self.read(buckets).join(wanted, self.keys, "left_anti")
+        buckets = self.buckets_of(wanted.select(self.keys))
+        kept = self.read(buckets).join(wanted, on, "left_anti")
         written = self._write(kept.unionByName(rows.select(*self.columns)), version)
         for b in map(str, buckets):
             self.entries.pop(b, None)

@@ -8,8 +8,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.addresses import fetchable
 from ..functions.text import djb2
-from ..functions.wording import ARRAY_MOST, BODY_FIELD, MEDIUM_FIELD, SHORT_FIELD, bytes_capped, without_controls
-from .providers import results
+from ..functions.wording import ARRAY_MOST, BODY_FIELD, MEDIUM_FIELD, SHORT_FIELD
+from .providers import bounded, results
 
 # The tool that gives each capability, and the back ends of the one for papers.
 CAPABILITIES = {
@@ -38,10 +38,6 @@ def number_of(name: str, value: str = "item", kind: str = "double") -> Column:
     return F.expr(f"CASE WHEN schema_of_variant(try_variant_get({value}, '$.{name}', 'variant')) RLIKE '^(BIGINT|DOUBLE|DECIMAL|FLOAT)' THEN try_variant_get({value}, '$.{name}', '{kind}') END")
 
 
-def bounded(text: Column, most: int) -> Column:
-    return bytes_capped(without_controls(text), most)
-
-
 def filled(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.when(c != "", c) for c in columns])

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.addresses import fetchable, host_of
+from ..functions.wording import MEDIUM_FIELD, SHORT_FIELD, bytes_capped, without_controls
 
 # Where responses keep their results.
 ARRAYS = ("results", "items", "papers", "pages", "videos", "repositories", "posts", "comments")
 HITS = 100
 
 
-def bounded(text: Column, limit: int = 2048) -> Column:
-    """Without control characters but tab and newlines, at most ``limit`` characters with an ellipsis."""
-    clean = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
-    return F.when(F.octet_length(clean) <= limit, clean).otherwise(F.concat(F.left(clean, F.lit(limit // 4)), F.lit("…")))
+def bounded(text: Column, most: int) -> Column:
+    """Without control characters but white space, at most ``most`` bytes of UTF-8 with an ellipsis."""
+    return bytes_capped(without_controls(text), most)
 
 
 def results(responses: DataFrame, body: str = "body", key: str = "id") -> DataFrame:
@@ -32,7 +32,7 @@ def first_of(*paths: str) -> Column:
 def hits(responses: DataFrame, body: str = "body", key: str = "id") -> DataFrame:
     """``(id, ord, url, title, snippet, published, domain)``: titled hits with an address that may be fetched, 100 a response."""
     rows = results(responses, body, key).where(F.col("ord") < HITS).select(
-        key, "ord", first_of("url", "link").alias("url"), bounded(first_of("title")).alias("title"), bounded(first_of("snippet", "abstract", "description")).alias("snippet"),
+        key, "ord", first_of("url", "link").alias("url"), bounded(first_of("title"), SHORT_FIELD).alias("title"), bounded(first_of("snippet", "abstract", "description"), MEDIUM_FIELD).alias("snippet"),
         first_of("publishedAt", "published", "date").alias("published"), first_of("domain", "source", "hostname").alias("given"),
     )
     return rows.where(F.col("title").isNotNull() & fetchable(F.col("url"))).select(key, "ord", "url", "title", "snippet", "published", F.coalesce("given", host_of(F.col("url"))).alias("domain"))
