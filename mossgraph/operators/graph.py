@@ -40,18 +40,43 @@ def removed(*frames: DataFrame) -> None:
         target.getFileSystem(session._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: A node with more edges than this, or than a 100,000th of all, is a hub, whose edges are dealt out over several tasks.
+HUB = 10_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` -> ``(id, component)``: the smallest id reachable; rounds of neighbour minimum and pointer jump."""
+    """``edges(a, b)`` -> ``(id, component)``: for each id on an edge the smallest id that it reaches.
+
+    Self-loops and repeated edges do no harm; rows with a null end are ignored; no edges give no rows.  Each round takes the
+    smallest label among neighbours and then the label of that label, so paths halve, and is written to the shared folder; neighbours
+    are pre-aggregated before they are shuffled, and the edges of a hub dealt out by their other ends."""
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = saved(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degrees = both.groupBy("b").agg(F.count("*").alias("k"))
+    rows, largest = degrees.agg(F.sum("k"), F.max("k")).first()
+    least = max(HUB, (rows or 0) // 100_000)
+    salts = -(-(largest or 0) // least)
+    salted, hubs, old = both.withColumn("salt", F.lit(0)), None, [both]
+    if salts > 1:  # 100,000 hubs at most, whatever the input
+        hubs = saved(degrees.where(F.col("k") > least).select(F.col("b").alias("hub")))
+        salt = F.when(F.col("hub").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+        salted = saved(both.join(F.broadcast(hubs), F.col("b") == F.col("hub"), "left").select("a", "b", salt.alias("salt")))
+        old += [hubs, salted]
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        ends = labels.select(F.col("id").alias("b"), "component").withColumn("salt", F.lit(0))
+        if hubs is not None:
+            many = F.when(F.col("hub").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
+            ends = ends.drop("salt").join(F.broadcast(hubs), F.col("b") == F.col("hub"), "left").select("b", "component", F.explode(many).alias("salt"))
+        near = salted.join(ends, ["b", "salt"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
         far = labels.select(F.col("id").alias("next"), F.col("component").alias("far"))
         moved = saved(step.join(far, "next").select("id", F.least("next", "far").alias("component"), (F.least("next", "far") != F.col("component")).alias("changed")))
+        removed(labels)
         labels = moved.select("id", "component")
+        labels.saved_path = moved.saved_path
         if moved.where("changed").isEmpty():
+            removed(*old)
             return labels
 
 

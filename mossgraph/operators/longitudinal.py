@@ -32,6 +32,19 @@ def provenance(claims: DataFrame, evidence: DataFrame, sources: DataFrame) -> Da
     return claims.select(F.col("id").alias("claim_id")).join(e, "claim_id", "left").join(s, "source_id", "left")
 
 
+def provenance_chains(observations: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(claim_id, observation_id, evidence_id, source_id, stance, domain, part)`` of each claim.
+
+    ``observations(id, claim_id)``, each with its evidence, ``attributed``, or alone, ``bare``; evidence of no observation is
+    ``unattributed`` and that of one that is not the claim's an ``orphan``.  ``evidence(id, claim_id, observation_id, source_id, stance)``."""
+    own = observations.select("claim_id", F.col("id").alias("observation_id"), F.lit(True).alias("_own"))
+    e = evidence.select("claim_id", "observation_id", F.col("id").alias("evidence_id"), "source_id", "stance")
+    both = own.join(e, ["claim_id", "observation_id"], "full")
+    part = F.when(F.col("evidence_id").isNull(), F.lit("bare")).when(F.col("_own"), F.lit("attributed")).when(F.col("observation_id").isNull(), F.lit("unattributed")).otherwise(F.lit("orphan"))
+    s = sources.select(F.col("id").alias("source_id"), "domain")
+    return both.withColumn("part", part).join(s, "source_id", "left").select("claim_id", "observation_id", "evidence_id", "source_id", "stance", "domain", "part")
+
+
 def described(event_type: Column, value: Column) -> Column:
     return (
         F.when(event_type == "RUN_QUEUED", F.lit("Run queued"))

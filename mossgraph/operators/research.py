@@ -97,6 +97,23 @@ def follow_up(targets: DataFrame, tried: DataFrame) -> DataFrame:
     return left.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+FOLLOW_UPS = 3
+
+
+def continued(families: DataFrame, targets: DataFrame, followed: DataFrame, most: int = FOLLOW_UPS) -> DataFrame:
+    """``(family_id, status, used, type, id)`` if research of each family went on now.
+
+    ``followed(family_id, type, id)`` are the targets of runs that followed up before: with ``most`` of them it is ``cap_reached``; else
+    the most urgent target that none of them had is ``queued``, or there is ``no_work``."""
+    used = followed.groupBy("family_id").agg(F.count("*").alias("used"))
+    tried = followed.select("family_id", "id").distinct()
+    left = targets.join(tried, ["family_id", "id"], "left_anti").groupBy("family_id").agg(F.min(F.struct("priority", "type", "id")).alias("_t"))
+    rows = families.select("family_id").join(used, "family_id", "left").join(left, "family_id", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    status = F.when(F.col("used") >= most, F.lit("cap_reached")).when(F.col("_t").isNull(), F.lit("no_work")).otherwise(F.lit("queued"))
+    shown = lambda c: F.when(F.col("status") == "queued", F.col(f"_t.{c}")).alias(c)
+    return rows.withColumn("status", status).select("family_id", "status", (F.col("used") + F.when(F.col("status") == "queued", 1).otherwise(0)).alias("used"), shown("type"), shown("id"))
+
+
 def by_type(sources: DataFrame, kind: str) -> DataFrame:
     """``(kind, n, place, kinds)``: sources by kind, the most first, and how many kinds there are (few, whatever the input)."""
     counts = sources.groupBy(kind).agg(F.count("*").alias("n"))

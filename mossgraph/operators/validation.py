@@ -137,6 +137,28 @@ def verified(log: DataFrame, codecs: dict[str, Codec], stored: DataFrame, derive
     return counted(hashes, "payload hashes").union(counted(broken, "payload codecs")).union(counted(dangling(log, kinds), "references")).union(counted(table_diff(stored, derived, key), "read model"))
 
 
+def doctor(log: DataFrame, cursor: int | None, status: str = "ready") -> DataFrame:
+    """``(name, status, detail)``: whether the log has events, whether places repeat, whether payloads are what their hashes say, and
+    how far a read model at ``cursor`` is behind; ``overall`` is the worst.
+
+    ``log(seq, payload[, payload_hash])``, read once for all checks; ``status`` of a read model is ready, rebuilding or dirty."""
+    changed = F.sha2(F.col("payload").cast("binary"), 256) != F.col("payload_hash") if "payload_hash" in log.columns else F.lit(False)
+    found = log.groupBy("seq").agg(F.count("*").alias("n"), F.count_if(changed).alias("bad")).agg(F.max("seq").alias("last"), F.count_if(F.col("n") > 1).alias("twice"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    at = F.lit(cursor).cast("long")
+    lag = F.when(F.col("last").isNull(), 0).otherwise(F.greatest(F.lit(0), F.col("last") - F.coalesce(at, F.lit(0))))
+    said = F.when(lag > 0, F.concat(F.lit(" (lag "), lag.cast("string"), F.lit(")"))).otherwise(F.lit(""))
+    check = lambda name, state, detail: F.struct(F.lit(name).alias("name"), state.alias("status"), detail.alias("detail"))
+    either = lambda bad: F.when(bad, F.lit("error")).otherwise(F.lit("ok"))
+    checks = F.array(
+        check("event_log", F.when(F.col("last").isNull(), F.lit("warning")).otherwise(F.lit("ok")), F.when(F.col("last").isNull(), F.lit("no events recorded yet")).otherwise(F.concat(F.lit("latest seq "), F.col("last").cast("string")))),
+        check("places", either(F.col("twice") > 0), F.concat(F.col("twice").cast("string"), F.lit(" repeated"))), check("payloads", either(F.col("bad") > 0), F.concat(F.col("bad").cast("string"), F.lit(" changed"))),
+        check("read_model", F.when((F.lit(status) == "ready") & (lag == 0), F.lit("ok")).when(F.lit(status) == "dirty", F.lit("error")).otherwise(F.lit("warning")), F.concat(F.lit(f"{status} at seq "), F.coalesce(at, F.lit(0)).cast("string"), said)),
+    )
+    states = F.transform(F.col("checks"), lambda c: c["status"])
+    overall = F.when(F.array_contains(states, "error"), F.lit("error")).when(F.array_contains(states, "warning"), F.lit("warning")).otherwise(F.lit("ok"))
+    return found.select(checks.alias("checks")).select(F.explode(F.concat("checks", F.array(F.struct(F.lit("overall").alias("name"), overall.alias("status"), F.lit("").alias("detail"))))).alias("c")).select("c.*")
+
+
 def worst(checks: DataFrame) -> DataFrame:
     """The worst severity of all checks: error before warning before ok; ``ok`` where there are none."""
     rank = F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0)

@@ -213,8 +213,8 @@ def finding_events(findings: DataFrame) -> DataFrame:
     The claim, evidence for it (and against it where the finding is opposed) by source, the expiry of what it replaces."""
     claim = F.array(F.struct(F.lit(0).alias("nth"), F.lit("CLAIM_OBSERVED").alias("event_type"), F.col("claim_id").cast("string").alias("ref")))
     support = F.transform("sources", lambda s, i: F.struct((i + 1).alias("nth"), F.lit("EVIDENCE_LINKED").alias("event_type"), F.concat(F.lit("supports:"), s.cast("string")).alias("ref")))
-    oppose = F.when(F.col("opposed"), F.transform("sources", lambda s, i: F.struct((i + 1001).alias("nth"), F.lit("EVIDENCE_LINKED").alias("event_type"), F.concat(F.lit("opposes:"), s.cast("string")).alias("ref")))).otherwise(F.slice(claim, 1, 0))
-    expiry = F.when(F.col("expires").isNotNull(), F.array(F.struct(F.lit(2001).alias("nth"), F.lit("CLAIM_EXPIRED").alias("event_type"), F.col("expires").cast("string").alias("ref")))).otherwise(F.slice(claim, 1, 0))
+    oppose = F.when(F.col("opposed"), F.transform("sources", lambda s, i: F.struct((i + F.size("sources") + 1).alias("nth"), F.lit("EVIDENCE_LINKED").alias("event_type"), F.concat(F.lit("opposes:"), s.cast("string")).alias("ref")))).otherwise(F.slice(claim, 1, 0))
+    expiry = F.when(F.col("expires").isNotNull(), F.array(F.struct((F.size("sources") * 2 + 1).alias("nth"), F.lit("CLAIM_EXPIRED").alias("event_type"), F.col("expires").cast("string").alias("ref")))).otherwise(F.slice(claim, 1, 0))
     return findings.select("id", F.explode(F.concat(claim, support, oppose, expiry)).alias("e")).select("id", "e.nth", "e.event_type", "e.ref")
 
 

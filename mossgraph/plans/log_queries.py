@@ -138,6 +138,18 @@ def pg06_follow_up(m: Model) -> DataFrame:
     return research.follow_up(t, t.where("id % 6 = 0"))
 
 
+@query("""WITH t AS (SELECT o_custkey AS family_id, CASE WHEN o_orderkey % 2 = 0 THEN 'gap' ELSE 'contradiction' END AS type, o_orderkey AS id, o_orderkey % 4 AS priority FROM orders WHERE o_orderkey % 3 > 0),
+d AS (SELECT o_custkey AS family_id, o_orderkey AS id FROM orders WHERE o_orderkey % 6 = 0 OR o_orderkey % 8 = 1), u AS (SELECT family_id, count(*) AS used FROM d GROUP BY 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY priority, type, id) AS n FROM t WHERE (family_id, id) NOT IN (SELECT (family_id, id) FROM d))
+SELECT c_custkey AS family_id, CASE WHEN coalesce(used, 0) >= 3 THEN 'cap_reached' WHEN id IS NULL THEN 'no_work' ELSE 'queued' END AS status, coalesce(used, 0) + CASE WHEN coalesce(used, 0) < 3 AND id IS NOT NULL THEN 1 ELSE 0 END AS used,
+ CASE WHEN coalesce(used, 0) < 3 THEN type END AS type, CASE WHEN coalesce(used, 0) < 3 THEN id END AS id FROM customer LEFT JOIN u ON u.family_id = c_custkey LEFT JOIN l ON l.family_id = c_custkey AND l.n = 1""")
+def r_continue(m: Model) -> DataFrame:
+    """What follows up on each family: three times at most."""
+    k = F.col("o_orderkey")
+    rows = m.orders.select(F.col("o_custkey").alias("family_id"), F.when(k % 2 == 0, F.lit("gap")).otherwise(F.lit("contradiction")).alias("type"), k.alias("id"), (k % 4).alias("priority"))
+    return research.continued(m.customer.select(F.col("c_custkey").alias("family_id")), rows.where("id % 3 > 0"), rows.where("id % 6 = 0 or id % 8 = 1"))
+
+
 @query(f"""WITH RECURSIVE o AS (SELECT run_id, event_type, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM log),
 f AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS n, 'none' AS status FROM o UNION ALL SELECT f.run_id, o.n, CASE WHEN o.event_type = 'RUN_QUEUED' AND f.status = 'none' THEN 'queued' WHEN o.event_type = 'RUN_FAILED' AND f.status = 'queued' THEN 'failed' ELSE f.status END
 FROM f JOIN o ON o.run_id = f.run_id AND o.n = f.n + 1) SELECT run_id, arg_max(status, n) AS status FROM f GROUP BY 1""")
@@ -149,7 +161,7 @@ def str04_ledger_stream(m: Model) -> DataFrame:
     log.write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
     done = runs.keep_latest(runs.ledger_stream(stream), f"{folder}/out", "run_id", f"{folder}/checkpoint")
-    return runs.drain(done, lambda: spark.read.parquet(f"{folder}/out/v0").select("run_id", "status"))
+    return runs.drain(done, lambda: runs.latest_of(spark, f"{folder}/out").select("run_id", "status"))
 
 
 @query("SELECT o_orderkey AS seq_source, CAST(row_number() OVER (ORDER BY o_orderkey % 20000 >= 9000, o_orderkey) AS BIGINT) AS seq FROM orders")

@@ -173,6 +173,20 @@ def jn04_provenance_chains(m: Model) -> DataFrame:
     return longitudinal.provenance(m.claims, m.evidence, m.sources).select("claim_id", "evidence_id", "source_id", "stance", "domain", "authority_class")
 
 
+CHAINS = """ob AS (SELECT id, claim_id FROM evidence WHERE seq_in_claim % 2 = 1), ev AS (SELECT id, claim_id, source_id, stance, CASE WHEN subject_id % 5 = 0 THEN NULL WHEN subject_id % 7 = 0 THEN 'lost' ELSE id END AS observation_id FROM evidence WHERE subject_id % 3 > 0)"""
+
+
+@query(f"""WITH {CHAINS} SELECT coalesce(ob.claim_id, ev.claim_id) AS claim_id, coalesce(ob.id, ev.observation_id) AS observation_id, ev.id AS evidence_id, ev.source_id, ev.stance, s.domain,
+ CASE WHEN ev.id IS NULL THEN 'bare' WHEN ob.id IS NOT NULL THEN 'attributed' WHEN ev.observation_id IS NULL THEN 'unattributed' ELSE 'orphan' END AS part
+FROM ob FULL JOIN ev ON ob.claim_id = ev.claim_id AND ob.id = ev.observation_id LEFT JOIN sources s ON s.id = ev.source_id""")
+def jn04_chains_with_orphans(m: Model) -> DataFrame:
+    """Observations with their evidence or without, and evidence of none or of one that is not the claim's."""
+    k = F.col("subject_id")
+    observations = m.evidence.where("seq_in_claim % 2 = 1").select("id", "claim_id")
+    evidence = m.evidence.where(k % 3 > 0).withColumn("observation_id", F.when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, F.lit("lost")).otherwise(F.col("id")))
+    return longitudinal.provenance_chains(observations, evidence, m.sources)
+
+
 @query("SELECT DISTINCT e.source_id, c.family_id FROM evidence e JOIN claims c ON e.claim_id = c.id")
 def jn05_source_families(m: Model) -> DataFrame:
     c = m.claims.select(F.col("id").alias("claim_id"), "family_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import addresses, text, wording
-from ..operators import graph, ordered, reconcile, research
+from ..operators import cluster, graph, neighbours, ordered, reconcile, research
 from .model import Model
 from .registry import query
 
@@ -252,3 +252,19 @@ def ag17_cluster_summary(m: Model) -> DataFrame:
     findings = _findings(m).withColumn("positive", F.col("id") % 2 == 0)
     described = findings.select("id", (F.col("id") % 7).alias("confidence"), (F.col("id") % 5).alias("source"))
     return graph.cluster_summary(described, graph.linked_findings(findings, ["block"]))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.id AS query, e.id AS id, list_cosine_similarity(q.v, e.v) AS s FROM e q JOIN e ON q.id <> e.id WHERE q.id % 50 = 0)
+SELECT query, id, place, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, id) AS place FROM p) WHERE place <= 10""")
+def al04_neighbours(m: Model) -> DataFrame:
+    """The ten nearest of all vectors to each whose id is divisible by 50."""
+    rows = m.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    return neighbours.nearest(rows.where("id % 50 = 0"), rows, 10).select("query", "id", "place", F.round("score", 5).alias("score"))
+
+
+@query()
+def al04_vector_edges(m: Model) -> DataFrame:
+    """Edges between claims whose vectors are near, by their eight nearest neighbours; the edges are tested on made claims."""
+    rows = m.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("subject "), F.col("vec_id").cast("string")).alias("subject"), F.lit("is").alias("predicate"), F.concat(F.lit("object "), (F.col("vec_id") * 7).cast("string")).alias("object"), F.col("embedding").cast("array<double>").alias("embedding"))
+    near = neighbours.nearest(rows.where("id % 50 = 0"), rows, 8).select(F.col("query").alias("a"), F.col("id").alias("b"))
+    return cluster.claim_edges(rows, near).select("a", "b", "method", "score", "relation", "strength")

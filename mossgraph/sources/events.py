@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import validation
 from ..operators.workingset import numbered
 from . import files
 
@@ -18,6 +19,10 @@ SCHEMA = T.StructType([
 PAYLOAD_MOST = 1 << 20
 
 
+class InvalidEvent(ValueError):
+    """An event that its codec or its references refuse."""
+
+
 class StaleLog(RuntimeError):
     """The log has moved on since the caller looked."""
 
@@ -44,22 +49,34 @@ class EventLog:
     def latest(self) -> int:
         return self.scan().agg(F.max("seq")).first()[0] or 0
 
-    def append(self, events: DataFrame, expected: int) -> int:
-        """Append ``events(ord, timestamp, event_type, run_id, actor, entity_id, payload)`` in order; all or nothing.
+    def append(self, events: DataFrame, expected: int, codecs: dict | None = None, references: tuple[str, ...] | None = None) -> int:
+        """Append ``events(ord, timestamp, event_type, run_id, actor, entity_id, payload[, event_version])`` in order; all or nothing.
 
-        Rows are numbered in parallel by ranges of ``ord`` (a total order) and written in parallel."""
+        With ``codecs`` an event of unknown type or version, or with a payload that does not fit, is refused; with ``references``, kinds
+        of things, one that refers to a thing that no event before it, in the log or the batch, brought into being.  Rows are
+        numbered in parallel by ranges of ``ord`` (a total order) and written in parallel."""
         if self.latest() != expected:
             raise StaleLog(f"the log is at {self.latest()}, not {expected}")
         bad = events.where(F.expr("try_parse_json(payload) is null") | (F.octet_length("payload") > PAYLOAD_MOST) | F.col("event_type").isNull()).limit(1).collect()
         if bad:
             raise ValueError(f"an event cannot be appended: {bad[0]['event_type']}")
+        version = F.col("event_version") if "event_version" in events.columns else F.lit(1)
+        if codecs is not None:
+            wrong = validation.decoded(events.select("event_type", version.alias("version"), "payload"), codecs).where("error is not null").limit(1).collect()
+            if wrong:
+                raise InvalidEvent(f"{wrong[0]['error']}: {wrong[0]['event_type']}")
+        if references is not None:
+            placed = numbered(events.select("ord", "event_type", "payload"), "ord").select((F.col("n") + F.lit(expected)).alias("seq"), "event_type", "payload")
+            lost = validation.dangling(self.scan().select("seq", "event_type", "payload").unionByName(placed), references).where(F.col("seq") > expected).limit(1).collect()
+            if lost:
+                raise InvalidEvent(f"EVENT_REFERENCE_INVALID: {lost[0]['event_type']} refers to {lost[0]['kind']} {lost[0]['ref']}")
         claim = f"{self.path}_claims/{expected}"
         if not files.create_once(self.spark, claim):  # of two writers that saw the same place one alone goes on
             raise StaleLog(f"another writer appends after {expected}")
         try:
             ranked = numbered(events, "ord").withColumnRenamed("n", "_n")
             base = ranked.select(
-                (F.col("_n") + F.lit(expected)).alias("seq"), F.sha2(F.concat_ws("|", F.lit(str(expected)), F.col("_n").cast("string")), 256).substr(1, 26).alias("id"), "timestamp", "event_type", F.lit(1).alias("event_version"), "run_id",
+                (F.col("_n") + F.lit(expected)).alias("seq"), F.sha2(F.concat_ws("|", F.lit(str(expected)), F.col("_n").cast("string")), 256).substr(1, 26).alias("id"), "timestamp", "event_type", version.cast("int").alias("event_version"), "run_id",
                 F.lit(f"batch-{expected}").alias("batch_id"), "actor", "entity_id", "payload", F.sha2(F.col("payload").cast("binary"), 256).alias("payload_hash"),
             )
             base.write.mode("append").parquet(self.path)

@@ -202,6 +202,29 @@ def _events(spark, n=30):
     return spark.createDataFrame(rows, "ord long, timestamp string, event_type string, run_id string, actor string, entity_id string, payload string")
 
 
+def test_append_asks_codecs_and_references(spark, tmp_path):
+    from mossgraph.operators import validation
+    from mossgraph.sources.events import InvalidEvent
+
+    event = lambda k, kind, version=1, **body: (k, "t", kind, "r", "agent", None, json.dumps(body), version)
+    frame = lambda rows: spark.createDataFrame(rows, "ord long, timestamp string, event_type string, run_id string, actor string, entity_id string, payload string, event_version int")
+    codecs = validation.example_codecs() | {"NODE_ADDED": validation.Codec({1: {"id": "STRING"}}, {})}
+    named = {"targetId": "n1", "oldLabel": "a", "newLabel": "b"}
+    log = EventLog(spark, f"{tmp_path}/log")
+    for bad, why in (([event(1, "WHAT")], "EVENT_TYPE_UNKNOWN"), ([event(1, "NODE_ADDED", 3, id="n1")], "EVENT_VERSION_UNSUPPORTED"), ([event(1, "NODE_ADDED", id=7)], "EVENT_PAYLOAD_INVALID"), ([event(1, "NODE_RELABELED", **named), event(2, "NODE_ADDED", id="n1")], "EVENT_REFERENCE_INVALID")):
+        with pytest.raises(InvalidEvent, match=why):
+            log.append(frame(bad), 0, codecs, ("entity",))
+    assert log.latest() == 0
+    assert log.append(frame([event(1, "NODE_ADDED", id="n1"), event(2, "NODE_RELABELED", **named)]), 0, codecs, ("entity",)) == 2
+    assert log.append(frame([event(1, "NODE_RELABELED", 2, weight=3, **named)]), 2, codecs, ("entity",)) == 3
+    with pytest.raises(InvalidEvent):
+        log.append(frame([event(1, "NODE_RELABELED", **(named | {"targetId": "n2"}))]), 3, codecs, ("entity",))
+    checks = lambda cursor, status="ready": {r.name: r.status for r in validation.doctor(log.scan(), cursor, status).collect()}
+    fine = {"event_log": "ok", "places": "ok", "payloads": "ok", "read_model": "ok", "overall": "ok"}
+    assert checks(3) == fine and checks(1) == fine | {"read_model": "warning", "overall": "warning"} and checks(3, "dirty") == fine | {"read_model": "error", "overall": "error"}
+    assert {r.status for r in validation.doctor(log.scan().limit(0), None).collect()} == {"warning", "ok"}
+
+
 def test_append_numbers_and_refuses_stale_writers(spark, tmp_path):
     log = EventLog(spark, f"{tmp_path}/log")
     assert log.append(_events(spark).repartition(5), 0) == 30

@@ -79,3 +79,26 @@ def test_running_sums_and_sliding_windows_over_blocks(spark, monkeypatch):
         rate = sum(last) / len(last)
         want.append((run, seq, round(rate, 6), len(last), len(last) >= 5 and rate > 0.8))
     assert sorted(map(tuple, ledger.failure_windows(outcomes).collect())) == sorted(want)
+
+
+def test_components_with_hubs_dealt_out(spark, monkeypatch):
+    from mossgraph.operators import graph
+
+    monkeypatch.setattr(graph, "HUB", 5)
+    rng = random.Random(3)
+    edges = [(0, k) for k in range(1, 60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(k, k + 1) for k in range(200, 230)] + [(7, 7), (None, 3)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in list(parent)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
