@@ -1,48 +1,14 @@
-"""Connected components of an undirected graph by label propagation with pointer jumping."""
+"""Connected components, with the folder of the result named as this subpackage does, so that it can be discarded."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .storage import discard, written
+from ..operators.graph import components
 
-#: A node with more edges than this is dealt out over several tasks, so many edges to each, by the other end.
-HUB = 10_000
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` of long ids -> ``(id, component)``: for each id on an edge the smallest id that it reaches.
-
-    Self-loops and repeated edges do no harm; rows with a null end are ignored; no edges give no rows.  Each round takes
-    the smallest label among neighbours and then the label of that label, so paths halve; a round's labels are written
-    to the shared folder.  The edges of a hub are dealt out over several tasks.  Neighbours are pre-aggregated by ``min`` before they are shuffled.
-    """
-    edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    degrees = both.groupBy("b").agg(F.count("*").alias("k"))
-    rows, largest = degrees.agg(F.sum("k"), F.max("k")).first()
-    least = max(HUB, (rows or 0) // 100_000)
-    salts = -(-(largest or 0) // least)
-    salted = both.withColumn("salt", F.lit(0))
-    if salts > 1:  # 100,000 hubs at most, whatever the input
-        hubs = written(degrees.where(F.col("k") > least).select(F.col("b").alias("hub")))
-        salt = F.when(F.col("hub").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
-        old, both = both, written(both.join(F.broadcast(hubs), F.col("b") == F.col("hub"), "left").select("a", "b", salt.alias("salt")))
-        discard(old)
-        salted = both
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
-    while True:
-        ends = labels.select(F.col("id").alias("b"), "component").withColumn("salt", F.lit(0))
-        if salts > 1:
-            many = F.when(F.col("hub").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
-            ends = ends.drop("salt").join(F.broadcast(hubs), F.col("b") == F.col("hub"), "left").select("b", "component", F.explode(many).alias("salt"))
-        near = salted.join(ends, ["b", "salt"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("component").alias("far"))
-        moved = written(step.join(jump, "next").select("id", F.least("next", "far").alias("component"), (F.least("next", "far") != F.col("component")).alias("changed")))
-        discard(labels)
-        labels = moved.select("id", "component")
-        labels.scratch_path = moved.scratch_path
-        if moved.where("changed").isEmpty():
-            discard(both)
-            return labels
+    """``edges(a, b)`` of long ids -> ``(id, component)``: for each id on an edge the smallest id that it reaches."""
+    found = components(edges)
+    found.scratch_path = found.saved_path
+    return found

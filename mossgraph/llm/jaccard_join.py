@@ -40,6 +40,8 @@ BLOCKS = 64
 LONG, HEAD, PAYS, FEW = 8, 48, 5, 1000
 #: Buckets of ids, so many whatever the input: texts of other buckets are left out before any shuffle.
 BUCKETS = 1 << 20
+#: Pairs of one block that one task makes.
+PAIRS = 4_000_000
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
@@ -250,16 +252,19 @@ def _link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str, t
     open_blocks = work.groupBy("s", "block").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("s", "block")
     rest = work.join(open_blocks, ["s", "block"])
     tally = rest.groupBy("s", "block", "group").agg(F.count("*").alias("m"))
-    main = tally.groupBy("s", "block").agg(F.max(F.struct("m", "group")).alias("top")).select("s", "block", F.col("top.group").alias("main"))
-    marked = rest.join(main, ["s", "block"]).select("_id", "n", "s", "band", "block", "group", "k", "head", "former", (F.col("group") == F.col("main")).alias("inner"))
-    outer = marked.where("not inner")
-    other = marked.select("s", "block", *[F.col(c).alias(f"{c}2") for c in ("_id", "n", "band", "group", "k", "head", "former", "inner")])
+    # A block that makes many pairs is dealt over several tasks: each has a part of the sets outside the main group, and all others.
+    out_of_it = F.sum("m") - F.max("m")
+    parts = F.greatest(F.lit(1), F.least(out_of_it, F.ceil(out_of_it * F.sum("m") / PAIRS))).cast("int")
+    main = tally.groupBy("s", "block").agg(F.max(F.struct("m", "group")).alias("top"), parts.alias("parts")).select("s", "block", F.col("top.group").alias("main"), "parts")
+    marked = rest.join(main, ["s", "block"]).select("_id", "n", "s", "band", "block", "group", "k", "head", "former", "parts", (F.col("group") == F.col("main")).alias("inner"))
+    outer = marked.where("not inner").withColumn("part", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int"))
+    other = marked.select("s", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}2") for c in ("_id", "n", "band", "group", "k", "head", "former", "inner")])
     # A pair is taken in the list of the least shingle that both heads hold; without one, where a run of common ones begins.
     # Common positions: those within both heads, and behind them as many at most as either set has left.
     common = "array_intersect(head, head2)"
     at_most = f"CASE WHEN head IS NULL OR head2 IS NULL THEN least(k, k2) ELSE size({common}) + least(greatest(k - {HEAD}, 0) + size(filter(head, x -> x > array_max(head2))), greatest(k2 - {HEAD}, 0) + size(filter(head2, x -> x > array_max(head)))) END"
     pairs = (
-        outer.join(other, ["s", "block"])
+        outer.join(other, ["s", "block", "part"])
         .where(f"group <> group2 and (inner2 or _id < _id2) and block = greatest(band, band2) and {den} * least(n, n2) >= {num} * greatest(n, n2)")
         .where(f"least(k, k2) >= {required} AND CASE WHEN coalesce(size({common}), 0) > 0 THEN array_min({common}) = s ELSE NOT (former <=> former2) OR former IS NULL END AND {at_most} >= {required}")
         .select(F.least("_id", "_id2").alias("a"), F.greatest("_id", "_id2").alias("b")).distinct()

@@ -260,6 +260,13 @@ def test_one_of_each_group(docs, rows):
     assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == want
 
 
+def test_blocks_of_many_pairs_are_dealt_out_and_give_the_same(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRS", 1)
+    monkeypatch.setattr(jaccard_join, "FEW", 0)  # no rounds of pivots: all pairs come from the blocks
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link_groups(docs, 3, 60, 100).collect())
+    assert got == brute_groups(rows, 3, 60, 100)
+
+
 def test_language_model_weighs_all_training_texts(spark, monkeypatch):
     """Groups of copies that alone have the tokens of their level: each keeps its pair estimates, in tables of any size."""
     rows = [(-k, f"w{k}") for k in range(1, 4001)] + [(j, f"p{j} q{j}") for j in range(4, 10) for _ in range(2**j)]
