@@ -28,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packing import word_ids
+from .packing import sized, word_ids
 from .storage import discard, written
-from .words import slices
 
 QUEUES = 512
 #: Tasks whose sums are added up together; rows of sums that are sent to every task, beyond which both sides are shuffled.
@@ -146,19 +145,18 @@ def document_ids(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(tokenizer_file, not wide)
-        width, end = (4, np.array([end_id], "<u4").tobytes()) if wide else (2, np.array([end_id], "<u2").tobytes())
         so_far: dict[str | None, int] = {}
         for batch in batches:
-            sources, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for first, last in slices(texts):
-                split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[first:last]]
-                found = [b"".join(map(known.__getitem__, words)) + end for words in split]
-                counts, before = [len(x) // width for x in found], []
-                for source, n in zip(sources[first:last], counts, strict=True):
+            sources, texts = batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
+            for first, last in sized(texts):
+                flat, begins = known.of(texts.slice(first, last - first), end_id)
+                counts, before = np.diff(begins), []
+                for source, n in zip(sources[first:last], counts.tolist(), strict=True):
                     before.append(so_far.get(source, 0))
                     so_far[source] = before[-1] + n
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(begins * flat.itemsize), pa.py_buffer(flat)]).cast(pa.binary())
                 kept = [batch.column(k).slice(first, last - first) for k in (0, 1, 3)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(found, pa.binary())], [id_col, "_source", "_task", "_before", "doc_tokens", "_ids"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.int64()), pa.array(counts), ids], [id_col, "_source", "_task", "_before", "doc_tokens", "_ids"])
 
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").alias("_text"), F.spark_partition_id().alias("_task"))
     return texts.mapInArrow(run, f"`{id_col}` long, _source string, _task int, _before long, doc_tokens long, _ids binary")

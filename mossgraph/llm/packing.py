@@ -23,14 +23,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import written
-from .words import slices
 
-#: Words of a generation of the memo.
-MEMO_WORDS = 400_000
+#: Words of a generation of the memo, and parts of words, which are asked for only where a word is new.
+MEMO_WORDS, MEMO_PARTS = 350_000, 150_000
 #: ASCII and Latin-1 letters, then ASCII marks: words that are their own pieces, whatever the normaliser does with others.
 PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\\[-`{-~]*)")
 #: Salts within one length, so that no task ranks all pieces of a length that a third of the documents may share.
@@ -65,15 +65,19 @@ class WordIds(dict):
         found = self.older.get(word)
         if found is None:
             text = word.decode("utf-8", "surrogatepass")
-            plain = PLAIN_WORD.fullmatch(text)
-            found = self._part(plain[1].lower()) + self._part(plain[2]) if plain else self._ids(text)
+            if word.isalpha() and word.islower():
+                found = self._part(text)
+            elif plain := PLAIN_WORD.fullmatch(text):
+                found = self._part(plain[1].lower()) + self._part(plain[2]) if plain[2] else self._part(text.lower())
+            else:
+                found = self._ids(text)
         self[word] = found
         return found
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= MEMO_WORDS:
+            if len(self.parts) >= MEMO_PARTS:
                 self.parts, self.older_parts = {}, self.parts
             found = self.older_parts.get(part)
             if found is None:
@@ -91,6 +95,29 @@ class WordIds(dict):
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
 
+    def of(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` (binary), the end id after each, and where each text's begin (one more than texts).
+
+        Every distinct word of them is looked up once; its ids are then put wherever it stands."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(b"").cast(pa.string(), safe=False))
+        borders = lists.offsets.to_numpy()
+        words = lists.flatten().dictionary_encode()
+        found = [self[w] for w in words.dictionary.cast(pa.binary()).to_pylist()]
+        kind = np.dtype(f"<u{array(self.kind).itemsize}")
+        known = np.frombuffer(b"".join(found), kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // kind.itemsize
+        at = words.indices.to_numpy()
+        size = sizes[at]
+        before = np.concatenate([[0], np.cumsum(size)])
+        text_of = np.repeat(np.arange(len(texts)), np.diff(borders))
+        out = np.empty(before[-1] + len(texts), kind)
+        begins = before[borders - borders[0]] + np.arange(len(texts) + 1)  # an end id for each text before it
+        place = np.arange(before[-1])
+        source = np.repeat((np.cumsum(sizes) - sizes)[at] - before[:-1], size) + place
+        out[place + np.repeat(text_of, size)] = known[source]
+        out[begins[1:] - 1] = end_id
+        return out, begins
+
 
 @lru_cache(1)
 def word_ids(tokenizer_file: str, short: bool = False) -> WordIds:
@@ -98,22 +125,31 @@ def word_ids(tokenizer_file: str, short: bool = False) -> WordIds:
     return WordIds(tokenizer_file, short)
 
 
+def sized(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` (binary) of about ``most`` bytes each; a longer text is a range of its own."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + most, side="right")))
+        yield first, last
+        first = last
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: each text's ids and the end id, cut only where longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(tokenizer_file)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, last in slices(texts):
-                split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[first:last]]
-                for key, words in zip(keys[first:last], split, strict=True):
-                    ids = b"".join(map(known.__getitem__, words)) + end
-                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append((key, n, at // 4, len(part) // 4, zlib.crc32(part)))
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+            for first, last in sized(texts):
+                flat, begins = known.of(texts.slice(first, last - first), end_id)
+                ids = memoryview(flat).cast("B")
+                for key, begin, end in zip(keys[first:last], begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                    for n, at in enumerate(range(begin, end, capacity)):
+                        to = min(at + capacity, end)
+                        rows.append((key, n, at - begin, to - at, zlib.crc32(ids[4 * at : 4 * to])))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [id_col, "piece", "start", "length", "ids_crc32"])
