@@ -55,9 +55,9 @@ def test_equal_to_a_rebuild_after_each_of_ten_batches(spark, tmp_path):
 
 def test_a_batch_reads_what_it_affects(spark, tmp_path):
     """On a store a hundred times as large a batch of the same kind reads about as many rows, but for the size of buckets."""
-    log = [(k, f"r{k % 900}", "CLAIM_OBSERVED", json.dumps({"claimId": f"c{k}", "familyId": "f", "subject": "s", "observedAt": "t"})) for k in range(1, 9001)]
-    log += [(k, f"r{k % 900}", "EVIDENCE_LINKED", json.dumps({"id": f"e{k}", "claimId": f"c{k - 9000}", "stance": "supports"})) for k in range(9001, 18001)]
-    store = Incremental(spark, f"{tmp_path}/store", buckets=512, target=10**6)
+    log = [(k, f"r{k % 900}", "CLAIM_OBSERVED", json.dumps({"claimId": f"c{k}", "familyId": "f", "subject": "s", "observedAt": "t"})) for k in range(1, 3001)]
+    log += [(k, f"r{k % 900}", "EVIDENCE_LINKED", json.dumps({"id": f"e{k}", "claimId": f"c{k - 9000}", "stance": "supports"})) for k in range(9001, 12001)]
+    store = Incremental(spark, f"{tmp_path}/store", buckets=128, target=10**6)
     store.apply(spark.createDataFrame(log, SCHEMA))
     more = [(20001, "r5", "CLAIM_OBSERVED", '{"claimId":"c77","familyId":"f","subject":"s","observedAt":"u"}'), (20002, "r6", "EVIDENCE_LINKED", '{"id":"e9078","claimId":"c99","stance":"opposes"}'), (20003, "r7", "CLAIM_MERGED", '{"claimId":"c3","intoClaimId":"c4"}'), (20004, "x", "RUN_ROLLED_BACK", '{"run_id":"r8"}')]
     report = store.apply(spark.createDataFrame(more, SCHEMA))
