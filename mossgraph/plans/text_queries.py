@@ -204,7 +204,7 @@ t AS (SELECT *, round(CASE WHEN keyed AND op = cp AND coalesce(num, true) THEN 1
 @query(RECON + "z AS (SELECT 1) SELECT oid AS observation_id, cid AS claim_id, score FROM t")
 def al01_pair_scores(m: Model) -> DataFrame:
     rows = _assertions(m)
-    scored = reconcile.scored_pairs(rows.where("id % 50 = 0"), rows)
+    scored = reconcile.scored_pairs(rows.where("id % 50 = 0"), rows, itself=False)
     return scored.select(F.col("o_id").alias("observation_id"), F.col("c_id").alias("claim_id"), "score")
 
 
@@ -219,7 +219,7 @@ SELECT o.p_partkey AS observation_id, coalesce(k, 'new_claim') AS classification
 FROM (SELECT p_partkey FROM part WHERE p_partkey % 50 = 0) o LEFT JOIN b ON b.oid = o.p_partkey""")
 def al03_reconcile_batch(m: Model) -> DataFrame:
     rows = _assertions(m)
-    return reconcile.plan_batch(rows.where("id % 50 = 0"), rows)
+    return reconcile.plan_batch(rows.where("id % 50 = 0"), rows, itself=False)
 
 
 @query(rf"""WITH {ASSERTIONS}, k AS (SELECT *, {UNI.format('subject')} || '|' || {UNI.format('predicate')} || '|' || {UNI.format("coalesce(object, '')")} || '|' || coalesce(CAST(value AS STRING) || '_' || unit, '') AS key FROM x)
