@@ -95,6 +95,12 @@ class WordIds(dict):
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
 
+    def forget(self) -> None:
+        """Give the memory back, where a worker process goes on to other work."""
+        for memo in (self, self.older, self.parts, self.older_parts):
+            memo.clear()
+        pa.default_memory_pool().release_unused()
+
     def of(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` (binary), the end id after each, and where each text's begin (one more than texts).
 
@@ -140,19 +146,22 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(tokenizer_file)
-        for batch in batches:
-            rows: list[tuple] = []
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            for first, last in sized(texts):
-                flat, begins = known.of(texts.slice(first, last - first), end_id)
-                ids = memoryview(flat).cast("B")
-                for key, begin, end in zip(keys[first:last], begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-                    for n, at in enumerate(range(begin, end, capacity)):
-                        to = min(at + capacity, end)
-                        rows.append((key, n, at - begin, to - at, zlib.crc32(ids[4 * at : 4 * to])))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [id_col, "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+                for first, last in sized(texts):
+                    flat, begins = known.of(texts.slice(first, last - first), end_id)
+                    ids = memoryview(flat).cast("B")
+                    for key, begin, end in zip(keys[first:last], begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                        for n, at in enumerate(range(begin, end, capacity)):
+                            to = min(at + capacity, end)
+                            rows.append((key, n, at - begin, to - at, zlib.crc32(ids[4 * at : 4 * to])))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [id_col, "piece", "start", "length", "ids_crc32"])
+        finally:
+            known.forget()
 
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"))
     return texts.mapInArrow(run, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long")
