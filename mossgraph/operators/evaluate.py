@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
+from .projection import checksum
+
 
 def confusion(pairs: DataFrame) -> DataFrame:
     """``pairs(expected, actual)`` -> counts."""
@@ -88,6 +93,42 @@ def golden_diff(actual: dict[str, DataFrame], golden: dict[str, DataFrame], key:
     return out
 
 
+class BadGolden(ValueError):
+    """Golden views of another version, or not what was written."""
+
+
+def build_golden(views: dict[str, DataFrame], folder: str, metadata: dict[str, str]) -> dict:
+    """Write ``views`` as what later ones are compared with, with ``metadata`` and a checksum of each; an existing folder is refused."""
+    spark = next(iter(views.values())).sparkSession
+    if files.exists(spark, f"{folder}/manifest.json"):
+        raise FileExistsError(folder)
+    for name, view in views.items():
+        view.write.mode("overwrite").parquet(f"{folder}/{name}")
+    manifest = {"metadata": metadata, "checksums": {name: checksum(spark.read.parquet(f"{folder}/{name}")) for name in views}}
+    files.write_text(spark, f"{folder}/manifest.json", json.dumps(manifest, sort_keys=True))
+    return manifest
+
+
+def compare_golden(actual: dict[str, DataFrame], folder: str, metadata: dict[str, str], key: str = "id") -> DataFrame:
+    """``(collection, key, difference)`` between ``actual`` and the golden views of ``folder``, which must be sound and of the same metadata.
+
+    Collections that only one side has are an error."""
+    spark = next(iter(actual.values())).sparkSession
+    text = files.read_text(spark, f"{folder}/manifest.json")
+    if text is None:
+        raise BadGolden("no manifest")
+    manifest = json.loads(text)
+    if manifest["metadata"] != metadata:
+        raise BadGolden(f"of {manifest['metadata']}, not {metadata}")
+    if set(manifest["checksums"]) != set(actual):
+        raise BadGolden(f"collections {sorted(manifest['checksums'])}, not {sorted(actual)}")
+    golden = {name: spark.read.parquet(f"{folder}/{name}") for name in actual}
+    for name, view in golden.items():
+        if checksum(view) != manifest["checksums"][name]:
+            raise BadGolden(f"{name} is not what was written")
+    return golden_diff(actual, golden, key)
+
+
 # The classes of a case.
 CLASSES = ("same_claim", "near_duplicate", "elaboration", "qualification", "contradiction", "supersedes", "new_claim")
 

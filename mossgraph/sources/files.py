@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _at(spark: SparkSession, path: str):
@@ -51,3 +52,9 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     if not exists(spark, path):
         return None
     return spark.read.text(path, wholetext=True).first()[0]
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length, sha256)`` of every file under ``path`` that has content, each hashed by a task; Spark reads no empty files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", "length", F.sha2("content", 256).alias("sha256"))

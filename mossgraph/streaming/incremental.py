@@ -247,6 +247,11 @@ class Incremental:
 
     # --- reading ---
 
+    def status(self, latest: int | None = None) -> DataFrame:
+        """``(version, last_applied_seq, status)``, one row: ready, behind ``latest``, of another version, or empty."""
+        state = "empty" if self.batch < 0 else "incompatible" if self.version != VERSION else "behind" if latest is not None and (self.cursor or 0) < latest else "ready"
+        return self.spark.createDataFrame([(self.version, self.cursor, state)], "version int, last_applied_seq long, status string")
+
     def views(self) -> dict[str, DataFrame]:
         """The same views as a rebuild of the whole log gives."""
         known = self.tables["known"].read()

@@ -109,6 +109,8 @@ def test_a_stream_of_batches_nothing_at_all_and_growing_buckets(spark, tmp_path)
     empty = Incremental(spark, f"{tmp_path}/none")
     empty.apply(spark.createDataFrame([], SCHEMA))
     assert all(v.isEmpty() for v in empty.views().values()) and empty.cursor is None
+    assert [tuple(store.status(n).first()) for n in (None, 300, 301)] == [(1, 300, "ready"), (1, 300, "ready"), (1, 300, "behind")]
+    assert Incremental(spark, f"{tmp_path}/nowhere").status().first().status == "empty"
     odd = [(1, None, "CLAIM_OBSERVED", "{}"), (2, None, "CLAIM_MERGED", '{"claimId":"a","intoClaimId":"a"}'), (3, None, "CLAIM_OBSERVED", '{"claimId":"a"}'), (4, "r", "WHAT", None)]
     empty.apply(spark.createDataFrame(odd, SCHEMA))
     assert [(r.id, r.n_observations, r.family_id) for r in empty.views()["claims"].collect()] == [("a", 1, None)]

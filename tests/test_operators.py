@@ -202,6 +202,45 @@ def _events(spark, n=30):
     return spark.createDataFrame(rows, "ord long, timestamp string, event_type string, run_id string, actor string, entity_id string, payload string")
 
 
+def test_canonical_json():
+    from mossgraph.sources.events import canonical
+
+    assert canonical({"b": [2, 1.0, {"d": None, "c": "é"}], "a": True}) == '{"a":true,"b":[2,1,{"c":"é","d":null}]}'
+    assert canonical({"x": 1, "y": {"p": 0, "q": 1}}) == canonical({"y": {"q": 1.0, "p": 0}, "x": 1}) != canonical({"x": 1, "y": {"p": 1, "q": 0}})
+    assert canonical([1, 2]) != canonical([2, 1])
+    for bad in (float("nan"), float("inf"), {"x": {1, 2}}, object()):
+        with pytest.raises((ValueError, TypeError)):
+            canonical(bad)
+
+
+def test_golden_views_and_digests_of_files(spark, tmp_path):
+    import hashlib
+
+    from mossgraph.operators import evaluate
+
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, v string")
+    views = {"claims": rows((1, "a"), (2, "b"), (3, None)), "gaps": rows((9, "g"))}
+    folder, of = f"{tmp_path}/golden", {"reconciler": "3"}
+    evaluate.build_golden(views, folder, of)
+    assert evaluate.compare_golden(views, folder, of).count() == 0
+    changed = {"claims": rows((1, "a"), (2, "c"), (4, "d")), "gaps": rows((9, "g"))}
+    assert sorted(map(tuple, evaluate.compare_golden(changed, folder, of).collect())) == [("claims", 2, "changed"), ("claims", 3, "missing"), ("claims", 4, "unexpected")]
+    for wrong, why in (((views, folder, {"reconciler": "4"}), "not"), (({"claims": views["claims"]}, folder, of), "collections"), ((views, f"{tmp_path}/none", of), "no manifest")):
+        with pytest.raises(evaluate.BadGolden, match=why):
+            evaluate.compare_golden(*wrong)
+    with pytest.raises(FileExistsError):
+        evaluate.build_golden(views, folder, of)
+    rows((9, "other")).write.mode("overwrite").parquet(f"{folder}/gaps")
+    with pytest.raises(evaluate.BadGolden, match="gaps"):
+        evaluate.compare_golden(views, folder, of)
+    (tmp_path / "files" / "in").mkdir(parents=True)
+    (tmp_path / "files" / "a").write_bytes(b"x" * 1000)
+    (tmp_path / "files" / "in" / "b").write_bytes(b"")
+    (tmp_path / "files" / "in" / "c").write_bytes(b"c")
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in files.digests(spark, f"{tmp_path}/files").collect()}
+    assert got == {"a": (1000, hashlib.sha256(b"x" * 1000).hexdigest()), "c": (1, hashlib.sha256(b"c").hexdigest())}
+
+
 def test_append_asks_codecs_and_references(spark, tmp_path):
     from mossgraph.operators import validation
     from mossgraph.sources.events import InvalidEvent
