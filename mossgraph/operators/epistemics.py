@@ -16,7 +16,9 @@ def independent_sources(links: DataFrame) -> DataFrame:
     rows = links.where(F.col("domain").isNotNull()).distinct()
     domain = F.xxhash64("claim_id", F.lit("domain"), "domain")
     content = F.xxhash64("claim_id", F.lit("content"), "content")
-    edges = rows.where(F.col("content").isNotNull()).select(domain.alias("a"), content.alias("b"))
+    # a content of one domain ties nothing
+    tying = rows.where(F.col("content").isNotNull()).groupBy("claim_id", "content").agg(F.count("*").alias("_n")).where("_n > 1").select("claim_id", "content")
+    edges = rows.join(tying, ["claim_id", "content"]).select(domain.alias("a"), content.alias("b"))
     nodes = rows.select("claim_id", domain.alias("node")).distinct()
     found = components(edges)
     joined = nodes.join(found.withColumnRenamed("id", "node"), "node", "left")
