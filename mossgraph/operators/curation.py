@@ -1,60 +1,73 @@
 """Commands of curators: which of a stream of them happen, the events that they become, and what these do to the views.
 
 A command carries the place of the log that its writer had seen.  It happens if that is where the log is when its turn comes, and
-then moves the log on by one; the next to happen is the first later one that expects the next place.  So each command points to
-the first later one that expects one place more, and those that happen are the path from the first that expects the present
-place: it is marked by doubling pointers, in as many rounds as its length has bits.
+then moves the log on by one; the next to happen is the first later one that expects the next place and has not happened before.  What
+has happened decides what can, so blocks of a bounded number of commands are decided one after the other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import saved
 from .knowledge import aliases, last, of
 from .projection import payload
-from .scan import next_after
 
 # The event that a command of each kind becomes.
 EVENTS = {"merge": "CLAIM_MERGED", "split": "CLAIM_SPLIT", "retract": "CLAIM_RETRACTION_SET", "relate": "CLAIM_RELATION_CURATED", "stance": "EVIDENCE_STANCE_OVERRIDDEN"}
 CONTENT = ("actor", "kind", "body")
 
 
-def _path(pointers: DataFrame, cursor: int) -> DataFrame:
-    """``pointers(seq, expected, next)`` -> ``(seq)`` on the path from the first that expects ``cursor``."""
-    start = pointers.where(F.col("expected") == cursor).agg(F.min("seq").alias("seq")).where("seq is not null")
-    marked, jump = saved(start), saved(pointers.select("seq", "next").where("next is not null"))
-    n = marked.count()
-    while n:
-        further = marked.join(jump, "seq").select(F.col("next").alias("seq"))
-        marked = saved(marked.union(further).distinct())
-        if (now := marked.count()) == n:
-            break
-        n = now
-        jump = saved(jump.join(jump.select(F.col("seq").alias("next"), F.col("next").alias("_far")), "next").select("seq", F.col("_far").alias("next")))
-    return marked
+#: Commands that one task decides in order.
+FOLD = 1_000_000
 
 
 def happened(commands: DataFrame, cursor: int = 0) -> DataFrame:
     """``commands(seq, command_id, expected, ...)`` -> those that happen, as a loop over them would find.
 
-    A command that has happened does not happen again, whatever place a repetition of it expects.  The path is right up to the first
-    command that it meets twice; what repeats one of that part is left out, and the rest of the path is found anew."""
+    A command that has happened does not happen again, whatever place a repetition of it expects.  Blocks of about ``FOLD`` commands
+    follow each other: from each go those that expect a place already taken and those that have happened in an earlier block,
+    and one task decides what is left."""
     rows = saved(commands.select("seq", "command_id", "expected"))
-    fixed = None
-    while True:
-        wanted = rows.select(F.col("expected").alias("place"), "seq", F.col("seq").alias("target"), F.lit(None).cast("long").alias("own"), "expected")
-        asked = rows.select((F.col("expected") + 1).alias("place"), "seq", F.lit(None).cast("long").alias("target"), F.col("seq").alias("own"), "expected")
-        pointers = next_after(wanted.unionByName(asked), "place", "seq", "target").where("own is not null").select("seq", "expected", F.col("_next").alias("next"))
-        path = saved(rows.join(_path(saved(pointers), cursor), "seq"))
-        nth = F.row_number().over(Window.partitionBy("command_id").orderBy("expected"))
-        wrong = path.withColumn("_n", nth).where("_n > 1").agg(F.min("expected")).first()[0]
-        if wrong is None:
-            return commands.join(path.select("seq"), "seq", "left_semi")
-        fixed = path.where(F.col("expected") < wrong).select("command_id", F.col("seq").alias("_at"))
-        left = rows.join(fixed, "command_id", "left")
-        rows = saved(left.where("_at is null or _at >= seq").select("seq", "command_id", "expected"))
+    blocks = -(-rows.count() // FOLD)
+    bounds = rows.stat.approxQuantile("seq", [k / blocks for k in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
+    bounds = sorted({int(b) for b in bounds})
+    parts: list[DataFrame] = []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        block = rows.where(F.col("expected") >= cursor)
+        block = block if low is None else block.where(F.col("seq") > low)
+        block = block if high is None else block.where(F.col("seq") <= high)
+        for part in parts:
+            block = block.join(part.select("command_id"), "command_id", "left_anti")
+        part = saved(block.select("seq", "command_id", "expected").repartition(1).sortWithinPartitions("seq").mapInArrow(_decided(cursor), rows.schema))
+        parts.append(part)
+        cursor += part.count()
+    path = parts[0].select("seq")
+    for part in parts[1:]:
+        path = path.union(part.select("seq"))
+    return commands.join(path, "seq", "left_semi")
+
+
+def _decided(cursor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The loop over commands in order, from the place ``cursor`` on."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, done = cursor, set()
+        for batch in batches:
+            kept = []
+            for k, (name, expected) in enumerate(zip(batch.column("command_id").to_pylist(), batch.column("expected").to_pylist(), strict=True)):
+                if expected == place and name not in done:
+                    kept.append(k)
+                    place += 1
+                    if name is not None:
+                        done.add(name)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return fold
 
 
 def command_outcomes(commands: DataFrame, cursor: int = 0) -> DataFrame:

@@ -162,3 +162,17 @@ def test_commands_that_expect_what_was_applied_before_them(spark):
     frame = spark.createDataFrame([(5, "a", 0), (9, "b", 1), (11, "c", 1), (12, "a", 2), (13, "d", 2)], "seq long, command_id string, expected long")
     assert [tuple(r) for r in curation.command_outcomes(frame).orderBy("seq").collect()] == [(5, "a", "applied", 1), (9, "b", "applied", 2), (11, "c", "stale", None), (12, "a", "repeated", 1), (13, "d", "applied", 3)]
     assert curation.command_outcomes(frame.limit(0)).count() == 0
+
+
+def test_many_repetitions_over_several_blocks(spark, monkeypatch):
+    """A repetition met at every step, in blocks that each remember what the ones before have done."""
+    monkeypatch.setattr(curation, "FOLD", 150)
+    data = [(k, k - (2 if k % 4 == 3 else 0) - (300 if k % 9 == 8 and k > 300 else 0), k // 3 - (k % 5 == 0)) for k in range(600)]
+    place, done, want = 0, set(), set()
+    for seq, name, expected in data:
+        if expected == place and name not in done:
+            want.add(seq)
+            done.add(name)
+            place += 1
+    got = {r.seq for r in curation.happened(spark.createDataFrame(data, "seq long, command_id long, expected long")).collect()}
+    assert got == want and len(want) > 10
