@@ -109,3 +109,23 @@ def test_entity_merges_and_cluster_edges_of_copies(spark):
     assert first == {k: next(j for j in range(60) if (j % 2, j % 3 == 0) == (k % 2, k % 3 == 0)) for k in range(60)}
     edges = {(r.a, r.b, r.relation, r.score) for r in cluster.cluster_edges(findings, clusters, ["block"]).collect()}
     assert edges == {(0, 1, "contradicts", 0.75), (0, 2, "supports", 0.75), (0, 3, "contradicts", 1.0), (1, 2, "contradicts", 1.0), (1, 3, "supports", 0.75), (2, 3, "contradicts", 0.75)}
+
+
+def test_capped_edges_of_copies_make_no_pairs(spark, monkeypatch):
+    """The greedy cap over classes of copies is that over all their pairs, which are not made."""
+    import random
+
+    seed = random.Random(3)
+    words = ["red bolt", "blue bolt", "red ring", "tin plate v1.2", "tin plate v2.0", "old cog"]
+    data = [(k, seed.choice(words), "LARGE", f"Brand#{seed.randint(1, 2)}") for k in seed.sample(range(9 * N), N)]
+    claims = spark.createDataFrame(data, "id long, subject string, predicate string, object string")
+    edges = [(r.a, r.b, r.score) for r in cluster.claim_edges(claims).orderBy("a", "b").collect()]
+    held, want = dict.fromkeys((k for k, *_ in data), 0), []
+    for a, b, score in edges:
+        if held[a] < 8 and held[b] < 8:
+            want.append((a, b, score))
+            held[a], held[b] = held[a] + 1, held[b] + 1
+    monkeypatch.setattr(cluster, "expanded", None)
+    rows, shuffled = made(cluster.claim_clusters(claims))
+    assert sorted((r.a, r.b, r.score) for r in rows) == want and len(want) < len(edges) / 10
+    assert shuffled < 10 * N
