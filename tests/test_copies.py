@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 
-from mossgraph.operators import cluster, graph, resolve
+from mossgraph.operators import cluster, graph, reconcile, resolve
 
 N = 600
 
@@ -129,3 +129,22 @@ def test_capped_edges_of_copies_make_no_pairs(spark, monkeypatch):
     rows, shuffled = made(cluster.claim_clusters(claims))
     assert sorted((r.a, r.b, r.score) for r in rows) == want and len(want) < len(edges) / 10
     assert shuffled < 10 * N
+
+
+def test_batch_and_pair_scores_of_copies(spark):
+    """Copies are scored once; an observation that comes from the claims does not meet itself, but its copies."""
+    data = [(k, f"f{k % 2}", f"red bolt {k % 4}", "is", None if k % 3 else "large", "positive", "certain", float(k % 4), "kg") for k in range(N)] + [(N, "f9", "alone", "is", None, "positive", "certain", 1.0, "kg")]
+    frame = spark.createDataFrame(data, "id long, family_id string, subject string, predicate string, object string, polarity string, hedge string, value double, unit string")
+    frame = frame.selectExpr("*", "cast(null as string) event_date", "cast(null as string) version", "cast(null as string) entity_id")
+    queries = frame.where("id % 50 = 0")
+    rows, shuffled = made(reconcile.scored_pairs(queries, frame, itself=False))
+    got = {(r.o_id, r.c_id): r.score for r in rows}
+    assert len(got) == len(rows) and got.keys() == {(a, b) for a in range(0, N, 50) for b in range(N) if a != b and a % 2 == b % 2}
+    assert all(s == 1.0 for (a, b), s in got.items() if a % 4 == b % 4 and (a % 3 == 0) == (b % 3 == 0))
+    assert shuffled < 2 * N
+    rows, shuffled = made(reconcile.plan_batch(queries, frame, itself=False))
+    assert shuffled < 2 * N and len(rows) == 13
+    for r in rows:
+        alike = next((k for k in range(N) if k != r.observation_id and k % 4 == r.observation_id % 4 and (k % 3 == 0) == (r.observation_id % 3 == 0)), None) if r.observation_id < N else None
+        assert (r.matched_claim_id, r.classification) == ((alike, "same_claim") if alike is not None else (None, "new_claim"))
+        assert r.score == (1.0 if alike is not None else 0.0)
