@@ -270,7 +270,8 @@ def al26_groundings(m: Model) -> DataFrame:
 b AS (SELECT p.id, p.n, round(CASE WHEN coalesce(ok AND g.c = z.c, false) THEN 0.7 * (sc - 1) / 9 + 0.3 * p.lex ELSE p.lex END, 6) AS blend, coalesce(ok AND g.c = z.c, false) AS judged FROM p JOIN z ON z.id = p.id LEFT JOIN g ON g.id = p.id LEFT JOIN s ON s.id = p.id AND s.n = p.n)
 SELECT *, row_number() OVER (PARTITION BY id ORDER BY blend DESC, n) AS place FROM b""")
 def al19_reranked(m: Model) -> DataFrame:
-    p = m.lineitem.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n")).agg(F.max("l_discount").cast("double").alias("lexical"), F.max(F.col("l_quantity").cast("int")).alias("q"))
+    lines = graph.gathered(m.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), "l_discount", "l_quantity"), m.lineitem.count(), "id")
+    p = lines.groupBy("id", "n").agg(F.max("l_discount").cast("double").alias("lexical"), F.max(F.col("l_quantity").cast("int")).alias("q"))
     scores = p.where("id % 4 > 0 or n > 1").select("id", "n", F.when(F.col("id") % 3 == 0, F.col("q") % 10 + 1).otherwise(F.col("q") % 11 + 1).alias("score"))
     return workingset.reranked(p.drop("q"), scores)
 
