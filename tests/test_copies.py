@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 
-from mossgraph.operators import cluster, graph, reconcile, resolve
+from mossgraph.operators import cluster, graph, reconcile, research, resolve
 
 N = 600
 
@@ -148,3 +148,14 @@ def test_batch_and_pair_scores_of_copies(spark):
         alike = next((k for k in range(N) if k != r.observation_id and k % 4 == r.observation_id % 4 and (k % 3 == 0) == (r.observation_id % 3 == 0)), None) if r.observation_id < N else None
         assert (r.matched_claim_id, r.classification) == ((alike, "same_claim") if alike is not None else (None, "new_claim"))
         assert r.score == (1.0 if alike is not None else 0.0)
+
+
+def test_rows_are_gathered_before_they_are_grouped(spark, monkeypatch):
+    """Tasks that group hold a bounded number of rows, and none sums up rows of all keys before the shuffle."""
+    monkeypatch.setattr(graph, "GROUPED", 50)
+    links = spark.range(N).selectExpr("id % 40 as question", "id as source_id", "concat('d', id % 3) as domain", "0.5D as confidence", "false as failed")
+    assert graph.gathered(links, N, "question").rdd.getNumPartitions() == N // 50
+    found = research.question_coverage(spark.range(41).withColumnRenamed("id", "question"), links, N)
+    rows, shuffled = made(found)
+    assert {(r.question, r.n_sources, r.n_domains, r.n_findings, r.status) for r in rows} == {(k, 15, 3, 15, "adequate") for k in range(40)} | {(40, 0, 0, 0, "uncovered")}
+    assert shuffled <= N
