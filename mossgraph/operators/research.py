@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from ..functions.wording import CONTENT_STOP_WORDS, hedge_of
 from .graph import gathered
 
 WINDOW, LOOK_BACK, MOST, SEEDS, BUDGET = 4000, 800, 6, 5, 24_000
+#: Characters of passages that a task's Python holds before it hands them on.
+HELD = 4_000_000
 
 
 def windows_of(text: str, size: int = WINDOW, back: int = LOOK_BACK) -> list[tuple[int, int]]:
@@ -31,15 +33,26 @@ def windows_of(text: str, size: int = WINDOW, back: int = LOOK_BACK) -> list[tup
     return out
 
 
-def segmented(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """``(id, n, start, end, passage)`` for every window of every text."""
+def segmented(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, most: int = HELD) -> DataFrame:
+    """``(id, n, start, end, passage)`` for every window of every text, handed on as soon as they have ``most`` characters."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(key, n, a, b, text[a:b]) for key, text in zip(batch["id"], batch["text"], strict=True) if text for n, (a, b) in enumerate(windows_of(text, size))]
-            yield pd.DataFrame(rows, columns=["id", "n", "start", "end", "passage"])
+    out = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("passage", pa.string())])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n int, start long, end long, passage string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for key, text in zip(batch.column("id"), batch.column("text"), strict=True):  # one text at a time as a Python string
+                key, text = key.as_py(), text.as_py()
+                for n, (a, b) in enumerate(windows_of(text, size)) if text else ():
+                    rows.append((key, n, a, b, text[a:b]))
+                    held += b - a
+                    if held >= most:
+                        yield pa.record_batch(list(zip(*rows)), schema=out)
+                        rows, held = [], 0
+        if rows:
+            yield pa.record_batch(list(zip(*rows)), schema=out)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n int, start long, end long, passage string")
 
 
 def selected(passages: DataFrame, query: str) -> DataFrame:

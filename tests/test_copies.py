@@ -159,3 +159,12 @@ def test_rows_are_gathered_before_they_are_grouped(spark, monkeypatch):
     rows, shuffled = made(found)
     assert {(r.question, r.n_sources, r.n_domains, r.n_findings, r.status) for r in rows} == {(k, 15, 3, 15, "adequate") for k in range(40)} | {(40, 0, 0, 0, "uncovered")}
     assert shuffled <= N
+
+
+def test_passages_are_handed_on_in_bounded_pieces(spark):
+    docs = spark.range(30).selectExpr("id as doc_id", "repeat(concat('line ', id, '\n'), cast(id * 20 as int)) as text")
+    got = {(r.id, r.n): r for r in research.segmented(docs, size=200, most=500).collect()}
+    for r in docs.collect():
+        want = research.windows_of(r.text, 200)
+        assert [(got[r.doc_id, n].start, got[r.doc_id, n].end, got[r.doc_id, n].passage) for n in range(len(want))] == [(a, b, r.text[a:b]) for a, b in want]
+    assert len(got) == sum(len(research.windows_of(r.text, 200)) for r in docs.collect())
