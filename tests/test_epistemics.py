@@ -85,3 +85,29 @@ def test_directions_are_found_within_words(spark):
     findings = [(1, [1, 2], "the rate of growth increases every year now"), (2, [3], "the rate of growth decreases every year now"), (3, [2, 9], "the rate of growth does not increases every year now"), (4, [2], "something else entirely")]
     found = resolve.contradictions(spark.createDataFrame(findings, "id long, questions array<long>, text string"))
     assert sorted(map(tuple, found.collect())) == [(1, 2, "direction"), (1, 3, "negation"), (2, 3, "direction")]
+
+
+def test_independent_sources_of_small_claims_take_no_rounds(spark, monkeypatch):
+    import random
+
+    from mossgraph.operators import epistemics
+
+    seed = random.Random(3)
+    links = [(c, seed.choice([None, *"uvwxyz"]), seed.choice([None, *range(6)])) for c in [*range(40), None] for _ in range(seed.randint(1, 7))]
+    crowd = [(99, f"d{k}", f"{k // 2 if k % 3 else k // 2 + 1}") for k in range(epistemics.SMALL + 20)]
+    links = [(c, d, None if t is None else str(t)) for c, d, t in links] + crowd
+    want = {}
+    for claim in {c for c, d, _ in links if d is not None}:
+        groups = []
+        for names in ({("d", d)} | ({("c", t)} if t is not None else set()) for c, d, t in links if c == claim and d is not None):
+            met = [g for g in groups if g & names]
+            groups = [g for g in groups if not g & names] + [names.union(*met)]
+        want[claim] = len(groups)
+    sent = []
+    monkeypatch.setattr(epistemics, "components", lambda edges, f=epistemics.components: sent.append(edges.count()) or f(edges))
+    frame = spark.createDataFrame(links, "claim_id long, domain string, content string")
+    assert {r.claim_id: r.n_independent for r in epistemics.independent_sources(frame).collect()} == want
+    assert len(sent) == 1 and 0 < sent[0] <= len(crowd)
+    few = frame.where("claim_id < 40")
+    assert {r.claim_id: r.n_independent for r in epistemics.independent_sources(few).collect()} == {k: v for k, v in want.items() if k is not None and k < 40}
+    assert len(sent) == 1
