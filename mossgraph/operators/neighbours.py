@@ -11,6 +11,8 @@ A vector of zeros has cosine 0 with all; rows without a vector, or with one of a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,6 +24,8 @@ from .graph import saved
 SAMPLE, CENTRES, ROUNDS = 4096, 256, 8
 #: Rows of a block, queries of a chunk, and the cells that a query meets first.
 BLOCK, CHUNK, FIRST = 4096, 512, 3
+#: Queries that a task compares with a block at a time, rows that it takes and hands on at a time.
+SLICE = 256
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -40,10 +44,26 @@ def centres_of(sample: np.ndarray, n: int) -> np.ndarray:
     return centres
 
 
+def _matrix(vectors: pd.Series, d: int) -> np.ndarray:
+    """Vectors of ``d`` numbers as rows, without a Python number for each."""
+    return np.concatenate(vectors.to_numpy()).astype(np.float64, copy=False).reshape(-1, d)
+
+
 def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
+def _compared(queries: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """``(query, id, score)`` of the ``k`` best of ``ids`` with vectors ``b`` for each query, SLICE queries at a time."""
+    for start in range(0, len(queries), SLICE):
+        own = queries[start : start + SLICE]
+        scores = np.round(a[start : start + SLICE] @ b.T, 9)
+        scores[own[:, None] == ids[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+        out = pd.DataFrame({"query": np.repeat(own, order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+        yield out[np.isfinite(out["score"])]
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
     """``(query, id, score, place)``: the ``k`` rows of the largest cosine to each query but itself; of equals the smaller ids."""
     q = queries.select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
@@ -61,10 +81,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "id", vector
         for batch in batches:
             if not len(batch):
                 continue
-            v = _unit(np.array(batch["v"].tolist(), dtype=np.float64).reshape(-1, d))
+            v = _unit(_matrix(batch["v"], d))
             cosines = v @ centres.T
             own = cosines.argmax(1)
-            yield pd.DataFrame({"id": batch["id"], "v": v.tolist(), "cell": own, "angle": _angle(cosines[np.arange(len(own)), own])})
+            yield pd.DataFrame({"id": batch["id"], "v": list(v), "cell": own, "angle": _angle(cosines[np.arange(len(own)), own])})
 
     cells = saved(r.mapInPandas(placed, "id long, v array<double>, cell int, angle double"))
     stats = cells.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # CENTRES rows at most
@@ -80,7 +100,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "id", vector
         for batch in batches:
             if not len(batch):
                 continue
-            v = _unit(np.array(batch["v"].tolist(), dtype=np.float64).reshape(-1, d))
+            v = _unit(_matrix(batch["v"], d))
             angles = _angle(v @ centres.T)
             angles[:, radius < 0] = np.inf
             order = angles.argsort(1, kind="stable")[:, :FIRST]
@@ -96,7 +116,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "id", vector
             at, cell = np.nonzero(wanted)
             if not len(at):
                 continue
-            yield pd.DataFrame({"query": batch["query"].to_numpy()[at], "v": [batch["v"].iloc[k] for k in at], "cell": cell.astype(np.int32)})
+            ids, vectors = batch["query"].to_numpy(), batch["v"].to_numpy()
+            for start in range(0, len(at), SLICE * FIRST):  # a query may meet all cells, each time with its vector
+                part = at[start : start + SLICE * FIRST]
+                yield pd.DataFrame({"query": ids[part], "v": vectors[part], "cell": cell[start : start + SLICE * FIRST].astype(np.int32)})
 
     def best(asked: DataFrame) -> DataFrame:
         spread = asked.withColumns({"chunk": F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int"), "block": F.explode(F.sequence(F.lit(0), sizes[F.col("cell")] - 1))})
@@ -105,14 +128,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "id", vector
         def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64", "score": "float64"})
-            a, b = _unit(np.array(left["v"].tolist(), dtype=np.float64)), np.array(right["v"].tolist(), dtype=np.float64)
-            ids = right["id"].to_numpy()
-            scores = np.round(a @ b.T, 9)
-            scores[left["query"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            found = np.take_along_axis(scores, order, 1)
-            out = pd.DataFrame({"query": np.repeat(left["query"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "score": found.ravel()})
-            return out[np.isfinite(out["score"])]
+            a, b = _unit(_matrix(left["v"], d)), _matrix(right["v"], d)
+            return pd.concat(_compared(left["query"].to_numpy(), a, right["id"].to_numpy(), b, k), ignore_index=True)
 
         by = ["cell", "block", "chunk"]
         return spread.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(compare, "query long, id long, score double")

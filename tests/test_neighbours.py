@@ -48,3 +48,19 @@ def test_edges_between_claims_by_their_vectors(spark):
     pairs = neighbours.nearest(claims, claims, 2).selectExpr("query as a", "id as b")
     got = cluster.claim_edges(claims, pairs).collect()
     assert [(r.a, r.b, r.method) for r in got] == [(1, 2, "vector")]
+
+
+def test_memory_of_a_comparison_is_bounded(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(4000, 8)), rng.normal(size=(1000, 8))
+    tracemalloc.start()
+    parts = list(neighbours._compared(np.arange(4000), a, np.arange(1000), b, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, parts)) == 20_000 and peak < 16e6  # all scores at once are 32 MB, and as much again in order
+    rows = parts[0][parts[0]["query"] == 7]
+    scores = np.round(a[7] @ b.T, 9)
+    scores[7] = -np.inf
+    assert list(rows["id"]) == list(np.lexsort((np.arange(1000), -scores))[:5])
