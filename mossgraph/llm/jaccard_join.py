@@ -111,7 +111,7 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """``(_id, n, class, prefix)`` of every text."""
+    """``(_id, n, class, prefix)`` of every text, written; the sketch is on no executor any more."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,9 @@ def described(docs: DataFrame, width: int, num: int, den: int, sketch: np.ndarra
                 ["_id", "n", "class", "prefix"],
             )
 
-    return docs.mapInArrow(run, "_id long, n long, class binary, prefix array<long>")
+    out = written(docs.mapInArrow(run, "_id long, n long, class binary, prefix array<long>"))
+    shared.destroy()
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -206,8 +208,7 @@ def link_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
 
 def _link_groups(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    sketch = frequency_sketch(texts, width)
-    described_ = written(described(texts, width, num, den, sketch))
+    described_ = described(texts, width, num, den, frequency_sketch(texts, width))
     some = described_.where("n > 0 and _id is not null")
     classes = written(some.groupBy("class", "n").agg(F.min("_id").alias("_id")))
     prefixes = some.groupBy("class", "n").agg(F.min(F.struct("_id", "prefix")).alias("first")).select("n", "first._id", "first.prefix")

@@ -36,3 +36,17 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in list(parent)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_what_the_driver_holds_for_a_join_goes_with_it(spark, monkeypatch):
+    import os
+
+    from mossgraph.llm import jaccard_join
+
+    sent = []
+    context = type(spark.sparkContext)
+    monkeypatch.setattr(context, "broadcast", lambda self, value, f=context.broadcast: sent.append(f(self, value)) or sent[-1])
+    docs = spark.createDataFrame([(k, f"a b c d e f g {k // 3}") for k in range(12)], "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in jaccard_join.link_groups(docs, 3, 90, 100).collect()}
+    assert groups == {k: k // 3 * 3 for k in range(12)}
+    assert sent and not any(os.path.exists(b._path) for b in sent)
