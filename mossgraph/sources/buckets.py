@@ -4,7 +4,8 @@ A table is a folder with a Parquet folder for each version, partitioned by bucke
 ``entries``: ``{bucket: [[version, rows, digest], ...]}``; the owner keeps that in a manifest of its own, so a version that was written
 but not entered does not exist.  ``append`` adds a version to the buckets of its rows; ``replace`` writes the buckets of the
 replaced keys anew.  Bucket numbers and their entries are what the driver holds, whatever the number of rows; when buckets grow
-beyond ``target`` rows on average, there are made four times as many.
+beyond ``target`` rows on average, there are made four times as many, or as many times four as it takes.  A first ``append`` that says
+how many rows it has gets buckets enough at once, so that they need not be written anew.
 """
 
 from __future__ import annotations
@@ -61,7 +62,15 @@ class Buckets:
         self.rows_written += sum(r["n"] for r in stored)
         return {str(r["bucket"]): [version, r["n"], r["d"]] for r in stored}
 
-    def append(self, rows: DataFrame, version: int) -> None:
+    def _enough(self, rows: int) -> int:
+        count = self.count
+        while rows > self.target * count:
+            count *= 4
+        return count
+
+    def append(self, rows: DataFrame, version: int, n: int = 0) -> None:
+        if not self.entries:
+            self.count = self._enough(n)
         for bucket, entry in self._write(rows, version).items():
             self.entries.setdefault(bucket, []).append(entry)
 
@@ -79,9 +88,10 @@ class Buckets:
 
     def tidy(self, version: int) -> None:
         """Buckets of many versions are written together; if buckets have become large, there are more of them from now on."""
-        if self.rows() > self.target * self.count:
+        enough = self._enough(self.rows())
+        if enough > self.count:
             whole = self.read()
-            self.count *= 4
+            self.count = enough
             self.entries = {b: [entry] for b, entry in self._write(whole, version).items()}
             return
         many = [b for b, versions in self.entries.items() if len(versions) > VERSIONS]

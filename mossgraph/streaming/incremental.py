@@ -141,7 +141,7 @@ class Incremental:
         rows = kept(events.select("seq", "run_id", "event_type", "payload"))
         new = kept(lifted(rows))
         gone = kept(rows.where("event_type = 'RUN_ROLLED_BACK'").select(payload("run_id").alias("run_id")).where("run_id is not null").distinct())
-        t["facts"].append(new, 2 * number)
+        t["facts"].append(new, 2 * number, new.count())
         t["runs"].append(new.where("class <> 'cross_run_mutation'").select("run_id", "kind", "key").distinct(), 2 * number)
         again = not gone.isEmpty()
         if again:

@@ -124,3 +124,12 @@ def test_merging_facts_is_associative(spark, column):
     right = incremental.merged(parts[0].union(incremental.merged(parts[1].union(parts[2]))))
     want = sorted(map(str, incremental.merged(facts).collect()))
     assert column in left.columns and sorted(map(str, left.collect())) == sorted(map(str, right.collect())) == want
+
+
+def test_a_large_first_batch_is_written_once(spark, tmp_path):
+    log = spark.createDataFrame(made(300, 8), SCHEMA)
+    store = Incremental(spark, f"{tmp_path}/store", buckets=1, target=10)
+    report = store.apply(log)
+    facts = store.tables["facts"]
+    assert report["written"]["facts"] == facts.rows() == incremental.lifted(log).count() and facts.rows() <= 10 * facts.count
+    same(store, log)
