@@ -20,6 +20,9 @@ BUCKETS = {
     "EVIDENCE_LINKED": "newEvidence", "CONTRADICTION_IDENTIFIED": "contradictionsOpened", "CONTRADICTION_RESOLVED": "contradictionsResolved", "GAP_OPENED": "gapsOpened", "GAP_RESOLVED": "gapsResolved", "SOURCE_CHANGED": "sourcesChanged",
     "CLAIM_MERGED": "curationEvents", "CLAIM_SPLIT": "curationEvents", "CLAIM_RETRACTION_SET": "curationEvents", "CLAIM_RELATION_CURATED": "curationEvents", "EVIDENCE_STANCE_OVERRIDDEN": "curationEvents",
 }
+# Where an event says its family, the first that is there, and the claims that it names.
+OWN_FAMILY = ("familyId", "family_id", "observation.familyId")
+NAMED_CLAIMS = ("claimId", "claimIdA", "claimIdB", "sourceClaimId", "survivorClaimId", "fromClaimId", "toClaimId", "reconciliation.canonicalClaimId", "relatedClaimId")
 LEASE_SECONDS, LEASES = 15, 4
 TERMINAL_EVENTS = ("RUN_COMPLETED", "RUN_FAILED", "RUN_CANCELLED", "RUN_INTERRUPTED", "RUN_ROLLED_BACK")
 
@@ -50,13 +53,25 @@ def bucket() -> Column:
     return out.otherwise(F.lit("otherEvents"))
 
 
+def _named(events: DataFrame, word: str, fields: tuple[str, ...], out: str, first: bool = False) -> DataFrame:
+    """``(seq, out)``: the values of fields of the payload, all of them without repeats or the first; each payload is parsed once.
+
+    The names of the fields have ``word`` in them, so a payload without it has none of them, unless it spells a name with an escape."""
+    some = events.where(F.col("payload").contains(word) | F.col("payload").contains("\\"))
+    values = lambda v: [F.try_variant_get(v, f"$.{n}", "string") for n in fields]
+    pick = (lambda v: F.array(F.coalesce(*values(v)))) if first else (lambda v: F.array_distinct(F.array(*values(v))))
+    # As the one argument of a lambda, the parsed payload is not put in for each of its uses.
+    return some.select("seq", F.explode(F.flatten(F.transform(F.array(F.parse_json("payload")), pick))).alias(out)).where(F.col(out).isNotNull())
+
+
 def owning_families(events: DataFrame, claims: DataFrame) -> DataFrame:
     """``(seq, family_id)``: the families that an event is about, by its own field or through the claims that it names.
 
-    ``claims(claim_id, family_id)``; an event of a merge or a relation belongs to the families of both claims."""
-    own = events.select("seq", F.coalesce(payload("familyId"), payload("family_id"), payload("observation.familyId")).alias("family_id")).where("family_id is not null")
-    refs = events.select("seq", F.explode(F.array_distinct(F.array(*[payload(n) for n in ("claimId", "claimIdA", "claimIdB", "sourceClaimId", "survivorClaimId", "fromClaimId", "toClaimId", "reconciliation.canonicalClaimId", "relatedClaimId")]))).alias("claim_id")).where("claim_id is not null")
-    return own.union(refs.join(claims, "claim_id").select("seq", "family_id")).distinct()
+    ``claims(claim_id, family_id)``; an event of a merge or a relation belongs to the families of both claims, and to none
+    through a claim without a family."""
+    own = _named(events, "amily", OWN_FAMILY, "family_id", first=True)
+    refs = _named(events, "laimId", NAMED_CLAIMS, "claim_id")
+    return own.union(refs.join(claims, "claim_id").select("seq", "family_id").where("family_id is not null")).distinct()
 
 
 def leases(log: DataFrame, now: Column) -> DataFrame:
