@@ -62,8 +62,9 @@ class Knowledge:
         rows = self.log.where(F.col("seq") > since)
         if family_id is not None:
             claims = self.views["claims"].select(F.col("id").cast("string").alias("claim_id"), F.col("family_id").cast("string").alias("family_id"))
-            mine = feeds.owning_families(rows, claims).where(F.col("family_id") == F.lit(str(family_id))).select("seq")
-            rows = rows.join(mine, "seq", "left_semi")
+            wanted = F.col("family_id") == F.lit(str(family_id))
+            mine = feeds.owning_families(rows, claims.where(wanted)).where(wanted).select("seq")
+            rows = rows.join(mine.orderBy("seq").limit(limit), "seq", "left_semi")  # the log meets the first places only
         return rows.orderBy("seq").limit(limit).select("seq", "event_type", feeds.bucket().alias("bucket"))
 
     def research_next(self, family_id) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Families of events: by odd payloads, and each payload parsed once."""
+"""Families of events: by odd payloads, and each payload parsed once; changes of a family."""
 
 import json
 
+from mossgraph.api import Knowledge
 from mossgraph.operators import feeds
 
 CLAIMS = [("c1", "f1"), ("c2", "f2"), ("c3", "f1"), ("c4", None)]
@@ -32,3 +33,16 @@ def test_owning_families_of_odd_payloads(spark):
 def test_owning_families_parse_a_payload_once_a_side(spark):
     plan = feeds.owning_families(*_tables(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") + plan.count("parse_json") == 2
+
+
+def test_changes_of_a_family_meet_the_log_by_the_first_places_only(spark):
+    events, claims = _tables(spark)
+    log = events.selectExpr("seq", "'CLAIM_OBSERVED' as event_type", "payload")
+    log = log.union(log.where("seq = 4"))  # a place that two rows have
+    asked = Knowledge({"claims": claims.withColumnRenamed("claim_id", "id")}, log)
+    places = [seq for seq, f in brute(EVENTS, CLAIMS) if f == "f1" and seq > 1]
+    wanted = sorted([*places, *[4 for p in places if p == 4]])
+    for limit in (1, 2, 3, 100):
+        found = asked.ask("changes", since=1, family_id="f1", limit=limit)
+        assert [r.seq for r in found.collect()] == wanted[:limit]
+        assert limit == 100 or found._jdf.queryExecution().optimizedPlan().toString().count("GlobalLimit") >= 2
