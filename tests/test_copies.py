@@ -168,3 +168,24 @@ def test_passages_are_handed_on_in_bounded_pieces(spark):
         want = research.windows_of(r.text, 200)
         assert [(got[r.doc_id, n].start, got[r.doc_id, n].end, got[r.doc_id, n].passage) for n in range(len(want))] == [(a, b, r.text[a:b]) for a, b in want]
     assert len(got) == sum(len(research.windows_of(r.text, 200)) for r in docs.collect())
+
+
+def test_long_sets_that_are_unlike_are_told_apart_before_they_are_shuffled(spark):
+    """Sets of 250 words of which a fifth are common: a signature of 256 bits could not tell them from like ones."""
+    import random
+
+    seed = random.Random(3)
+    sets = [(k, "z", [f"w{w}" for w in seed.sample(range(1250), 250)]) for k in range(120)]
+    sets += [(1000 + k, "z", words[:-20]) for k, _, words in sets[:5]]
+    pairs = graph.similar_pairs(spark.createDataFrame(sets, "id long, block string, tokens array<string>"), 0.58, ["block"])
+    assert {(r.a, r.b, r.score) for r in pairs.collect()} == {(k, 1000 + k, 0.92) for k in range(5)}
+    plan, met = pairs._jdf.queryExecution().executedPlan(), set()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name, children, output = node.getClass().getSimpleName(), node.children(), node.output()
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        todo += [children.apply(k) for k in range(children.size())]
+        if name == "ShuffleExchangeExec" and [output.apply(k).name() for k in range(output.size())] == ["a", "b"]:
+            met.add(node.metrics().apply("shuffleRecordsWritten").value())
+    assert met and max(met) < 1000  # the pairs by each of their rare common words, and few others
