@@ -22,8 +22,8 @@ from .graph import saved
 
 #: Rows that centres are fitted on, and the most centres there are.
 SAMPLE, CENTRES, ROUNDS = 4096, 256, 8
-#: Rows of a block, queries of a chunk, and the cells that a query meets first.
-BLOCK, CHUNK, FIRST = 4096, 512, 3
+#: Rows of a block, numbers of the vectors of a chunk's queries, and the cells that a query meets first.
+BLOCK, CHUNK, FIRST = 4096, 1 << 22, 3
 #: Queries that a task compares with a block at a time, rows that it takes and hands on at a time.
 SLICE = 256
 
@@ -53,15 +53,21 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
-def _compared(queries: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """``(query, id, score)`` of the ``k`` best of ``ids`` with vectors ``b`` for each query, SLICE queries at a time."""
+def _compared(queries: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, k: int, least: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """``(query, id, score)`` of the ``k`` best of ``ids`` with vectors ``b`` for each query, of those that score ``least`` of the query or more, SLICE queries at a time."""
     for start in range(0, len(queries), SLICE):
         own = queries[start : start + SLICE]
         scores = np.round(a[start : start + SLICE] @ b.T, 9)
         scores[own[:, None] == ids[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-        out = pd.DataFrame({"query": np.repeat(own, order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-        yield out[np.isfinite(out["score"])]
+        floor = np.full(len(own), -2.0) if least is None else least[start : start + SLICE]
+        if k < len(ids) and (scores >= floor[:, None]).sum(1).max() > k:
+            floor = np.maximum(floor, np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k])
+        at, which = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+        found = scores[at, which]
+        order = np.lexsort((ids[which], -found, at))
+        at, which, found = at[order], which[order], found[order]
+        kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+        yield pd.DataFrame({"query": own[at[kept]], "id": ids[which[kept]], "score": found[kept]})
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
@@ -116,10 +122,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "id", vector
             at, cell = np.nonzero(wanted)
             if not len(at):
                 continue
-            ids, vectors = batch["query"].to_numpy(), batch["v"].to_numpy()
+            ids, vectors, least = (batch[c].to_numpy() for c in ("query", "v", "bound"))
             for start in range(0, len(at), SLICE * FIRST):  # a query may meet all cells, each time with its vector
                 part = at[start : start + SLICE * FIRST]
-                yield pd.DataFrame({"query": ids[part], "v": vectors[part], "cell": cell[start : start + SLICE * FIRST].astype(np.int32)})
+                yield pd.DataFrame({"query": ids[part], "v": vectors[part], "least": least[part], "cell": cell[start : start + SLICE * FIRST].astype(np.int32)})
 
     def best(asked: DataFrame) -> DataFrame:
         spread = asked.withColumns({"chunk": F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int"), "block": F.explode(F.sequence(F.lit(0), sizes[F.col("cell")] - 1))})
@@ -129,15 +135,15 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "id", vector
             if not len(left) or not len(right):
                 return pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64", "score": "float64"})
             a, b = _unit(_matrix(left["v"], d)), _matrix(right["v"], d)
-            return pd.concat(_compared(left["query"].to_numpy(), a, right["id"].to_numpy(), b, k), ignore_index=True)
+            return pd.concat(_compared(left["query"].to_numpy(), a, right["id"].to_numpy(), b, k, left["least"].to_numpy()), ignore_index=True)
 
         by = ["cell", "block", "chunk"]
         return spread.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(compare, "query long, id long, score double")
 
-    chunks = max(1, -(-q.count() // (CHUNK * 16)))  # a chunk's queries meet a cell's block only if they are near it: about one in sixteen
-    out = "query long, v array<double>, cell int"
+    chunks = max(1, -(-q.count() * d // CHUNK))
+    out = "query long, v array<double>, least double, cell int"
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
-    top = saved(best(q.mapInPandas(lambda b: cells_for(b, False), out)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k))
+    top = saved(best(q.withColumn("bound", F.lit(-2.0)).mapInPandas(lambda b: cells_for(b, False), out)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k))
     bounds = top.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-1.0)).alias("bound"))
     more = q.join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0)))
     rest = best(more.mapInPandas(lambda b: cells_for(b, True), out))

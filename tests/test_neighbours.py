@@ -64,3 +64,16 @@ def test_memory_of_a_comparison_is_bounded(monkeypatch):
     scores = np.round(a[7] @ b.T, 9)
     scores[7] = -np.inf
     assert list(rows["id"]) == list(np.lexsort((np.arange(1000), -scores))[:5])
+
+
+def test_the_query_asks_for_the_neighbours_of_all_rows(spark, tmp_path):
+    from mossgraph.catalog import QUERIES
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(9, 12))
+    v = centres[rng.integers(0, 9, 90)] + 0.1 * rng.normal(size=(90, 12))
+    rows = [(1001 + k, [float(x) for x in v[k]], "x") for k in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["al04_vector_edges"](spark, str(tmp_path)).collect()
+    want = {(min(q, r), max(q, r)) for q, r, score, _ in brute([r[0] for r in rows], [r[:2] for r in rows], 8) if score >= 0.82}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 100 and {r.method for r in got} == {"vector"}
