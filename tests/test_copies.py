@@ -199,3 +199,23 @@ def test_pairs_are_shuffled_without_their_members(spark):
     want = {(a, b, "negation") for (a, qa, ta), (b, qb, tb) in itertools.combinations(data, 2) if {*qa} & {*qb} and ta != tb}
     assert {tuple(r) for r in rows} == want and len(rows) == len(want) > N
     assert shuffled < 2 * N
+
+
+def test_batch_scores_only_what_can_still_be_among_the_best(spark):
+    """Claims of thirty unlike texts that all differ in their value: an observation needs those of its own text only."""
+    words = [f"w{k}a w{k}b w{k}c" for k in range(30)]
+    data = [(k, "f", words[k % 30], "is", None, "positive", "certain", float(1000 + k), "kg", None, None, None) for k in range(N)]
+    frame = spark.createDataFrame(data, "id long, family_id string, subject string, predicate string, object string, polarity string, hedge string, value double, unit string, event_date string, version string, entity_id string")
+    result = reconcile.plan_batch(frame.where("id % 50 = 0"), frame, itself=False)
+    rows = {r.observation_id: r.matched_claim_id for r in result.collect()}
+    near = lambda k: min(c for c in range(k % 30, N, 30) if c != k and abs(c - k) / (1000 + max(c, k)) <= 0.1)
+    assert rows == {k: near(k) for k in range(0, N, 50)}
+    todo, met = [result._jdf.queryExecution().executedPlan()], [0]
+    while todo:
+        node = todo.pop()
+        name, children = node.getClass().getSimpleName(), node.children()
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        todo += [children.apply(k) for k in range(children.size())]
+        if name.endswith("JoinExec"):
+            met.append(node.metrics().apply("numOutputRows").value())
+    assert max(met) < 2000  # pairs of texts; all pairs are 7,200
